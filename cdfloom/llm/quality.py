@@ -43,7 +43,7 @@ class QualityRules:
     h: float = 0.6
     steps: int = 3
     prior_rows: int = 25
-    floors: tuple[float, ...] = (0.045, 0.03, 0.12, 0.1)
+    floors: tuple[float, ...] = (0.05, 0.03, 0.2, 0.15)
     tail: float = 1e-5
 
 
