@@ -2,11 +2,47 @@
 
 from __future__ import annotations
 
-from .common import table
+from pyspark.sql import functions as F
+
+from .bpe import decode_documents, encode_documents
+from .chat import format_records, masked_text, parse_chat, turn_records
+from .common import let, table
 from .quality import COUNTS, score_quality
 from .sharding import shard_by_bytes
 
 
+def vocabulary(name="byte_bpe_multi_50k.tiktoken"):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_chat_formatting(spark, sf_dir):
+    """All conversations and conversation -1, whose texts look like another template's control strings."""
+    probe = spark.createDataFrame(
+        [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")],
+        "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    done = format_records(turn_records(rows))
+    turns = parse_chat(F.col("formatted"))
+    said = let(masked_text(F.col("formatted"), F.col("loss")), lambda a: F.array_join(a, ""))
+    return done.select(
+        "conv_id", let(turns, lambda t: F.struct(
+            F.size(t).cast("long").alias("n"),
+            F.sha2(F.array_join(F.transform(t, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "").cast("binary"), 256).alias("sha"))).alias("t"),
+        let(said, lambda s: F.struct(F.char_length(s).cast("long").alias("n"), F.sha2(s.cast("binary"), 256).alias("sha"))).alias("l"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    ).select("conv_id", F.col("t.n").alias("n_turns"), F.col("t.sha").alias("turns_sha256"),
+             F.col("l.n").alias("loss_chars"), F.col("l.sha").alias("loss_sha256"), "formatted_chars")
+
+
+def op5_byte_level_bpe(spark, sf_dir):
+    vocab = vocabulary()
+    encoded = encode_documents(table(spark, sf_dir, "documents"), vocab, keep=["doc_id"])
+    digests = encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    return decode_documents(digests, vocab).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_sharding(spark, sf_dir):
     return shard_by_bytes(table(spark, sf_dir, "documents"), 24)
 
@@ -16,7 +52,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op8_sharding, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_chat_formatting, op5_byte_level_bpe, op8_sharding, op10_quality_rules)}
 
 
 def oracle_sql():
