@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from .bpe import decode_documents, encode_documents
 from .chat import format_records, masked_text, parse_chat, turn_records
 from .common import let, table
+from .mixing import plan_mix, taken_words
 from .quality import COUNTS, score_quality
 from .sharding import shard_by_bytes
+from .tokencount import token_counts
 
 
 def vocabulary(name="byte_bpe_multi_50k.tiktoken"):
@@ -36,6 +38,11 @@ def op2_chat_formatting(spark, sf_dir):
              F.col("l.n").alias("loss_chars"), F.col("l.sha").alias("loss_sha256"), "formatted_chars")
 
 
+def op3_mixing(spark, sf_dir):
+    mixed = taken_words(plan_mix(table(spark, sf_dir, "documents")))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op5_byte_level_bpe(spark, sf_dir):
     vocab = vocabulary()
     encoded = encode_documents(table(spark, sf_dir, "documents"), vocab, keep=["doc_id"])
@@ -47,12 +54,16 @@ def op8_sharding(spark, sf_dir):
     return shard_by_bytes(table(spark, sf_dir, "documents"), 24)
 
 
+def op9_token_counts(spark, sf_dir):
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
 def queries():
-    return {f.__name__: f for f in (op2_chat_formatting, op5_byte_level_bpe, op8_sharding, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_chat_formatting, op3_mixing, op5_byte_level_bpe, op8_sharding, op9_token_counts, op10_quality_rules)}
 
 
 def oracle_sql():
