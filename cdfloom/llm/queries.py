@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .bpe import decode_documents, encode_documents
 from .chat import format_records, masked_text, parse_chat, turn_records
 from .common import let, table
+from .media import media_columns
 from .mixing import plan_mix, taken_words
 from .quality import COUNTS, score_quality
 from .sharding import shard_by_bytes
@@ -43,6 +44,15 @@ def op3_mixing(spark, sf_dir):
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_media_columns(spark, sf_dir):
+    media = media_columns(table(spark, sf_dir, "documents"))
+    return media.select(
+        F.col("id").cast("long").alias("doc_id"), "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+
+
 def op5_byte_level_bpe(spark, sf_dir):
     vocab = vocabulary()
     encoded = encode_documents(table(spark, sf_dir, "documents"), vocab, keep=["doc_id"])
@@ -63,7 +73,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_chat_formatting, op3_mixing, op5_byte_level_bpe, op8_sharding, op9_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_chat_formatting, op3_mixing, op4_media_columns, op5_byte_level_bpe, op8_sharding, op9_token_counts, op10_quality_rules)}
 
 
 def oracle_sql():
