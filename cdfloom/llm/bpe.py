@@ -34,7 +34,7 @@ LETTERS = (LETTER, STMD, R, V, L2, E)
 IDENTITY = 0
 BLOCK = 256  # characters a block of the scan
 CHUNK_BYTES = 1 << 20  # of text that is tokenised at once: bounds the worker's memory
-CACHE_ENTRIES = 300_000  # in each of two generations
+CACHE_ENTRIES = 200_000  # in each of two generations
 SHORT_PIECE = 40  # bytes
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .bpe import decode_documents, encode_documents
 from .chat import format_records, masked_text, parse_chat, turn_records
 from .common import let, table
+from .html import extract_main_text
 from .media import media_columns
 from .mixing import plan_mix, taken_words
 from .quality import COUNTS, score_quality
@@ -20,6 +21,11 @@ def vocabulary(name="byte_bpe_multi_50k.tiktoken"):
     return public_tokenizers.path(name)
 
 
+def op1_html_extraction(spark, sf_dir):
+    texts = extract_main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op2_chat_formatting(spark, sf_dir):
     """All conversations and conversation -1, whose texts look like another template's control strings."""
     probe = spark.createDataFrame(
@@ -73,7 +79,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_chat_formatting, op3_mixing, op4_media_columns, op5_byte_level_bpe, op8_sharding, op9_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_chat_formatting, op3_mixing, op4_media_columns, op5_byte_level_bpe, op8_sharding, op9_token_counts, op10_quality_rules)}
 
 
 def oracle_sql():
