@@ -10,6 +10,7 @@ from .common import let, table
 from .html import extract_main_text
 from .media import media_columns
 from .mixing import plan_mix, taken_words
+from .neardup import NearDup, near_duplicates
 from .quality import COUNTS, score_quality
 from .sharding import shard_by_bytes
 from .tokencount import token_counts
@@ -66,6 +67,10 @@ def op5_byte_level_bpe(spark, sf_dir):
     return decode_documents(digests, vocab).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_minhash_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), NearDup(width=3, percent=85))
+
+
 def op8_sharding(spark, sf_dir):
     return shard_by_bytes(table(spark, sf_dir, "documents"), 24)
 
@@ -79,7 +84,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_html_extraction, op2_chat_formatting, op3_mixing, op4_media_columns, op5_byte_level_bpe, op8_sharding, op9_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_chat_formatting, op3_mixing, op4_media_columns, op5_byte_level_bpe, op6_minhash_near_dedup, op8_sharding, op9_token_counts, op10_quality_rules)}
 
 
 def oracle_sql():
