@@ -13,6 +13,7 @@ from .mixing import plan_mix, taken_words
 from .neardup import NearDup, near_duplicates
 from .quality import COUNTS, score_quality
 from .sharding import shard_by_bytes
+from .suffixes import find_repeats
 from .tokencount import token_counts
 
 
@@ -71,6 +72,13 @@ def op6_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), NearDup(width=3, percent=85))
 
 
+def op7_suffix_array_dedup(spark, sf_dir):
+    found = find_repeats(table(spark, sf_dir, "documents"))
+    digests = found.texts.select(
+        "k1", "k2", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.docs.join(digests, ["k1", "k2"]).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_sharding(spark, sf_dir):
     return shard_by_bytes(table(spark, sf_dir, "documents"), 24)
 
@@ -84,7 +92,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_html_extraction, op2_chat_formatting, op3_mixing, op4_media_columns, op5_byte_level_bpe, op6_minhash_near_dedup, op8_sharding, op9_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_chat_formatting, op3_mixing, op4_media_columns, op5_byte_level_bpe, op6_minhash_near_dedup, op7_suffix_array_dedup, op8_sharding, op9_token_counts, op10_quality_rules)}
 
 
 def oracle_sql():
