@@ -18,11 +18,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrow import sliced
+
 #: Code points with the White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -280,16 +281,6 @@ def encoder(path: str) -> BytePairEncoder:
     return _encoders[path]
 
 
-def sliced(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of at most about `max_bytes` of `column`, at least one row each."""
-    sizes = np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
-    run = np.cumsum(sizes) // max_bytes
-    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(sizes)]
-    for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def _append(batch: pa.RecordBatch, column: str, values: list, name: str, schema: pa.Schema) -> pa.RecordBatch:
     arrays = [batch.column(f) for f in batch.schema.names if f != column]
     return pa.RecordBatch.from_arrays([*arrays, pa.array(values, pa.binary())], names=[*[f for f in batch.schema.names if f != column], name])

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .bpe import sliced
+from .arrow import sliced
 from .common import materialize, scratch_path
 
 WIDTH = 64  # samples a row

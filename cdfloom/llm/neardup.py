@@ -5,13 +5,15 @@ coordinates of the minwise signature by its own name; members that agree in a
 picked coordinate move to the same child.  Picking 1 / similarity coordinates
 on average, a linked pair is expected to stay together once at every level.
 Small nodes are compared exhaustively on 4-bit sketches; large ones branch on,
-and what is still large at the last level is compared block by block.  Pairs
-that pass the sketch are confirmed on the full shingle sets of whole texts.
-
-Exact copies (equal sets) are one member from the start.  A first pass of trees
-of two levels links every member to its node's smallest only, which joins up
-most groups in one step; later trees then compare members of different
-components only, so a group of n near copies never becomes n*n pairs.
+and what is still large at the last level is compared block by block, inside
+tasks of bounded size.  Pairs that pass the sketch are confirmed on the full
+shingle sets of whole texts.
+
+Exact copies (equal sets) are one member from the start.  First rounds join up
+groups cheaply, as in Boruvka's algorithm: in trees of two levels each node has
+a pivot, and each member is linked to the one most alike of the pivots that it
+meets.  Later trees then compare members of different components only, so a
+group of n near copies never becomes n*n pairs.
 """
 
 from __future__ import annotations
@@ -26,12 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import sliced
+from .arrow import grouped, sliced
 from .common import materialize
 from .components import components
 from .shingles import MinHash, jaccard_counts, shingle_sets
 
-SIGNATURE = 64  # minwise hashes; the sketch keeps 4 bits of each in 4 longs
+COORDINATES = 64  # minwise hashes that nodes pick from
+SIGNATURE = 256  # minwise hashes of the sketch, which keeps 4 bits of each in longs
+SKETCH = [f"k{j}" for j in range(SIGNATURE // 16)]
 NIBBLE = 0x1111111111111111
 
 
@@ -39,17 +43,20 @@ NIBBLE = 0x1111111111111111
 class NearDup:
     """Link two texts if 100 * intersection >= percent * union of their `width`-word shingle sets.
 
-    trees, max_levels, leaf: of the chosen-path join.  first_trees: of the pass
-    that links to the smallest of a node.  sketch_sigmas: a linked pair passes
-    the sketch unless its agreement falls so many deviations below the mean.
+    trees, max_levels, leaf, block_rows, block_bytes: of the chosen-path join.  first_rounds, first_trees:
+    of the pass that links to pivots.  sketch_sigmas: a linked pair passes the
+    sketch unless its agreement falls so many deviations below the mean.
     """
 
     width: int = 5
     percent: int = 80
     trees: int = 12
+    first_rounds: int = 3
     first_trees: int = 8
-    max_levels: int = 6
+    max_levels: int = 3
     leaf: int = 64
+    block_rows: int = 2048
+    block_bytes: int = 8 << 20
     sketch_sigmas: float = 4.6
     seed: int = 11
 
@@ -65,7 +72,7 @@ class NearDup:
 
 
 def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n (set size), f1, f2 (fingerprint of the set), mh (minwise hashes), k1..k4 (sketch); mh and sketch null for empty sets."""
+    """id, n (set size), f1, f2 (fingerprint of the set), mh (minwise hashes), SKETCH; the sketch is null for empty sets."""
     inner = docs.select(docs[f"`{id_col}`"].alias("id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).cast("binary").alias("t"))
     id_type = inner.schema["id"]
 
@@ -88,24 +95,25 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
                         f[j, full] = np.add.reduceat(mix(flat, 77 + j), offsets)
                     mh[full] = hashes.of(some)
                 # the sketch takes scrambled bits: the low bits of a minimum are not uniform for large sets
-                nibbles = ((mh * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.uint64).reshape(-1, 4, 16)
+                nibbles = ((mh * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.uint64).reshape(len(sets), -1, 16)
                 sketch = (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
                 empty = n == 0
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SIGNATURE), pa.array(mh.view(np.int32).ravel()))
+                first = np.ascontiguousarray(mh[:, :COORDINATES]).view(np.int32).ravel()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * COORDINATES), pa.array(first))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(n), *[pa.array(x.view(np.int64)) for x in f], lists, *[pa.array(np.ascontiguousarray(sketch[:, j]), mask=empty) for j in range(4)]],
-                    names=["id", "n", "f1", "f2", "mh", "k1", "k2", "k3", "k4"])
+                    [part.column("id"), pa.array(n), *[pa.array(x.view(np.int64)) for x in f], lists, *[pa.array(np.ascontiguousarray(sketch[:, j]), mask=empty) for j in range(len(SKETCH))]],
+                    names=["id", "n", "f1", "f2", "mh", *SKETCH])
 
     longs = [T.StructField(c, T.LongType()) for c in ("n", "f1", "f2")]
-    schema = T.StructType([id_type, *longs, T.StructField("mh", T.ArrayType(T.IntegerType())), *[T.StructField(f"k{j}", T.LongType()) for j in range(1, 5)]])
+    schema = T.StructType([id_type, *longs, T.StructField("mh", T.ArrayType(T.IntegerType())), *[T.StructField(k, T.LongType()) for k in SKETCH]])
     return inner.mapInArrow(sign, schema)
 
 
 def agreement(a: str, b: str) -> Column:
     """Sketch positions in which rows aliased `a` and `b` agree."""
     differ = F.lit(0)
-    for j in range(1, 5):
-        x = F.col(f"{a}.k{j}").bitwiseXOR(F.col(f"{b}.k{j}"))
+    for k in SKETCH:
+        x = F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))
         for s in (1, 2):
             x = x.bitwiseOR(F.shiftrightunsigned(x, s))
         differ = differ + F.bit_count(x.bitwiseAND(F.lit(NIBBLE)))
@@ -120,7 +128,7 @@ def _similar(a: str, b: str, rules: NearDup) -> Column:
 
 def _pick(node: Column, salt: int) -> Column:
     """The minwise hash that a node picks."""
-    return F.get(F.col("mh"), F.pmod(F.xxhash64(node, F.lit(salt)), F.lit(SIGNATURE)).cast("int"))
+    return F.get(F.col("mh"), F.pmod(F.xxhash64(node, F.lit(salt)), F.lit(COORDINATES)).cast("int"))
 
 
 def _children(rows: DataFrame, rules: NearDup, columns: list[str]) -> DataFrame:
@@ -157,22 +165,25 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, rules: NearDup, id_col: str, t
     return both.mapInArrow(confirm, T.StructType([both.schema["u"], both.schema["v"]])).distinct()
 
 
-def _first_links(sets: DataFrame, rules: NearDup) -> DataFrame:
-    """Pairs (u, v): each member and the smallest of the nodes that it shares, over trees of two levels."""
-    roots = sets.withColumn("node", F.explode(F.array(*[F.xxhash64(F.lit(rules.seed), F.lit(-t)) for t in range(1, rules.first_trees + 1)])))
+def _pivot_links(sets: DataFrame, rules: NearDup, turn: int) -> DataFrame:
+    """Pairs (u, v): each member and the pivot most like it, of another component (column c), that it shares a node with."""
+    seeds = F.array(*[F.xxhash64(F.lit(rules.seed), F.lit(-turn), F.lit(t)) for t in range(rules.first_trees)])
+    roots = sets.withColumn("node", F.explode(seeds))
     one = roots.withColumn("node", F.xxhash64("node", F.lit(0), _pick(F.col("node"), 0)))
-    two = F.xxhash64("node", F.lit(0), _pick(F.col("node"), 0))
-    rows = one.select(two.alias("node"), "s", "n", "k1", "k2", "k3", "k4")
-    member = F.struct("s", "n", "k1", "k2", "k3", "k4")
-    pivots = rows.groupBy("node").agg(F.min(member).alias("p"), F.count("*").alias("c")).where("c > 1").select("node", "p.*")
-    near = rows.alias("a").join(pivots.alias("b"), F.col("a.node") == F.col("b.node")).where((F.col("a.s") > F.col("b.s")) & _similar("a", "b", rules))
-    return near.groupBy(F.col("a.s").alias("u")).agg(F.min("b.s").alias("v"))
-
-
-def _tree_pairs(sets: DataFrame, rules: NearDup) -> DataFrame:
-    """Pairs (u, v) of different components (column c) that share a small node and pass the sketch."""
+    two = one.withColumn("node", F.xxhash64("node", F.lit(0), _pick(F.col("node"), 0)))
+    rows = two.select("node", "s", "c", "n", *SKETCH)
+    member = F.struct(F.xxhash64("node", "s").alias("h"), "s", "c", "n", *SKETCH)
+    pivots = rows.groupBy("node").agg(F.min(member).alias("p"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("node", "p.*")
+    near = rows.alias("a").join(pivots.alias("b"), F.col("a.node") == F.col("b.node")).where((F.col("a.c") != F.col("b.c")) & _similar("a", "b", rules))
+    best = near.groupBy(F.col("a.s").alias("u")).agg(F.max(F.struct(agreement("a", "b").alias("g"), F.col("b.s").alias("v"))).alias("best"))
+    return best.select("u", F.col("best.v").alias("v"))
+
+
+def _tree_pairs(sets: DataFrame, rules: NearDup) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (u, v) of different components (column c) that share a small node and pass the sketch; and
+    the members (node, s) of the nodes that are large to the end."""
     light = ["s", "c"]
-    sketch = ["s", "c", "n", "k1", "k2", "k3", "k4"]
+    sketch = ["s", "c", "n", *SKETCH]
     roots = sets.withColumn("node", F.explode(F.array(*[F.xxhash64(F.lit(rules.seed), F.lit(t)) for t in range(1, rules.trees + 1)])))
     rows = _children(roots, rules, light)
     found = None
@@ -191,15 +202,70 @@ def _tree_pairs(sets: DataFrame, rules: NearDup) -> DataFrame:
         found = pairs if found is None else found.unionAll(pairs)
         large = alive.where(F.col("size") > rules.leaf)
         if large.isEmpty():
-            return found.distinct()
+            return found.distinct(), None
         if level < rules.max_levels:
             rows = _children(large.select("node", "s").join(sets.select("s", "c", "mh"), "s"), rules, light)
-    # the rest, exactly: members are dealt to blocks, and every two blocks of a node meet in a group of their own
-    blocks = F.ceil(F.col("size") / rules.leaf).cast("int")
-    own = F.pmod(F.xxhash64("s"), blocks).cast("int")
-    meetings = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    meetings = meetings.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "s").distinct()
-    return found.unionAll(compare(meetings.join(sets.select(*sketch), "s"))).distinct()
+    return found.distinct(), large.select("node", "s")
+
+
+def _dense_links(large: DataFrame, sets: DataFrame, docs: DataFrame, rules: NearDup, id_col: str, text_col: str) -> DataFrame:
+    """Linked pairs (u, v) of different components that share a large node: all of them are compared.
+
+    A node's members are dealt to blocks, so many that a block's sets take
+    block_bytes and its rows block_rows at most on average, and every two blocks
+    meet in one task, which compares sketches and confirms on full sets; no row
+    is made for a pair.  A pair that shares several nodes is examined in the
+    smallest of them only.
+    """
+    shared = large.groupBy("s").agg(F.sort_array(F.collect_set("node")).alias("nodes"))  # a few nodes a tree
+    sizes = large.join(sets.select("s", "n"), "s").groupBy("node").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("rows") / rules.block_rows, F.col("shingles") * 8 / rules.block_bytes)).cast("int")
+    dealt = large.join(sizes.select("node", blocks.alias("blocks")), "node").withColumn("own", F.pmod(F.xxhash64("s", "node"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("meeting"),
+        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "node", "s")
+    texts = docs.select(docs[f"`{id_col}`"].cast("long").alias("s"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).cast("binary").alias("t"))
+    sketch = F.array(*SKETCH).alias("k")
+    rows = met.join(sets.select("s", "c", "n", sketch), "s").join(shared, "s").join(texts, "s")
+    width, percent, least = rules.width, rules.percent, rules.least_agreement()
+
+    def meet(rows: pa.Table) -> pa.RecordBatch:
+        side, s, c, n = (rows.column(x).to_numpy() for x in ("side", "s", "c", "n"))
+        node = rows.column("node")[0].as_py()
+        k = rows.column("k").combine_chunks().flatten().to_numpy().reshape(len(s), -1).view(np.uint8)
+        nibbles = np.concatenate((k & 15, k >> 4), 1)
+        nodes = [set(x) for x in rows.column("nodes").to_pylist()]
+        sets_of = list(shingle_sets(rows.column("t").to_pylist(), width))
+        parent = {int(x): int(x) for x in c}
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        u, v = [], []
+        across = side[0] != 2
+        begin = int(np.searchsorted(side, 1)) if across else 0
+        for i in range(begin if across else len(s)):
+            j = np.arange(begin if across else i + 1, len(s))
+            j = j[(c[j] != c[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * percent)]
+            j = j[(nibbles[j] == nibbles[i]).sum(1) >= least]
+            for x in j.tolist():
+                a, b = top(int(c[i])), top(int(c[x]))
+                if a == b or min(nodes[i] & nodes[x]) != node:
+                    continue
+                inter, union = jaccard_counts(sets_of[i], sets_of[x])
+                if union and 100 * inter >= percent * union:
+                    parent[a] = b
+                    u.append(int(s[i]))
+                    v.append(int(s[x]))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, "meeting"):
+            yield meet(group)
+
+    return rows.repartition("meeting").sortWithinPartitions("meeting", "side").mapInArrow(solve, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, rules: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,16 +280,21 @@ def near_duplicates(docs: DataFrame, rules: NearDup = NearDup(), id_col: str = "
     signed = materialize(signatures(docs, rules.width, id_col, text_col), "signed")
     known = signed.where("n > 0 and id is not null")
     sets = materialize(
-        known.groupBy("f1", "f2", "n").agg(F.min(F.col("id").cast("long")).alias("s"), F.first("mh").alias("mh"), *[F.first(f"k{j}").alias(f"k{j}") for j in range(1, 5)]),
+        known.groupBy("f1", "f2", "n").agg(F.min(F.col("id").cast("long")).alias("s"), F.first("mh").alias("mh"), *[F.first(k).alias(k) for k in SKETCH]),
         "sets")
 
-    first = materialize(_first_links(sets, rules), "first-pairs")
-    links = materialize(_confirmed(first, docs, rules, id_col, text_col), "first-links")
-    comps = components(links)
-    named = materialize(sets.join(comps, sets["s"] == comps["node"], "left").select(
-        "s", F.coalesce("component", "s").alias("c"), "n", "mh", "k1", "k2", "k3", "k4"), "sets-named")
-    pairs = materialize(_tree_pairs(named, rules), "pairs")
-    more = _confirmed(pairs, docs, rules, id_col, text_col)
+    named, links = sets.withColumn("c", F.col("s")), None
+    for turn in range(1, rules.first_rounds + 1):
+        asked = materialize(_pivot_links(named, rules, turn), "pivot-pairs")
+        found = materialize(_confirmed(asked, docs, rules, id_col, text_col), "pivot-links")
+        links = found if links is None else links.unionByName(found)
+        comps = components(links)
+        named = materialize(sets.join(comps, sets["s"] == comps["node"], "left").select(
+            "s", F.coalesce("component", "s").alias("c"), "n", "mh", *SKETCH), "sets-named")
+    pairs, large = _tree_pairs(named, rules)
+    more = _confirmed(materialize(pairs, "pairs"), docs, rules, id_col, text_col)
+    if large is not None:
+        more = more.unionByName(materialize(_dense_links(large, named, docs, rules, id_col, text_col), "dense-links"))
     # rows that share an id hold their sets together
     repeated = known.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
     same = known.select("id", "f1", "f2", "n").join(repeated, "id", "left_semi").join(sets.select("f1", "f2", "n", "s"), ["f1", "f2", "n"])

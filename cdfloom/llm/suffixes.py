@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import sliced
+from .arrow import sliced
 from .common import materialize, scratch_path, shuffle_partitions
 from .shingles import U, mix
 

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import BytePairEncoder, encoder, sliced
+from .arrow import sliced
+from .bpe import BytePairEncoder, encoder
 
 #: How a token that crosses a boundary is allocated: to the section of its first
 #: byte, of its last byte, or the one with most of its bytes (ties: the earlier).
