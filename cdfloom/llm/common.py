@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,11 +31,33 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_owned: dict[str, list[str]] = {}
+_owner: list[str] = []
+
+
+@contextmanager
+def scratch_owner(owner: str) -> Iterator[None]:
+    """Scratch made inside can be given back by `release(spark, owner)`."""
+    _owner.append(owner)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def release(spark: SparkSession, owner: str) -> None:
+    """Delete the scratch of `owner`.  Results that were not written yet must not depend on it."""
+    for path in _owned.pop(owner, []):
+        delete_path(spark, path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the application ends."""
+    """A fresh path in the shared folder, deleted when the application ends at the latest."""
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    if _owner:
+        _owned.setdefault(_owner[-1], []).append(path)
     return path
 
 
@@ -46,12 +70,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write `df` as Parquet into the shared folder and read it back.
 
     Survives lost executors, unlike localCheckpoint, and is compressed, unlike
-    checkpoint().
+    checkpoint().  `discard` deletes the files.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of materialized frames that nothing lazy depends on any more."""
+    for df in frames:
+        delete_path(df.sparkSession, df.scratch)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

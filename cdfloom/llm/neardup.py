@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import grouped, sliced
-from .common import materialize
+from .common import discard, materialize
 from .components import components
 from .shingles import MinHash, jaccard_counts, shingle_sets
 
@@ -288,11 +288,13 @@ def near_duplicates(docs: DataFrame, rules: NearDup = NearDup(), id_col: str = "
         asked = materialize(_pivot_links(named, rules, turn), "pivot-pairs")
         found = materialize(_confirmed(asked, docs, rules, id_col, text_col), "pivot-links")
         links = found if links is None else links.unionByName(found)
-        comps = components(links)
+        comps, older = components(links), named
         named = materialize(sets.join(comps, sets["s"] == comps["node"], "left").select(
             "s", F.coalesce("component", "s").alias("c"), "n", "mh", *SKETCH), "sets-named")
+        discard(asked, *([older] if turn > 1 else []))
     pairs, large = _tree_pairs(named, rules)
-    more = _confirmed(materialize(pairs, "pairs"), docs, rules, id_col, text_col)
+    pairs = materialize(pairs, "pairs")
+    more = materialize(_confirmed(pairs, docs, rules, id_col, text_col), "more-links")
     if large is not None:
         more = more.unionByName(materialize(_dense_links(large, named, docs, rules, id_col, text_col), "dense-links"))
     # rows that share an id hold their sets together
@@ -301,6 +303,8 @@ def near_duplicates(docs: DataFrame, rules: NearDup = NearDup(), id_col: str = "
     same = same.select(F.col("id").cast("long").alias("u"), F.col("s").alias("v")).where("u != v")
     final = components(links.unionByName(more).unionByName(same))
 
+    discard(named, pairs)
+
     by_set = sets.join(final, sets["s"] == final["node"], "left").select("f1", "f2", "n", F.coalesce("component", "s").alias("component"))
     full = signed.where("n > 0").join(by_set, ["f1", "f2", "n"], "left").select("id", "n", "component")
     empty = signed.where("n = 0").select("id", "n", F.col("id").cast("long").alias("component"))

@@ -7,11 +7,14 @@ docs; all but the last return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cdfloom.llm.bpe import decode_documents, encode_documents
-from cdfloom.llm.common import materialize
+from cdfloom.llm.common import materialize, release, scratch_owner
 from cdfloom.llm.mixing import plan_mix, taken_words
 from cdfloom.llm.neardup import keep_one
 from cdfloom.llm.quality import filter_quality
@@ -19,22 +22,37 @@ from cdfloom.llm.queries import vocabulary
 from cdfloom.llm.suffixes import drop_repeats
 
 
+def _stage(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage gives back the scratch of the one before, whose result is written by then."""
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, "pipeline")
+        with scratch_owner("pipeline"):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     return filter_quality(docs)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8)."""
     return keep_one(docs)
 
 
+@_stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of long repeated strings; n_chars follows the text.  Documents left empty stay."""
     cut = drop_repeats(docs)
     return cut.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: its words over the document's words, at most twice.
 
@@ -49,6 +67,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, checked by decoding them again."""
     vocab = vocabulary()
