@@ -94,6 +94,8 @@ def blocks(page: str) -> list[Block]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
+            elif tag == "p":  # stands for an empty paragraph
+                flush()
             continue
         if tag == "br":
             say(" ")

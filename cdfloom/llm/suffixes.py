@@ -390,8 +390,8 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     found = find_repeats(docs, length, id_col, text_col, whole_characters=True).texts.where("n_removed > 0").select(
         F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.decode("kept", "UTF-8").alias("__kept"))
     text = F.coalesce(docs[f"`{text_col}`"], F.lit("")).cast("binary")
-    keyed = docs.select("*", *_key(text))
+    keyed = docs.select("*", *[k.alias(n) for k, n in zip(_key(text), ("__d1", "__d2"))])
     rest = F.when(F.col("__kept").isNotNull() & F.col(f"`{text_col}`").isNotNull(), F.col("__kept")).otherwise(F.col(f"`{text_col}`"))
     columns = [rest.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    joined = keyed.join(found, (keyed["k1"] == found["__k1"]) & (keyed["k2"] == found["__k2"]), "left")
+    joined = keyed.join(found, (keyed["__d1"] == found["__k1"]) & (keyed["__d2"] == found["__k2"]), "left")
     return joined.select(*columns)
