@@ -10,6 +10,7 @@ from .common import let, table
 from .html import extract_main_text
 from .media import media_columns
 from .mixing import plan_mix, taken_words
+from .oracles import ORACLES
 from .neardup import NearDup, near_duplicates
 from .quality import COUNTS, score_quality
 from .sharding import shard_by_bytes
@@ -96,4 +97,5 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    """SQL where it can express a query's rows: the others need code point classes, checksums, hashes or iteration that it lacks."""
+    return {name: sql() for name, sql in ORACLES.items()}
