@@ -35,7 +35,7 @@ LETTERS = (LETTER, STMD, R, V, L2, E)
 IDENTITY = 0
 BLOCK = 256  # characters a block of the scan
 CHUNK_BYTES = 1 << 20  # of text that is tokenised at once: bounds the worker's memory
-CACHE_ENTRIES = 200_000  # in each of two generations
+CACHE_ENTRIES = 150_000  # in each of two generations
 SHORT_PIECE = 40  # bytes
 
 
@@ -281,17 +281,16 @@ def encoder(path: str) -> BytePairEncoder:
     return _encoders[path]
 
 
-def _append(batch: pa.RecordBatch, column: str, values: list, name: str, schema: pa.Schema) -> pa.RecordBatch:
-    arrays = [batch.column(f) for f in batch.schema.names if f != column]
-    return pa.RecordBatch.from_arrays([*arrays, pa.array(values, pa.binary())], names=[*[f for f in batch.schema.names if f != column], name])
+SLICE_BYTES = 2 << 20  # of a batch that is encoded or decoded at once
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None, verify: bool = False) -> DataFrame:
     """The columns `keep` (default: all) and `ids_col`: the token ids of the whole text, packed
     as little-endian unsigned 32-bit integers.
 
     `vocabulary` is the path of a rank file that every executor can read.  A
-    null text is encoded as the empty one, to no ids.  An input column named
+    null text is encoded as the empty one, to no ids.  `verify` decodes the ids
+    again in the same worker and raises an error if they are not the text.  An input column named
     like `ids_col` is replaced.  Very long texts are one unit each; a worker
     holds about a megabyte of text and one text more.
     """
@@ -301,25 +300,32 @@ def encode_documents(docs: DataFrame, vocabulary: str, text_col: str = "text", i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            for part in sliced(batch, "t"):
-                yield _append(part, "t", enc.encode(part.column("t").to_pylist()), "ids", None)
+            for part in sliced(batch, "t", SLICE_BYTES):
+                texts = part.column("t").to_pylist()
+                ids = enc.encode(texts)
+                if verify and any(enc.decode(i) != t.encode() for i, t in zip(ids, texts)):
+                    raise ValueError("tokens do not decode to the text")
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(ids, pa.binary())], names=["row", "ids"])
 
     schema = T.StructType([inner.schema["row"], T.StructField("ids", T.BinaryType())])
     out = inner.mapInArrow(encode, schema)
     return out.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("ids").alias(ids_col))
 
 
-def decode_documents(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """`encoded` with `ids_col` replaced by `bytes_col`, the bytes that the ids stand for (null ids: no bytes)."""
+def decode_documents(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", bytes_col: str = "decoded", keep_ids: bool = False) -> DataFrame:
+    """`encoded` with `bytes_col`, the bytes that the ids stand for (null ids: no bytes), in place of `ids_col` or after it."""
     kept = [c for c in encoded.columns if c.lower() not in (ids_col.lower(), bytes_col.lower())]
     inner = encoded.select(F.struct(F.lit(0).alias("_"), *[encoded[f"`{c}`"] for c in kept]).alias("row"), F.coalesce(encoded[f"`{ids_col}`"], F.lit(b"")).alias("ids"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            for part in sliced(batch, "ids"):
-                yield _append(part, "ids", [enc.decode(x.as_buffer()) for x in part.column("ids")], "bytes", None)
-
-    schema = T.StructType([inner.schema["row"], T.StructField("bytes", T.BinaryType())])
-    out = inner.mapInArrow(decode, schema)
-    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("bytes").alias(bytes_col))
+            for part in sliced(batch, "ids", SLICE_BYTES):
+                data = pa.array([enc.decode(x.as_buffer()) for x in part.column("ids")], pa.binary())
+                columns = [part.column("row"), *([part.column("ids")] if keep_ids else []), data]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", *(["ids"] if keep_ids else []), "bytes"])
+
+    binary = [T.StructField(c, T.BinaryType()) for c in ([*(["ids"] if keep_ids else []), "bytes"])]
+    out = inner.mapInArrow(decode, T.StructType([inner.schema["row"], *binary]))
+    ids = [F.col("ids").alias(ids_col)] if keep_ids else []
+    return out.select(*[F.col("row").getField(c).alias(c) for c in kept], *ids, F.col("bytes").alias(bytes_col))

@@ -13,7 +13,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cdfloom.llm.bpe import decode_documents, encode_documents
+from cdfloom.llm.bpe import encode_documents
 from cdfloom.llm.common import materialize, release, scratch_owner
 from cdfloom.llm.mixing import plan_mix, taken_words
 from cdfloom.llm.neardup import keep_one
@@ -70,14 +70,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, checked by decoding them again."""
-    vocab = vocabulary()
-    encoded = encode_documents(docs, vocab, keep=["doc_id", "lang", "source", "text"])
-    checked = decode_documents(encoded.withColumn("packed", F.col("ids")), vocab)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return checked.select(
-        "doc_id", "lang", "source", (F.octet_length("packed") / 4).cast("long").alias("n_tokens"),
-        F.when(same, F.sha2("packed", 256)).otherwise(F.raise_error(F.lit("tokens do not decode to the text"))).alias("ids_sha256"),
-        F.col("packed").alias("ids"))
+    encoded = encode_documents(docs, vocabulary(), keep=["doc_id", "lang", "source"], verify=True)
+    return encoded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
 
 
 STAGES = [

@@ -59,7 +59,7 @@ def test_scan_is_the_automaton():
 def test_documents_round_trip(spark, library):
     rows = documents()
     encoded = encode_documents(frame(spark), vocabulary(), keep=["doc_id", "text"])
-    back = {r["doc_id"]: (r["text"], bytes(r["packed"]), bytes(r["decoded"])) for r in decode_documents(encoded.withColumn("packed", encoded["ids"]), vocabulary()).collect()}
+    back = {r["doc_id"]: (r["text"], bytes(r["packed"]), bytes(r["decoded"])) for r in decode_documents(encoded.withColumnRenamed("ids", "packed"), vocabulary(), "packed", keep_ids=True).collect()}
     assert len(back) == len(rows)
     for row in rows:
         text = row[1] or ""
