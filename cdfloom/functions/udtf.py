@@ -5,11 +5,16 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..kernels.pava import chain_fits, pava
 from ..kernels.survival import km_curve
 
 
+def _doubles(*names: str) -> StructType:
+    return StructType([StructField(n, DoubleType()) for n in names])
+
+
 class _Gather:
     def __init__(self) -> None:
         self.rows: list[tuple] = []
@@ -18,7 +23,7 @@ class _Gather:
         self.rows.append(tuple(row))
 
 
-@udtf(returnType="x double, fitted double")
+@udtf(returnType=_doubles("x", "fitted"))
 class Isotonic(_Gather):
     """TABLE(x, y [, weight]) -> increasing fit at distinct x."""
 
@@ -31,7 +36,7 @@ class Isotonic(_Gather):
             yield x, f
 
 
-@udtf(returnType="time double, survival double")
+@udtf(returnType=_doubles("time", "survival"))
 class KaplanMeier(_Gather):
     """TABLE(time, event [, weight]) -> survival at event times."""
 
@@ -40,7 +45,7 @@ class KaplanMeier(_Gather):
         yield from zip(t.tolist(), s.tolist())
 
 
-@udtf(returnType="x double, threshold double, cdf double")
+@udtf(returnType=_doubles("x", "threshold", "cdf"))
 class IdrCdf(_Gather):
     """TABLE(x, y) -> the increasing IDR fit."""
 
