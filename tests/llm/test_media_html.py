@@ -93,6 +93,11 @@ def test_blocks_repair_structure():
     assert found == [("a", "li"), ("b", "li"), ("c", "p"), ("d", "div"), ("e", "div"), ("f", "td"), ("g", "td"), ("h", "td")]
 
 
+def test_quotes_in_tags():
+    found = [b.text for b in blocks("""<p title=don't>a</p><p title="x>y">b</p><p title='"'>c</p><p class="z>d</p>""")]
+    assert found == ["a", "b", "c", "d"]
+
+
 def test_held_out_accuracy():
     model = trained_model()
     right = all_blocks = 0
