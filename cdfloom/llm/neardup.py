@@ -181,8 +181,8 @@ def _pivot_links(sets: DataFrame, rules: NearDup, turn: int) -> DataFrame:
 
 def _tree_pairs(sets: DataFrame, rules: NearDup) -> tuple[DataFrame, DataFrame | None]:
     """Pairs (u, v) of different components (column c) that share a small node and pass the sketch; and
-    the members (node, s) of the nodes that are large to the end."""
-    light = ["s", "c"]
+    the members (node, s, n) of the nodes that are large to the end."""
+    light = ["s", "c", "n"]
     sketch = ["s", "c", "n", *SKETCH]
     roots = sets.withColumn("node", F.explode(F.array(*[F.xxhash64(F.lit(rules.seed), F.lit(t)) for t in range(1, rules.trees + 1)])))
     rows = _children(roots, rules, light)
@@ -204,8 +204,8 @@ def _tree_pairs(sets: DataFrame, rules: NearDup) -> tuple[DataFrame, DataFrame |
         if large.isEmpty():
             return found.distinct(), None
         if level < rules.max_levels:
-            rows = _children(large.select("node", "s").join(sets.select("s", "c", "mh"), "s"), rules, light)
-    return found.distinct(), large.select("node", "s")
+            rows = _children(large.select("node", *light).join(sets.select("s", "mh"), "s"), rules, light)
+    return found.distinct(), large.select("node", "s", "n")
 
 
 def _dense_links(large: DataFrame, sets: DataFrame, docs: DataFrame, rules: NearDup, id_col: str, text_col: str) -> DataFrame:
@@ -218,7 +218,7 @@ def _dense_links(large: DataFrame, sets: DataFrame, docs: DataFrame, rules: Near
     smallest of them only.
     """
     shared = large.groupBy("s").agg(F.sort_array(F.collect_set("node")).alias("nodes"))  # a few nodes a tree
-    sizes = large.join(sets.select("s", "n"), "s").groupBy("node").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    sizes = large.groupBy("node").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("rows") / rules.block_rows, F.col("shingles") * 8 / rules.block_bytes)).cast("int")
     dealt = large.join(sizes.select("node", blocks.alias("blocks")), "node").withColumn("own", F.pmod(F.xxhash64("s", "node"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -226,7 +226,9 @@ def _dense_links(large: DataFrame, sets: DataFrame, docs: DataFrame, rules: Near
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "node", "s")
     texts = docs.select(docs[f"`{id_col}`"].cast("long").alias("s"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).cast("binary").alias("t"))
     sketch = F.array(*SKETCH).alias("k")
-    rows = met.join(sets.select("s", "c", "n", sketch), "s").join(shared, "s").join(texts, "s")
+    # all that a member brings is put together once, before it goes to its meetings
+    members = shared.join(sets.select("s", "c", "n", sketch), "s").join(texts, "s")
+    rows = met.join(members, "s")
     width, percent, least = rules.width, rules.percent, rules.least_agreement()
 
     def meet(rows: pa.Table) -> pa.RecordBatch:
