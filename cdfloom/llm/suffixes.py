@@ -24,6 +24,11 @@ of prefixes resolved by the cover ranks at a shift at which both suffixes hit
 the cover.  Memory is bounded by the batch.  Buckets too large for a batch count
 their strings by fingerprint instead, a row a string, summed up before any
 shuffle.
+
+Passages.  On request, runs of a number of words that also start elsewhere go as
+well, whatever their bytes: the same sample and buckets over words instead of
+bytes, in the same tables.  The lowest bit of a bucket tells its unit.  Strings
+of words are counted by fingerprint inside their bucket.
 """
 
 from __future__ import annotations
@@ -39,11 +44,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import sliced
-from .common import materialize, scratch_path, shuffle_partitions
+from .common import SPACE_CHARS, materialize, scratch_path, shuffle_partitions
 from .shingles import U, mix
 
 LENGTH = 400
 GRAM = 128
+WORD_GRAM = 8  # words whose fingerprint is sampled for passages
 CHUNK_BYTES = 1 << 19
 BATCH_BYTES = 1 << 20  # of stretches that are suffix-sorted at once
 LARGE_BUCKET = 2048  # stretches
@@ -53,11 +59,12 @@ assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
 
 _random = np.random.default_rng(5)
 _BYTES = _random.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * U(2) + U(1)
+_IS_SPACE = np.isin(np.arange(256), list(SPACE_CHARS.encode()))
 _BASES = [int(x) * 4 + 1 for x in _random.integers(0, 1 << 62, 2)]
 
 
 class _Prefix:
-    """Polynomial prefix sums modulo 2**64 of a byte string, for the fingerprint of any substring."""
+    """Polynomial prefix sums modulo 2**64 of a byte string, or of the hashes of words, for the fingerprint of any substring."""
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -72,7 +79,7 @@ class _Prefix:
             self._powers[which] = (made[0], made[1])
         up, self.down = self._powers[which]
         self.total = np.zeros(n, np.uint64)
-        np.cumsum(_BYTES[which][a] * up[:n - 1], out=self.total[1:])
+        np.cumsum((_BYTES[which][a] if a.dtype == np.uint8 else a) * up[:n - 1], out=self.total[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.total[end] - self.total[start]) * self.down[start]
@@ -143,6 +150,71 @@ def _families(texts: list[bytes], number: int, length: int, gram: int) -> list[t
     return [(text + number, lo - base, hi - base, x - base, signed(grams[x]), signed(e1), signed(e2))]
 
 
+@dataclass
+class _Words:
+    """Words of texts, in order: text number, byte offset of the word and of what follows it (the next word or the text's end), hashes."""
+
+    text: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    hashes: tuple[np.ndarray, np.ndarray]
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> _Words:
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        a = np.frombuffer(b"".join(t + b" " for t in texts), np.uint8)
+        edge = np.flatnonzero(np.diff((~_IS_SPACE[a]).astype(np.int8), prepend=0))
+        begin, stop = edge[::2], edge[1::2]
+        ends = np.cumsum(sizes)
+        text = np.searchsorted(ends, begin, "right")
+        follows = np.append(begin[1:], len(a))
+        follows = np.minimum(follows, ends[text] - 1)
+        base = ends[text] - sizes[text]
+        return cls(text, begin - base, follows - base, tuple(mix(_Prefix(a, w).of(begin, stop), w + 6) for w in (0, 1)))
+
+    def windows(self, words: int) -> np.ndarray:
+        """First words of all runs of `words` words inside a text."""
+        i = np.arange(max(0, len(self.text) - words + 1))
+        return i[self.text[i] == self.text[i + words - 1]]
+
+
+def passage_families(texts: list[bytes], words: int, gram: int = WORD_GRAM) -> tuple[np.ndarray, ...]:
+    """Families of the texts' runs of `words` words: text number, first and last byte + 1 of the stretch, bucket, fingerprint (two)."""
+    out: list[tuple[np.ndarray, ...]] = [tuple(np.zeros(0, np.int64) for _ in range(6))]
+    at = 0
+    while at < len(texts):
+        upto, size = at, 0
+        while upto < len(texts) and (size < CHUNK_BYTES or upto == at):
+            size += len(texts[upto])
+            upto += 1
+        found = _Words.of(texts[at:upto])
+        step = 1 << 22
+        for base in range(0, len(found.text) - words + 1, step):  # overlapping stretches of whole runs
+            cut = slice(base, base + step + words - 1)
+            part = _Words(found.text[cut], found.start[cut], found.end[cut], tuple(h[cut] for h in found.hashes))
+            out.append(_passage_families(part, at, words, gram))
+        at = upto
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _passage_families(found: _Words, number: int, words: int, gram: int) -> tuple[np.ndarray, ...]:
+    one, two = (_Prefix(h, w) for w, h in enumerate(found.hashes))
+    starts = np.arange(len(found.text) - gram + 1)
+    grams = mix(one.of(starts, starts + gram), 5)
+    i = found.windows(words)
+    anchor = sliding_argmin(grams, words - gram + 1)[i]
+    text = found.text[i]
+    new = np.ones(len(i), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (i[1:] != i[:-1] + 1) | (text[1:] != text[:-1])
+    first = np.flatnonzero(new)
+    lo, x = i[first], anchor[first]
+    hi = i[np.append(first[1:], len(i)) - 1] if len(i) else i
+    shape = mix(((x - lo) << 20 | (hi - lo)).astype(np.uint64), 4)
+    e1 = mix(one.of(lo, hi + words) ^ shape, 1)
+    e2 = mix(two.of(lo, hi + words) + shape, 2)
+    return (found.text[lo] + number, found.start[lo], found.end[hi + words - 1], *(u.view(np.int64) for u in (grams[x], e1, e2)))
+
+
 def _dense(keys: np.ndarray) -> np.ndarray:
     return np.unique(keys, return_inverse=True)[1].astype(np.uint64)
 
@@ -221,13 +293,19 @@ def _distinct_texts(keyed: DataFrame) -> DataFrame:
 _FAMILY = [T.StructField(c, T.LongType()) for c in ("lo", "hi", "x", "bucket", "e1", "e2")]
 
 
-def _find_families(texts: DataFrame, length: int) -> DataFrame:
+def _find_families(texts: DataFrame, length: int, words: int) -> DataFrame:
     inner = texts.select("k1", "k2", "copies", "t")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, "t", 4 << 20):
-                text, *columns = families(part.column("t").to_pylist(), length)
+                strings = part.column("t").to_pylist()
+                text, *columns = families(strings, length)
+                if words:  # a family of words ends `length` bytes behind its `hi`, as one of bytes does
+                    of, begin, end, bucket, e1, e2 = passage_families(strings, words)
+                    columns[3] &= ~1
+                    text = np.concatenate((text, of))
+                    columns = [np.concatenate(c) for c in zip(columns, (begin, end - length, begin, bucket | 1, e1, e2))]
                 taken = part.select(["k1", "k2", "copies"]).take(pa.array(text))
                 yield pa.RecordBatch.from_arrays([*taken.columns, *map(pa.array, columns)], names=["k1", "k2", "copies", "lo", "hi", "x", "bucket", "e1", "e2"])
 
@@ -242,13 +320,36 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] - 1
 
 
-def _sorted_buckets(stretches: DataFrame, length: int) -> DataFrame:
+def _passage_runs(rows: pa.RecordBatch, length: int, words: int) -> pa.RecordBatch:
+    """k1, k2, from, to: runs of words in open stretches of whole buckets that also start elsewhere there."""
+    found = _Words.of(rows.column("stretch").to_pylist())
+    i = found.windows(words)
+    one, two = (_dense(_Prefix(h, w).of(i, i + words)) for w, h in enumerate(found.hashes))
+    _, inverse, count = np.unique(one << U(32) | two, return_inverse=True, return_counts=True)
+    i = i[count[inverse] > 1]
+    i = i[rows.column("open").to_numpy(zero_copy_only=False)[found.text[i]]]
+    row = found.text[i]
+    lo = rows.column("lo").to_numpy()[row]
+    keys = rows.select(["k1", "k2"]).take(pa.array(row))
+    return pa.RecordBatch.from_arrays([*keys.columns, pa.array(lo + found.start[i]), pa.array(lo + found.end[i + words - 1] - length)], names=["k1", "k2", "from", "to"])
+
+
+def _sorted_buckets(stretches: DataFrame, length: int, words: int) -> DataFrame:
     """k1, k2, from, to: runs of repeated starts in the open stretches, bucket by bucket.
 
     Rows come sorted by bucket; whole buckets are gathered up to a batch.
     """
-    def solve(rows: pa.Table) -> pa.RecordBatch:
+    def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         (rows,) = rows.combine_chunks().to_batches()
+        if words:
+            of_words = (rows.column("bucket").to_numpy() & 1).astype(bool)
+            if of_words.any():
+                yield _passage_runs(rows.filter(pa.array(of_words)), length, words)
+            rows = rows.filter(pa.array(~of_words))
+        if rows.num_rows:
+            yield solve_bytes(rows)
+
+    def solve_bytes(rows: pa.RecordBatch) -> pa.RecordBatch:
         parts = rows.column("stretch").to_pylist()
         sizes = np.array([len(s) for s in parts])
         offset = np.cumsum(sizes) - sizes
@@ -279,55 +380,73 @@ def _sorted_buckets(stretches: DataFrame, length: int) -> DataFrame:
                     bucket = table.column("bucket").to_numpy()
                     cut = len(bucket) if part.column("bucket")[0].as_py() != bucket[-1] else int(np.searchsorted(bucket, bucket[-1], "left"))
                     if cut:
-                        yield solve(table.slice(0, cut))
+                        yield from solve(table.slice(0, cut))
                         rest = table.slice(cut)
                         held = rest.to_batches() if len(rest) else []
                         size = sum(b.nbytes for b in held)
                 held.append(part)
                 size += part.nbytes
         if held:
-            yield solve(pa.Table.from_batches(held))
+            yield from solve(pa.Table.from_batches(held))
 
     columns = stretches.select("bucket", "k1", "k2", "lo", "open", "stretch")
     return columns.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort, _STARTS)
 
 
-def _counted_strings(stretches: DataFrame, length: int) -> DataFrame:
+def _counted_strings(stretches: DataFrame, length: int, words: int) -> DataFrame:
     """k1, k2, from, to of repeated starts in the open stretches of large buckets, by counting fingerprints of strings."""
+    def of_bytes(parts: list[bytes]) -> tuple[np.ndarray, ...]:
+        row, at, h = [], [], []
+        for r, s in enumerate(parts):
+            a = np.frombuffer(s, np.uint8)
+            i = np.arange(len(a) - length + 1)
+            h.append(np.stack([mix(_Prefix(a, w).of(i, i + length), w) for w in (0, 1)]))
+            row.append(np.full(len(i), r))
+            at.append(i)
+        at = np.concatenate(at)
+        return np.concatenate(row), at, at, np.concatenate(h, 1).view(np.int64)
+
+    def of_words(parts: list[bytes]) -> tuple[np.ndarray, ...]:
+        found = _Words.of(parts)
+        i = found.windows(words)
+        h = np.stack([mix(_Prefix(x, w).of(i, i + words), w) for w, x in enumerate(found.hashes)]).view(np.int64)
+        return found.text[i], found.start[i], found.end[i + words - 1] - length, h
+
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, "stretch", 1 << 18):
-                row, at, h = [], [], []
-                for r, s in enumerate(part.column("stretch").to_pylist()):
-                    a = np.frombuffer(s, np.uint8)
-                    i = np.arange(len(a) - length + 1)
-                    h.append(np.stack([mix(_Prefix(a, w).of(i, i + length), w) for w in (0, 1)]))
-                    row.append(np.full(len(i), r))
-                    at.append(i)
-                row, at, h = np.concatenate(row), np.concatenate(at), np.concatenate(h, 1).view(np.int64)
-                taken = part.select(["k1", "k2", "open"]).take(pa.array(row))
-                start = part.column("lo").to_numpy()[row] + at
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(start), pa.array(h[0]), pa.array(h[1])], names=["k1", "k2", "open", "start", "h1", "h2"])
-
-    schema = T.StructType([*[T.StructField(c, T.LongType()) for c in ("k1", "k2")], T.StructField("open", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("start", "h1", "h2")]])
-    rows = stretches.select("k1", "k2", "lo", "open", "stretch").mapInArrow(strings, schema)
+                unit = (part.column("bucket").to_numpy() & 1).astype(bool) if words else np.zeros(part.num_rows, bool)
+                for chosen, made in ((~unit, of_bytes), (unit, of_words)):
+                    if chosen.any():
+                        some = part.filter(pa.array(chosen))
+                        row, at, to, h = made(some.column("stretch").to_pylist())
+                        taken = some.select(["k1", "k2", "open"]).take(pa.array(row))
+                        lo = some.column("lo").to_numpy()[row]
+                        yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(lo + at), pa.array(lo + to), pa.array(h[0]), pa.array(h[1])], names=["k1", "k2", "open", "from", "to", "h1", "h2"])
+
+    schema = T.StructType([*[T.StructField(c, T.LongType()) for c in ("k1", "k2")], T.StructField("open", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("from", "to", "h1", "h2")]])
+    rows = stretches.select("bucket", "k1", "k2", "lo", "open", "stretch").mapInArrow(strings, schema)
     counts = rows.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
-    return rows.where("open").join(counts, ["h1", "h2"], "left_semi").select("k1", "k2", F.col("start").alias("from"), F.col("start").alias("to"))
+    return rows.where("open").join(counts, ["h1", "h2"], "left_semi").select("k1", "k2", "from", "to")
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> Repeats:
+def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False, words: int = 0) -> Repeats:
     """Which bytes of every text are covered by a string of `length` bytes that also starts elsewhere, and the rest.
 
     Null texts count as empty.  Texts shorter than `length` lose nothing; every
     copy of a repeated text loses all that the text's copies share.  Strings
     never cross texts and are judged on the input.  `whole_characters` leaves
     the rests of characters that a cut splits out of `kept`, so that it is a
-    text again.  An empty table gives an empty result; extra columns are not read.
+    text again.  With `words`, runs of so many words (at least WORD_GRAM) that
+    also start elsewhere are covered too, with the white space behind them; words
+    are compared, not the white space between.  An empty table gives an empty
+    result; extra columns are not read.
     """
     text = F.coalesce(docs[f"`{text_col}`"], F.lit("")).cast("binary")
     keyed = docs.select(docs[f"`{id_col}`"].alias("id"), text.alias("t")).select("id", *_key(F.col("t")), "t")
     texts = _distinct_texts(keyed.select("k1", "k2", "t"))
-    found = materialize(_find_families(texts.where(F.octet_length("t") >= length), length), "families")
+    shortest = min(length, 2 * words - 1) if words else length
+    found = materialize(_find_families(texts.where(F.octet_length("t") >= shortest), length, words), "families")
 
     kinds = materialize(found.groupBy("bucket", "e1", "e2").agg(
         F.sum("copies").alias("times"), *[F.first(c).alias(c) for c in ("k1", "k2", "lo", "hi")]), "kinds")
@@ -338,10 +457,10 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         f["bucket"].alias("bucket"), f["kinds"].alias("kinds"), f["lo"].alias("lo"), f["open"].alias("open"),
         F.substring("t", (f["lo"] + 1).cast("int"), (f["hi"] - f["lo"] + length).cast("int")).alias("stretch")))).alias("s"))
     stretches = materialize(cut.select("k1", "k2", "s.*"), "stretches")
-    ranges = _sorted_buckets(stretches.where(F.col("kinds") <= LARGE_BUCKET), length)
+    ranges = _sorted_buckets(stretches.where(F.col("kinds") <= LARGE_BUCKET), length, words)
     large = stretches.where(F.col("kinds") > LARGE_BUCKET)
     if not large.isEmpty():
-        ranges = ranges.unionAll(_counted_strings(large, length))
+        ranges = ranges.unionAll(_counted_strings(large, length, words))
 
     again = kinds.where("times > 1").select("e1", "e2")
     whole = found.select("e1", "e2", "k1", "k2", "lo", "hi").join(again, ["e1", "e2"], "left_semi").select("k1", "k2", F.col("lo").alias("from"), F.col("hi").alias("to"))
@@ -367,7 +486,7 @@ def _cut_texts(joined: DataFrame, length: int, whole_characters: bool) -> DataFr
                         kept.append(text)
                         continue
                     a = np.sort(runs.values.field("from").to_numpy())
-                    b = np.sort(runs.values.field("to").to_numpy()) + length  # runs never nest: both sort alike
+                    b = np.sort(runs.values.field("to").to_numpy()) + length  # sorted apart, they bound the same union, nested runs or not
                     new = np.append(True, a[1:] > np.maximum.accumulate(b)[:-1])
                     begin = a[new]
                     end = np.append(b[:-1][new[1:]], b[-1])
@@ -382,12 +501,12 @@ def _cut_texts(joined: DataFrame, length: int, whole_characters: bool) -> DataFr
     return joined.select("k1", "k2", "t", "r").mapInArrow(cut, "k1 long, k2 long, n_bytes long, n_removed long, spans array<struct<`from`: long, `to`: long>>, kept binary")
 
 
-def drop_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with the repeated bytes cut out of every text; a character that a cut splits goes whole.
+def drop_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", words: int = 0) -> DataFrame:
+    """`docs` with the repeated bytes (and runs of `words` words) cut out of every text; a character that a cut splits goes whole.
 
     Null texts stay null.  All rows and columns stay.
     """
-    found = find_repeats(docs, length, id_col, text_col, whole_characters=True).texts.where("n_removed > 0").select(
+    found = find_repeats(docs, length, id_col, text_col, whole_characters=True, words=words).texts.where("n_removed > 0").select(
         F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.decode("kept", "UTF-8").alias("__kept"))
     text = F.coalesce(docs[f"`{text_col}`"], F.lit("")).cast("binary")
     keyed = docs.select("*", *[k.alias(n) for k, n in zip(_key(text), ("__d1", "__d2"))])

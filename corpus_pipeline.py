@@ -21,6 +21,9 @@ from cdfloom.llm.quality import filter_quality
 from cdfloom.llm.queries import vocabulary
 from cdfloom.llm.suffixes import drop_repeats
 
+#: Passages of over 50 words that repeat go, short as their words may be.
+PASSAGE_WORDS = 51
+
 
 def _stage(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """A stage gives back the scratch of the one before, whose result is written by then."""
@@ -47,8 +50,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of long repeated strings; n_chars follows the text.  Documents left empty stay."""
-    cut = drop_repeats(docs)
+    """Texts without repeated passages: runs of PASSAGE_WORDS words, or of 400 bytes, that also start elsewhere.
+
+    n_chars follows the text.  Documents left empty stay.
+    """
+    cut = drop_repeats(docs, words=PASSAGE_WORDS)
     return cut.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
