@@ -317,6 +317,17 @@ def near_duplicates(docs: DataFrame, rules: NearDup = NearDup(), id_col: str = "
 
 
 def keep_one(docs: DataFrame, rules: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` of the smallest id of each component, and those of a null id."""
-    gone = near_duplicates(docs, rules, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[f"`{id_col}`"] == gone["__gone"], "left_anti")
+    """One row of `docs` of each group of near copies: that of the smallest id, a null id last.
+
+    Every row is a document of its own here, so repeated rows and rows of a null
+    id are near copies like others, and rows that share an id but not the text
+    are not.  Of rows without words, one of each id and text is kept.
+    """
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "keep-rows")
+    found = near_duplicates(rows, rules, "__row", text_col).select(F.col("__row").alias("__r"), F.col("n_shingles").alias("__n"), F.col("component_id").alias("__c"))
+    # what groups rows without words: their id and text; null ids are alike in a groupBy
+    wordless = F.col("__n") == 0
+    keyed = rows.select("__row", rows[f"`{id_col}`"].alias("__id"), F.xxhash64(rows[f"`{text_col}`"]).alias("__h"), rows[f"`{text_col}`"].isNull().alias("__null")).join(found, F.col("__row") == F.col("__r"))
+    group = [F.when(~wordless, F.col("__c")), F.when(wordless, F.col("__id")), F.when(wordless, F.col("__h")), F.when(wordless, F.col("__null"))]
+    first = keyed.groupBy(*[g.alias(f"__g{k}") for k, g in enumerate(group)]).agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("__first"))
+    return rows.join(first.select(F.col("__first")["__row"].alias("__kept")), F.col("__row") == F.col("__kept"), "left_semi").drop("__row")
