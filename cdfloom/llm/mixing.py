@@ -100,7 +100,7 @@ class Mixed:
     pieces: DataFrame
 
 
-def plan_mix(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", partitions: int | None = None) -> Mixed:
+def plan_mix(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", partitions: int | None = None, keep: tuple[str, ...] = ()) -> Mixed:
     """Plan a mix of all `docs`.
 
     Word offsets are prefix sums over range partitions by source and id: only
@@ -108,7 +108,8 @@ def plan_mix(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col
     over many tasks.  Null ids sort first; rows equal in source, id and size
     share their offsets' order by text hash, and rows equal in that too are
     interchangeable.  Documents without words get no piece and no share.  An
-    empty table gives an empty mix.  Other columns are not read.
+    empty table gives an empty mix.  The plan's docs carry the columns `keep`
+    along; others are not read.
     """
     spark = docs.sparkSession
     n = partitions or shuffle_partitions(spark)
@@ -116,7 +117,7 @@ def plan_mix(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col
     sized = docs.select(
         docs[f"`{source_col}`"].alias("source"), docs[f"`{id_col}`"].alias("id"),
         word_count(text).alias("size"), F.xxhash64(text).alias("h"),
-        (F.monotonically_increasing_id() % 1009).alias("salt"),
+        (F.monotonically_increasing_id() % 1009).alias("salt"), *[docs[f"`{c}`"] for c in keep],
     )
     order = ["source", "id", "h", "salt"]
     rows = materialize(sized.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "mix-rows")
@@ -161,7 +162,7 @@ def plan_mix(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col
         .join(starts.select(F.col("source").alias("__s0"), F.col("part").alias("__p0"), "b0"),
               F.col("source").eqNullSafe(F.col("__s0")) & (F.col("part") == F.col("__p0")))
         .join(known, F.col("source").eqNullSafe(F.col("__s")))
-        .select("id", "h", "salt", "part", "source", "sid", "size", "source_size", "target", (F.col("b0") + F.col("inside")).alias("offset"))
+        .select("id", "h", "salt", "part", "source", "sid", "size", "source_size", "target", (F.col("b0") + F.col("inside")).alias("offset"), *keep)
     )
     placed = materialize(placed, "mix-placed")
     length = mix.block_words
@@ -174,8 +175,8 @@ def plan_mix(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col
     return Mixed(placed, slots, pieces)
 
 
-def taken_words(mixed: Mixed) -> DataFrame:
-    """The documents with `taken`: how many of their words, repeats counted, the mix takes.
+def taken_words(mixed: Mixed, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The documents with `taken`: how many of their words, repeats counted, the mix takes; and the plan's columns `keep`.
 
     (source, offset) names a document with words: two never start at one word.
     """
@@ -186,7 +187,7 @@ def taken_words(mixed: Mixed) -> DataFrame:
     )
     some = mixed.docs.where("size > 0").join(taken, ["sid", "offset"], "left")
     none = mixed.docs.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    cols = ["id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")]
+    cols = ["id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), *keep]
     return some.select(*cols).unionAll(none.select(*cols))
 
 

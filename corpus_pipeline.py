@@ -63,13 +63,17 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: its words over the document's words, at most twice.
 
     A fraction left over is rounded up or down by a hash of the id, with the
-    fraction as the chance, so a source's words stay near its target.  Copies
-    of a document are rows of the same doc_id; one without words isn't taken.
+    fraction as the chance, so a source's words stay near its target; a null id
+    is replaced by a hash of the text there.  Copies of a document are rows of the
+    same doc_id; one without words isn't taken.  Every row is a document of its
+    own, with a null doc_id or one that other rows have as well.
     """
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-keyed")
     share = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0)
-    chance = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 20)) / (1 << 20)
-    taken = taken_words(plan_mix(docs)).select(F.col("id").alias("__id"), F.floor(share + chance).cast("int").alias("__times")).where("__times > 0")
-    joined = docs.join(taken, docs["doc_id"] == taken["__id"])
+    named = F.when(F.col("id").isNotNull(), F.xxhash64("id", F.lit(23))).otherwise(F.xxhash64("h", F.lit(23)))
+    chance = F.pmod(named, F.lit(1 << 20)) / (1 << 20)
+    taken = taken_words(plan_mix(rows, keep=("__row",)), keep=("h", "__row")).select(F.col("__row").alias("__taken"), F.floor(share + chance).cast("int").alias("__times")).where("__times > 0")
+    joined = rows.join(taken, rows["__row"] == taken["__taken"])
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -32,3 +32,19 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     of_b = [k for k in got if k[0] is None and k[1] and k[1].startswith(b)]
     assert len(of_b) == 1 and got.pop(of_b[0]) == 1
     assert got == {(5, a): 1, (7, c): 1, (3, d): 1, (11, e): 1, (12, None): 1, (13, None): 1, (None, None): 1, (None, " "): 1}
+
+
+def test_mixing_takes_every_row_by_itself(spark):
+    """One source owes 1.5 times its words: every row comes once or twice, null and shared ids as well."""
+    rows = [(None, text(k)) for k in range(40)] + [(k // 4, text(100 + k)) for k in range(40)]
+    got = pairs(P.mix(spark, frame(spark, [(i, t, "a") for i, t in rows]), ""))
+    assert set(got) == set(rows) and set(got.values()) == {1, 2}
+
+
+def test_repeated_rows_survive_from_near_dedup_to_mixing(spark):
+    rows = [(k, text(k)) for k in range(12)] + [(None, text(50 + k)) for k in range(12)]
+    docs = frame(spark, [(i, t, "a") for i, t in rows * 3])
+    for stage in (P.near_dedup, P.substring_dedup, P.mix):
+        docs = P.materialize(stage(spark, docs, ""), "test-rows")
+    got = pairs(docs)
+    assert set(got) == set(rows) and set(got.values()) <= {1, 2}
