@@ -44,3 +44,21 @@ def test_entry_imports_without_a_session():
     import sys
 
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries(); e.oracle_sql()"], check=True, timeout=120)
+
+
+@pytest.mark.parametrize("gone", [["cdfloom/llm", "tests/llm"], ["cdfloom/llm", "tests/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_entry_without_the_training_data_operators(tmp_path, gone):
+    """Both registries work in a copy that lacks the subpackage, the pipeline, or both."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse", ".pytest_cache", *[os.path.basename(g) for g in gone]))
+    for g in gone:
+        assert not (copy / g).exists()
+    code = "import __spark_entry__ as e; q = e.queries(); o = e.oracle_sql(); assert set(o) <= set(q); print(sorted(n for n in q if n == 'pipeline' or n.startswith('op1')))"
+    said = subprocess.run([sys.executable, "-B", "-c", code], check=True, timeout=120, cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True).stdout
+    assert said.strip() == ("['op10_quality_rules', 'op1_html_extraction']" if gone == ["corpus_pipeline.py"] else "[]")
