@@ -38,16 +38,10 @@ def expected_shortfall(df: DataFrame, y: str, alpha: float, weight: str | None =
     return out.select(*by, F.when(F.col("k") >= math.ceil(1 / alpha), F.col("v")).alias("expected_shortfall"))
 
 
-@F.pandas_udf(DoubleType())
-def km_at(y: pd.Series, observed: pd.Series, w: pd.Series, z: pd.Series) -> float:
-    """Grouped: Kaplan-Meier CDF at the (constant) z."""
-    return functionals.km_at(y.to_numpy(), observed.to_numpy(), float(z.iloc[0]), w.to_numpy())
-
-
 @F.pandas_udf(DoubleType())
 def variance(y: pd.Series, w: pd.Series) -> float:
     """Grouped: the reliability-weighted variance as a plug-in for any group."""
-    return functionals.variance(y.to_numpy(), None, w.to_numpy())
+    return functionals.variance(functionals.Rows.of(y.to_numpy(), None, w.to_numpy()))
 
 
 def order_statistic(df: DataFrame, y: str, k: int, by: list[str] | None = None) -> DataFrame:

@@ -1,98 +1,260 @@
-"""Block aggregates for generic isotonic regression (numpy)."""
+"""Block aggregates for generic isotonic regression, and values of ordered samples (numpy)."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 
-from .survival import clip_triangle, km_at, min_max
+from ..errors import TooLarge
+from .survival import interval_cdfs, km_at, min_max
 
-#: Takes (y, observed, weight) of the rows of a block.
-Functional = Callable[[np.ndarray, np.ndarray, np.ndarray], float]
+MAX_SAMPLE = 600  # rows of an ordered sample whose intervals are all looked at: the cost grows with their cube
 
 
-def average(y, observed, w) -> float:
-    return float((w * y).sum() / w.sum()) if w.sum() > 0 else math.nan
+@dataclass(frozen=True)
+class Rows:
+    """Rows of a block; equal ones may be added up: weight w, sum of squared weights ww, number k."""
 
+    y: np.ndarray
+    observed: np.ndarray
+    w: np.ndarray
+    ww: np.ndarray
+    k: np.ndarray
 
-def variance(y, observed, w) -> float:
-    """Reliability-weighted sample variance; NaN for fewer than two rows."""
-    total = w.sum()
-    free = total - (w * w).sum() / total if total > 0 else 0
-    if len(y) < 2 or free <= 0:
-        return math.nan
-    mean = (w * y).sum() / total
-    return float((w * (y - mean) ** 2).sum() / free)
+    @classmethod
+    def of(cls, y, observed=None, w=None) -> Rows:
+        """Rows that are not added up."""
+        y = np.asarray(y, float)
+        w = np.ones(len(y)) if w is None else np.asarray(w, float)
+        return cls(y, np.ones(len(y), bool) if observed is None else np.asarray(observed, bool), w, w * w, np.ones(len(y)))
+
+    def __getitem__(self, at) -> Rows:
+        return Rows(self.y[at], self.observed[at], self.w[at], self.ww[at], self.k[at])
+
+    def __add__(self, other: Rows) -> Rows:
+        return Rows(*(np.concatenate(c) for c in zip(self._all(), other._all())))
+
+    def _all(self) -> tuple[np.ndarray, ...]:
+        return self.y, self.observed, self.w, self.ww, self.k
+
+
+#: The value of a block; NaN where it has none.
+Functional = Callable[[Rows], float]
+
+
+@dataclass(frozen=True)
+class Moments:
+    """A functional of a block's (k, w, ww, mean, sum of squared deviations), for blocks and, from prefix sums, for all intervals."""
+
+    value: Callable[..., np.ndarray]
+
+    def __call__(self, rows: Rows) -> float:
+        w = rows.w.sum()
+        mean = (rows.w * rows.y).sum() / w if w > 0 else math.nan
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return float(self.value(rows.k.sum(), w, rows.ww.sum(), mean, (rows.w * (rows.y - mean) ** 2).sum()))
+
+    def table(self, at: np.ndarray, g: int, rows: Rows) -> np.ndarray:
+        centre = float((rows.w * rows.y).sum() / rows.w.sum()) if rows.w.sum() > 0 else 0.0
+        y = rows.y - centre  # what is squared is small
+        edges = [np.concatenate(([0.0], np.cumsum(np.bincount(at, v, g)))) for v in (rows.k, rows.w, rows.ww, rows.w * y, rows.w * y * y)]
+        k, w, ww, m1, m2 = (e[None, 1:] - e[:-1, None] for e in edges)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = np.where(w > 0, m1 / w, np.nan)
+            return self.value(k, w, ww, mean + centre, np.maximum(m2 - mean * m1, 0.0))
+
+
+average = Moments(lambda k, w, ww, mean, ss: mean)
+
+
+def _variance(k, w, ww, mean, ss):
+    free = w - ww / w
+    return np.where((k >= 2) & (free > 0), ss / free, np.nan)
+
+
+#: Reliability-weighted sample variance; NaN for fewer than two rows.
+variance = Moments(_variance)
 
 
 def expected_shortfall(alpha: float) -> Functional:
     """Mean of the lower `alpha` mass; NaN for fewer than ceil(1 / alpha) rows."""
-    def of(y, observed, w) -> float:
-        if len(y) < math.ceil(1 / alpha):
+    def of(rows: Rows) -> float:
+        if rows.k.sum() < math.ceil(1 / alpha):
             return math.nan
-        order = np.argsort(y, kind="stable")
-        mass = w[order]
+        order = np.argsort(rows.y, kind="stable")
+        mass = rows.w[order]
         cut = alpha * mass.sum()
         used = np.clip(cut - (np.cumsum(mass) - mass), 0, mass)
-        return float((used * y[order]).sum() / cut)
+        return float((used * rows.y[order]).sum() / cut)
     return of
 
 
-def kaplan_meier_at(threshold: float) -> Functional:
-    return lambda y, observed, w: km_at(y, observed, threshold, w)
+@dataclass(frozen=True)
+class KaplanMeierAt:
+    """The Kaplan-Meier CDF at a threshold."""
 
+    threshold: float
 
-def _blocks(x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    u, at = np.unique(x, return_inverse=True)
-    order = np.argsort(at, kind="stable")
-    return u, np.split(order, np.cumsum(np.bincount(at))[:-1])
+    def __call__(self, rows: Rows) -> float:
+        return km_at(rows.y, rows.observed, self.threshold, rows.w)
+
+    def table(self, at: np.ndarray, g: int, rows: Rows) -> np.ndarray:
+        t, ti = np.unique(rows.y, return_inverse=True)
+        events, leaves = np.zeros((len(t), g)), np.zeros((len(t), g))
+        np.add.at(events, (ti[rows.observed], at[rows.observed]), rows.w[rows.observed])
+        np.add.at(leaves, (ti[~rows.observed], at[~rows.observed]), rows.w[~rows.observed])
+        out = np.zeros((g, g))
+        times = t[events.any(1)]
+        for z, out_now in zip(times, interval_cdfs(events, leaves)):
+            if z > self.threshold:
+                break
+            out = out_now
+        return out
 
 
-def pooled(x, y, observed, w, functional: Functional, increasing: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators with any block aggregate: distinct x and fitted values."""
-    u, groups = _blocks(x)
+kaplan_meier_at = KaplanMeierAt
+
+
+def pooled(x, rows: Rows, functional: Functional, increasing: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators with any block aggregate: distinct x and fitted values.
+
+    Blocks without a value are pooled with the one before.
+    """
+    u, at = np.unique(x, return_inverse=True)
+    order = np.argsort(at, kind="stable")
     sign = 1 if increasing else -1
-    stack: list[tuple[float, np.ndarray, int]] = []
-    for rows in groups:
-        value, size = functional(y[rows], observed[rows], w[rows]), 1
+    stack: list[tuple[float, Rows, int]] = []
+    for mine in np.split(order, np.cumsum(np.bincount(at))[:-1]):
+        block, size = rows[mine], 1
+        value = functional(block)
         while stack and (math.isnan(stack[-1][0]) or math.isnan(value) or sign * stack[-1][0] > sign * value):
             _, before, k = stack.pop()
-            rows, size = np.concatenate((before, rows)), size + k
-            value = functional(y[rows], observed[rows], w[rows])
-        stack.append((value, rows, size))
+            block, size = before + block, size + k
+            value = functional(block)
+        stack.append((value, block, size))
     return u, np.repeat([s[0] for s in stack], [s[2] for s in stack])
 
 
-def interval_table(x, y, observed, w, functional: Functional) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct x and the functional of every interval of them."""
-    u, groups = _blocks(x)
-    table = np.full((len(u), len(u)), np.nan)
-    for r in range(len(u)):
-        rows = np.zeros(0, int)
-        for s in range(r, len(u)):
-            rows = np.concatenate((rows, groups[s]))
-            table[r, s] = functional(y[rows], observed[rows], w[rows])
+def interval_table(x, rows: Rows, functional: Functional) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct x and the functional of every interval [r, s] of them, r <= s."""
+    u, at = np.unique(x, return_inverse=True)
+    g = len(u)
+    if hasattr(functional, "table"):
+        table = functional.table(at, g, rows)
+        table[np.tril_indices(g, -1)] = np.nan
+        return u, table
+    # a running sum over one dense axis of distinct (y, observed): no interval's rows are copied together
+    kinds, kind = np.unique(np.stack((rows.y, rows.observed.astype(float))), axis=1, return_inverse=True)
+    cells = np.zeros((3, g, kinds.shape[1]))
+    for c, v in zip(cells, (rows.w, rows.ww, rows.k)):
+        np.add.at(c, (at, kind.ravel()), v)
+    y, seen = kinds[0], kinds[1].astype(bool)
+    table = np.full((g, g), np.nan)
+    for r in range(g):
+        running = np.zeros((3, kinds.shape[1]))
+        for s in range(r, g):
+            running += cells[:, s]
+            some = running[2] > 0
+            table[r, s] = functional(Rows(y[some], seen[some], *running[:, some]))
     return u, table
 
 
-def by_definition(x, y, observed, w, functional: Functional, increasing: bool = True, clip: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """All intervals, clipped by increasing length, then max-min (increasing) or min-max."""
-    u, table = interval_table(x, y, observed, w, functional)
-    clipped = clip_triangle(table) if clip else table
-    return u, min_max(clipped, not increasing)
+def clip_in_turn(raw: np.ndarray) -> np.ndarray:
+    """Recursive clipping of interval values raw[r, s] by increasing length, for functionals of any kind.
+
+    A value moves into the range of the two parts of each split in turn, from the
+    left; a split with an unknown part is passed over.  Where the ranges of all
+    splits meet, this is `clip_triangle`.
+    """
+    g = len(raw)
+    c = raw.copy()
+    for length in range(2, g + 1):
+        r = np.arange(g - length + 1)
+        s = r + length - 1
+        now = c[r, s]
+        for k in range(length - 1):
+            left, right = c[r, r + k], c[r + k + 1, s]
+            low, high = np.minimum(left, right), np.maximum(left, right)  # NaN if either is
+            now = np.where(np.isnan(low), now, np.fmax(np.fmin(now, high), low))
+        c[r, s] = now
+    return c
+
+
+def by_definition(x, rows: Rows, functional: Functional, increasing: bool = True, clip: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """All intervals, clipped by increasing length, then max-min (increasing) or min-max.
+
+    Intervals without a value (NaN) are left out; where all that hold a covariate lack one, its value is NaN.
+    """
+    u, table = interval_table(x, rows, functional)
+    return u, min_max(clip_in_turn(table) if clip else table, not increasing)
+
+
+# ---- values of an ordered sample ----
+
+def _bounded(n: int) -> None:
+    if n > MAX_SAMPLE:
+        raise TooLarge(f"{n} rows of a sample: {MAX_SAMPLE} at most; use keys (by) or sum up")
+
+
+def clipped_value(x, rows: Rows, functional: Functional) -> float:
+    """The functional of a whole ordered sample, clipped recursively by its parts (the distinct x)."""
+    _bounded(len(np.unique(x)))
+    _, table = interval_table(x, rows, functional)
+    return float(clip_in_turn(table)[0, -1])
+
+
+@dataclass(frozen=True)
+class Selected:
+    """value; start, end: first and last row of the interval whose own variance it is; blocks, largest, smallest:
+    number and extreme sizes of the parts that the splits on the way there leave."""
+
+    value: float
+    start: int
+    end: int
+    blocks: int
+    largest: int
+    smallest: int
+
 
+def variance_of_splits(y: np.ndarray) -> Selected:
+    """The variance of an ordered sample as a median over splits, and where it comes from.
 
-def split_median(y: np.ndarray, observed: np.ndarray, w: np.ndarray, functional: Functional) -> tuple[float, list[dict]]:
-    """Recursive clipping on an ordered sample: the value of the whole, and a trace of its parts."""
+    By increasing length from 4: the value of an interval is the median of its
+    own sample variance and of the values of both parts of every split into
+    parts of two rows at least.  Of equal candidates the own variance comes
+    first, then left parts, then right parts, each by the place of the split.
+    """
+    y = np.asarray(y, float)
     n = len(y)
-    table = np.full((n, n), np.nan)
-    for r in range(n):
-        for s in range(r, n):
-            table[r, s] = functional(y[r:s + 1], observed[r:s + 1], w[r:s + 1])
-    known = np.isnan(table)
-    table[known] = 0.0
-    clipped = clip_triangle(table)
-    trace = [{"start": r, "end": s, "raw": float(table[r, s]), "value": float(clipped[r, s])} for r in range(n) for s in range(r, n)]
-    return float(clipped[0, n - 1]), trace
+    if n < 2:
+        return Selected(math.nan, 0, max(n - 1, 0), 1, n, n)
+    _bounded(n)
+    s1, s2 = (np.concatenate(([0.0], np.cumsum(v))) for v in (y, y * y))
+    size = np.arange(1, n + 1)[None, :] - np.arange(n)[:, None]
+    t1, t2 = s1[None, 1:] - s1[:-1, None], s2[None, 1:] - s2[:-1, None]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        value = np.where(size >= 2, (t2 - t1 * t1 / size) / (size - 1), np.nan)
+    # start, end, blocks, largest, smallest of every interval
+    trace = np.stack((np.broadcast_to(np.arange(n)[:, None], (n, n)), np.broadcast_to(np.arange(n)[None, :], (n, n)), np.ones((n, n), int), size, size)).astype(np.int64)
+    for length in range(4, n + 1):
+        r = np.arange(n - length + 1)[:, None]
+        s = r + length - 1
+        k = r + np.arange(1, length - 2)[None, :]  # last rows of the left parts
+        parts = np.concatenate((value[r, s], value[r, k], value[k + 1, s]), 1)
+        half = parts.shape[1] // 2
+        median = np.partition(parts, half, axis=1)[:, half]
+        chosen = (parts == median[:, None]).argmax(1)
+        before = trace[:, r[:, 0], s[:, 0]]
+        splits = length - 3
+        left = (chosen > 0) & (chosen <= splits)
+        at = r[:, 0] + 1 + np.where(left, chosen - 1, chosen - 1 - splits)
+        lo, hi = np.where(left, r[:, 0], np.minimum(at + 1, n - 1)), np.where(left, at, s[:, 0])
+        part = trace[:, lo, np.minimum(hi, n - 1)]
+        other = np.where(left, s[:, 0] - at, at - r[:, 0] + 1)
+        made = np.stack((part[0], part[1], part[2] + 1, np.maximum(part[3], other), np.minimum(part[4], other)))
+        trace[:, r[:, 0], s[:, 0]] = np.where(chosen == 0, before, made)
+        value[r[:, 0], s[:, 0]] = median
+    return Selected(float(value[0, n - 1]), *trace[:, 0, n - 1].tolist())

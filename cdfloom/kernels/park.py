@@ -10,15 +10,26 @@ import math
 import numpy as np
 
 
-def default_centres(x: np.ndarray) -> np.ndarray:
-    """Evenly spaced quantiles, as many as a Silverman bandwidth fits into the range."""
-    x = np.sort(np.asarray(x, float))
-    spread = x.std(ddof=1) if len(x) > 1 else 0.0
-    iqr = np.subtract(*np.quantile(x, [0.75, 0.25])) / 1.34
+def _quantiles(x: np.ndarray, count: np.ndarray, q) -> np.ndarray:
+    """Linear quantiles of sorted distinct x that occur `count` times each."""
+    upto = np.cumsum(count)
+    at = np.asarray(q) * (upto[-1] - 1)
+    low, high = (x[np.searchsorted(upto, f(at), "right")] for f in (np.floor, np.ceil))
+    return low + (at - np.floor(at)) * (high - low)
+
+
+def default_centres(x: np.ndarray, count: np.ndarray | None = None) -> np.ndarray:
+    """Evenly spaced quantiles, as many as a Silverman bandwidth fits into the range; x may occur `count` times each."""
+    x, at = np.unique(np.asarray(x, float), return_inverse=True)
+    count = np.bincount(at, count).astype(float)
+    n = count.sum()
+    mean = (count * x).sum() / n
+    spread = math.sqrt((count * (x - mean) ** 2).sum() / (n - 1)) if n > 1 else 0.0
+    iqr = float(np.subtract(*_quantiles(x, count, [0.75, 0.25]))) / 1.34
     scale = min(s for s in (spread, iqr) if s > 0) if max(spread, iqr) > 0 else 0.0
-    width = 0.9 * scale * len(x) ** -0.2
+    width = 0.9 * scale * n ** -0.2
     k = 1 if width <= 0 else max(1, math.ceil((x[-1] - x[0]) / (2 * width)))
-    return np.unique(np.quantile(x, (np.arange(k) + 0.5) / k))
+    return np.unique(_quantiles(x, count, (np.arange(k) + 0.5) / k))
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -29,16 +40,15 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 class _Group:
-    def __init__(self, time: np.ndarray, event: np.ndarray) -> None:
-        t, at = np.unique(time, return_inverse=True)
-        dead = np.bincount(at, event, len(t))
-        risk = np.cumsum(np.bincount(at, minlength=len(t))[::-1])[::-1]
+    def __init__(self, time: np.ndarray, event: np.ndarray, count: np.ndarray) -> None:
+        self.all, at = np.unique(time, return_inverse=True)
+        dead = np.bincount(at, event * count, len(self.all))
+        self.left = np.append(np.cumsum(np.bincount(at, count, len(self.all))[::-1])[::-1], 0.0)  # at risk at each time
         some = dead > 0
-        self.time, self.dead, self.risk = t[some], dead[some], risk[some].astype(float)
-        self.all = np.sort(time)
+        self.time, self.dead, self.risk = self.all[some], dead[some], self.left[:-1][some]
 
-    def at_risk(self, t: float) -> int:
-        return len(self.all) - int(np.searchsorted(self.all, t, "left"))
+    def at_risk(self, t: float) -> float:
+        return float(self.left[np.searchsorted(self.all, t, "left")])
 
     def log_survival(self, t: float) -> float:
         k = np.searchsorted(self.time, t, "right")
@@ -88,11 +98,12 @@ def _pooled(groups: list[_Group], t: float, epsilon: float) -> float:
     return (low + high) / 2
 
 
-def fit(x: np.ndarray, y: np.ndarray, observed: np.ndarray, centres: np.ndarray, epsilon: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Times and CDFs (group x time); NaN where a group has nobody at risk any more."""
+def fit(x: np.ndarray, y: np.ndarray, observed: np.ndarray, centres: np.ndarray, epsilon: float = 1e-4, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Times and CDFs (group x time); NaN where a group has nobody at risk any more.  A row may stand for `count` equal ones."""
     y, observed = np.asarray(y, float), np.asarray(observed, bool)
+    count = np.ones(len(y)) if count is None else np.asarray(count, float)
     of = nearest(np.asarray(x, float), centres)
-    groups = [_Group(y[of == k], observed[of == k]) for k in range(len(centres))]
+    groups = [_Group(y[of == k], observed[of == k], count[of == k]) for k in range(len(centres))]
     times = np.unique(np.concatenate((y[observed], np.nextafter(y[~observed], np.inf))))
     cdf = np.full((len(centres), len(times)), np.nan)
     for j, t in enumerate(times):

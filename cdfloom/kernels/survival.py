@@ -58,13 +58,10 @@ def clip_triangle(raw: np.ndarray) -> np.ndarray:
 
 
 def min_max(table: np.ndarray, decreasing_in_index: bool) -> np.ndarray:
-    """min over r <= i of max over s >= i of table[r, s] (decreasing in i), or max of min."""
-    g = len(table)
-    outer, inner, fill = (np.minimum, np.maximum, np.inf) if decreasing_in_index else (np.maximum, np.minimum, -np.inf)
-    m = table.copy()
-    m[np.tril_indices(g, -1)] = -fill
-    suffix = inner.accumulate(m[:, ::-1], axis=1)[:, ::-1]
-    suffix[np.tril_indices(g, -1)] = fill
+    """min over r <= i of max over s >= i of table[r, s] (decreasing in i), or max of min; NaN cells are left out."""
+    outer, inner = (np.fmin, np.fmax) if decreasing_in_index else (np.fmax, np.fmin)
+    suffix = inner.accumulate(table[:, ::-1], axis=1)[:, ::-1].copy()
+    suffix[np.tril_indices(len(table), -1)] = np.nan
     return outer.reduce(suffix, axis=0)
 
 

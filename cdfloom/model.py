@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
@@ -18,6 +19,7 @@ from .kernels.pava import chain_fits
 from .operators.prep import CovariateOrder, Roles, aggregated, drop_early_censored, plain, thresholds, validate
 from .plans import sqlform
 from .plans.asof import asof_both
+from .plans.offsets import with_offsets
 
 SQL_COVARIATES = 64  # longest chain that is fitted as a Catalyst plan
 BLOCK_CELLS = 4_000_000  # threshold x covariate cells of a task
@@ -47,6 +49,24 @@ class IDRModel:
         order = "total" if m.total else f"partial {m.groups or 'comp'}"
         return f"IDRModel(x={m.x}, by={m.by}, order={order}, {'increasing' if m.increasing else 'decreasing'}, y_order={m.y_order}, subsamples={m.subsamples})"
 
+    def __str__(self) -> str:
+        m = self.meta
+        lines = [
+            "Isotonic distributional regression",
+            f"  covariates: {', '.join(m.x)}" + (f" (keys: {', '.join(m.by)})" if m.by else ""),
+            f"  order: {'total' if m.total else 'partial'}, {'increasing' if m.increasing else 'decreasing'}, {'stochastic dominance' if m.y_order == 'sd' else 'hazard rate'}",
+        ]
+        lines += [f"  group {kind}: {', '.join(names)}" for kind, names in m.groups]
+        return "\n".join(lines + ([f"  averaged over {m.subsamples} subsamples"] if m.subsamples > 1 else []))
+
+    def summary(self) -> DataFrame:
+        """by..., n_covariates, n_thresholds, precision, convergence_fraction, and the largest last value (below 1: a sub-CDF)."""
+        m = self.meta
+        sizes = self.cdfs.groupBy(*m.by).agg(F.count_distinct("at").alias("n_covariates"), F.max(F.try_element_at("cdf", F.lit(-1))).alias("largest_last"))
+        grids = self.grid.select(*m.by, F.size("thresholds").alias("n_thresholds"))
+        joined = sizes.join(grids, m.by).join(self.diagnostic(), m.by) if m.by else sizes.crossJoin(grids).crossJoin(self.diagnostic())  # one row each
+        return joined.select(*m.by, "n_covariates", "n_thresholds", "precision", "convergence_fraction", "largest_last")
+
     # ---- accessors ----
 
     def dimension(self) -> int:
@@ -81,7 +101,7 @@ class IDRModel:
         return self._with_grid(self.cdfs).groupBy(*self.meta.by).agg(F.count_if(~(rising & inside & (F.size("cdf") == F.size("thresholds")))).alias("bad"))
 
     def _with_grid(self, df: DataFrame) -> DataFrame:
-        return df.join(self.grid, self.meta.by) if self.meta.by else df.crossJoin(F.broadcast(self.grid))  # one row
+        return df.join(self.grid, self.meta.by) if self.meta.by else df.crossJoin(self.grid)  # one row
 
     # ---- persistence ----
 
@@ -183,7 +203,7 @@ class IDRModel:
         found = bounds.groupBy(*m.by, *keys, "subsample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", value.alias("c")))), lambda s: s["c"]).alias("cdf"))
         every = asked.select(*m.by, *keys).withColumn("subsample_id", F.explode(F.sequence(F.lit(0), F.lit(m.subsamples - 1))))
         fallback = self.global_cdf.select(*m.by, F.col("cdf").alias("__global"))
-        every = every.join(fallback, m.by) if m.by else every.crossJoin(F.broadcast(fallback))  # one row
+        every = every.join(fallback, m.by) if m.by else every.crossJoin(fallback)  # one row
         known = every.join(found, [*m.by, *keys, "subsample_id"], "left")
         null = F.lit(False)
         for k in keys:
@@ -222,87 +242,145 @@ class IDRModel:
 # ---- subsamples ----
 
 def subsample_plan(n: int, subsamples: int | None, size: int | float | None, replacement: bool | None) -> tuple[int, int, bool]:
-    """(number, rows of each, with replacement) by the parameter rules; sizes in (0, 1) are shares."""
+    """(number, rows of each, with replacement) by the parameter rules.
+
+    A float size is a share in (0, 1].  All rows (n, or 1.0) count as no size
+    given: then a subsample has n rows without replacement, half of them with.
+    Subsamples of all rows without replacement are one fit.
+    """
+    if subsamples is not None and subsamples < 1:
+        raise SubaggingParameterInconsistency("subsamples must be at least 1")
+    share = isinstance(size, float)
+    if size is not None and not (0 < size <= 1 if share else 1 <= size <= n):
+        raise SubaggingParameterInconsistency(f"subsample size {size}: a share in (0, 1] or 1 to {n} rows")
+    if size == (1.0 if share else n):
+        size, share = None, False
     if subsamples is None:
-        if size is not None or replacement is not None:
-            raise SubaggingParameterInconsistency("subsample_size and replace need subsamples")
+        if size is not None:
+            raise SubaggingParameterInconsistency("subsample_size needs subsamples")
+        if replacement:
+            raise SubaggingParameterInconsistency("replace needs subsamples and their size")
         return 1, n, False
-    if subsamples < 1:
-        raise SubaggingParameterInconsistency("subsamples must be at least 1")
     replacement = bool(replacement)
-    rows = (n if replacement else max(1, n // 2)) if size is None else (round(size * n) if isinstance(size, float) else int(size))
-    if not 1 <= rows <= n:
-        raise SubaggingParameterInconsistency(f"subsample size {rows} of {n} rows")
-    return subsamples, rows, replacement
+    if size is None:
+        size, share = (0.5, True) if replacement else (n, False)
+    rows = max(1, math.floor(size * n + 0.5)) if share else int(size)
+    return (1 if rows == n and not replacement else subsamples), rows, replacement
+
 
+RUN = 4096  # copies of a row, or draws, that one row is exploded into
 
-def subsampled(rows: DataFrame, number: int, size: int, replacement: bool, seed: int) -> DataFrame:
-    """`rows` with subsample_id, each subsample drawn on its own.
 
-    With replacement the size of a row's share is Poisson, scaled to `size` on
-    average: a bootstrap that needs no row numbers.  Without, a row's random
-    number is compared with the size-th smallest of the subsample.
+def subsampled(rows: DataFrame, n: int, number: int, size: int, replacement: bool, seed: int) -> DataFrame:
+    """`rows`, n in all, with subsample_id: `number` samples of exactly `size` rows each; chosen rows carry their weight times how often.
+
+    Draws depend on the seed and on the rows' values only, not on files or
+    partitions: equal rows are counted first and numbered among themselves.
     """
-    n = rows.count()
-    ids = rows.withColumn("subsample_id", F.explode(F.sequence(F.lit(0), F.lit(number - 1))))
-    content = F.xxhash64(F.lit(seed), "subsample_id", F.monotonically_increasing_id())
+    names = rows.columns
+    cells = rows.groupBy(*names).agg(F.count("*").alias("__k"))
     if replacement:
-        u = (F.pmod(content, F.lit(1 << 52)) + 0.5) / (1 << 52)
-        rate, p, total, times = size / n, float(np.exp(-size / n)), float(np.exp(-size / n)), F.lit(0)
-        for k in range(1, 40):
-            times = times + F.when(u > total, 1).otherwise(0)
-            p *= rate / k
-            total += p
-        return ids.withColumn("w", F.col("w") * times).where("w > 0")
-    drawn = ids.withColumn("__u", content)
-    cut = drawn.groupBy("subsample_id").agg(F.percentile_approx("__u", F.lit(size / n), F.lit(1_000_000)).alias("__cut"))
-    return drawn.join(F.broadcast(cut), "subsample_id").where("__u <= __cut").drop("__u", "__cut")  # a row a subsample
+        return _drawn_again(cells, names, n, number, size, seed)
+    # a row for every copy, in runs, so that a row with many copies is spread over tasks
+    runs = cells.withColumn("__r", F.explode(F.expr(f"sequence(0L, (__k - 1) div {RUN})"))).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names, "__r")
+    copies = runs.withColumn("__j", F.explode(F.expr(f"sequence(__r * {RUN}, least((__r + 1) * {RUN}, __k) - 1)")))
+    each = copies.withColumn("subsample_id", F.explode(F.sequence(F.lit(0), F.lit(number - 1))))
+    each = each.withColumn("__h", F.xxhash64(F.lit(seed), "subsample_id", *names, "__j")).withColumn("__b", F.shiftrightunsigned("__h", 48))
+    # the size-th smallest hash lies in one of 65536 bins: only that bin is sorted
+    bins = each.groupBy("subsample_id", "__b").agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy("subsample_id").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))
+    cut = bins.withColumn("__u", upto).where((F.col("__u") >= size) & (F.col("__u") - F.col("__c") < size)).select(
+        "subsample_id", F.col("__b").alias("__cut"), (size - (F.col("__u") - F.col("__c"))).alias("__left"))
+    joined = each.join(F.broadcast(cut), "subsample_id")  # a row a subsample
+    kept = ["subsample_id", *names]
+    below = joined.where("__b < __cut").select(*kept)
+    nth = F.row_number().over(Window.partitionBy("subsample_id").orderBy("__h", *names, "__j"))
+    edge = joined.where("__b = __cut").withColumn("__n", nth).where("__n <= __left").select(*kept)
+    taken = below.unionAll(edge).groupBy(*kept).agg(F.count("*").alias("__times"))
+    return taken.withColumn("w", F.col("w") * F.col("__times")).select(*names, "subsample_id")
+
+
+def _drawn_again(cells: DataFrame, names: list[str], n: int, number: int, size: int, seed: int) -> DataFrame:
+    """Draws with replacement: each is a place in 0..n-1, and takes the cell of equal rows that covers it."""
+    spark = cells.sparkSession
+    placed = with_offsets(cells, names, "__k", "__at")
+    draws = spark.range(number * size).select(
+        (F.col("id") / F.lit(size)).cast("long").cast("int").alias("subsample_id"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).cast("double").alias("__at"))
+    times = draws.groupBy("subsample_id", "__at").agg(F.count("*").alias("__times"))
+    starts = placed.withColumn("__at", F.col("__at").cast("double"))
+    found = asof_both(times, starts.select("__at"), "__at").groupBy("subsample_id", F.col("below").alias("__at")).agg(F.sum("__times").alias("__times"))
+    return found.join(starts, "__at").withColumn("w", F.col("w") * F.col("__times")).select(*names, "subsample_id")
 
 
 # ---- fit ----
 
+def parse_settings(settings: dict | None) -> dict:
+    """Solver settings, checked.  Fits here are exact, so they change nothing: {"epsilon": e} or {"osqp_settings": {...}}, not both."""
+    settings = settings or {}
+    unknown = set(settings) - {"epsilon", "osqp_settings"}
+    if unknown:
+        raise ConfigParseError(f"unknown settings {sorted(unknown)}")
+    if len(settings) == 2:
+        raise ConfigParseError("epsilon and osqp_settings exclude each other")
+    numbers = dict(settings.get("osqp_settings") or {})
+    if set(numbers) - {"verbose", "eps_abs", "eps_rel", "max_iter"}:
+        raise ConfigParseError(f"unknown osqp_settings {sorted(set(numbers) - {'verbose', 'eps_abs', 'eps_rel', 'max_iter'})}")
+    if "epsilon" in settings:
+        numbers["epsilon"] = settings["epsilon"]
+    for name, value in numbers.items():
+        if name == "verbose":
+            if not isinstance(value, bool):
+                raise ConfigParseError("verbose is true or false")
+        elif isinstance(value, bool) or not isinstance(value, (int, float)) or not 0 < value < math.inf or (name == "max_iter" and value != int(value)):
+            raise ConfigParseError(f"{name} must be a positive number")
+    return settings
+
+
 def fit_idr(
     df: DataFrame, y: str, x: str | list[str], observed: str | None = None, weight: str | None = None, by: list[str] | None = None,
     increasing: bool = True, y_order: str = "sd", order=None, grid: list[float] | None = None,
     subsamples: int | None = None, subsample_size: int | float | None = None, replace: bool | None = None, seed: int = 0, method: str = "auto",
+    settings: dict | None = None,
 ) -> IDRModel:
     """Fit the conditional distributions of y given x, ordered in x.
 
     increasing: larger x, stochastically larger y.  y_order: "sd" or "hazard".
     order: for several covariates, groups of CovariateOrder.  grid: thresholds
     to fit instead of all distinct responses.  by: keys of independent fits.
-    method: "sql", "kernel" or "auto".  See the README for what each fit costs.
+    method: "sql", "kernel" or "auto".  settings: see parse_settings.  One job
+    checks the input and sizes the fit; the fit itself is lazy.  See the README
+    for what each fit costs.
     """
     names = [x] if isinstance(x, str) else list(x)
     y_order = y_order.lower()
     if y_order not in Y_ORDERS:
         raise ConfigParseError(f"y_order {y_order!r} is none of {Y_ORDERS}")
+    parse_settings(settings)
     by = by or []
     roles = Roles(y, names, observed, weight, by)
     rows = plain(df, roles)
-    validate(rows, len(names))
+    # upper bounds of what one key holds; they choose the plan and the number of blocks, so estimates do
+    seen = validate(rows, len(names), longest=F.approx_count_distinct("x0"), most=F.approx_count_distinct("y"))
+    longest, most = seen["longest"], seen["most"] if grid is None else len(set(grid))
     parsed = CovariateOrder.parse(order, names)
     total = len(names) == 1
-    flags = rows.agg(F.count("*").alias("n"), F.count_if(~F.col("observed")).alias("c"), F.count_if("observed").alias("e")).first()
-    censored = flags["c"] > 0
+    censored = seen["censored"] > 0
     if not total:
         poset.check_combination(y_order == "hazard", censored)
-    number, size, replacement = subsample_plan(flags["n"], subsamples, subsample_size, replace)
+    number, size, replacement = subsample_plan(seen["n"], subsamples, subsample_size, replace)
     at = F.array("x0") if total else parsed.transformed({c: F.col(f"x{i}") for i, c in enumerate(names)})
     rows = rows.select(*by, at.alias("at"), "y", "observed", "w")
     full = aggregated(rows, by, ["at"])
     wanted = thresholds(full, by, grid)
-    if number > 1 or size < flags["n"] or replacement:
-        rows = subsampled(rows, number, size, replacement, seed)
-    else:
-        rows = rows.withColumn("subsample_id", F.lit(0))
+    whole = size == seen["n"] and not replacement
+    rows = rows.withColumn("subsample_id", F.lit(0)) if whole else subsampled(rows, seen["n"], number, size, replacement, seed)
     keys = [*by, "subsample_id"]
     obs = aggregated(rows, keys, ["at"])
     if censored and not (total and y_order == "hazard"):
         obs = drop_early_censored(obs, keys)
     meta = Meta(names, by, total, increasing, y_order, [[k, list(c)] for k, c in parsed.groups], number)
     if total:
-        cdfs = _fit_chain(obs, wanted, keys, by, increasing, y_order, censored, grid, method)
+        cdfs = _fit_chain(obs, wanted, keys, by, increasing, y_order, censored, grid, method, longest, most)
     else:
         cdfs = _fit_poset(obs, wanted, keys, by, increasing, y_order, censored)
     return IDRModel(cdfs, wanted, meta, None if total else _global(full, wanted, by, censored))
@@ -311,25 +389,41 @@ def fit_idr(
 def _global(obs: DataFrame, wanted: DataFrame, by: list[str], censored: bool) -> DataFrame:
     """by..., cdf: without regard to covariates: Kaplan-Meier or empirical."""
     pooled = obs.groupBy(*by, "y", "observed").agg(F.sum("w").alias("w"))
-    joined = pooled.join(wanted, by) if by else pooled.crossJoin(F.broadcast(wanted))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = np.asarray(pdf["thresholds"].iloc[0], float)
-        t, s = survival.km_curve(pdf["y"].to_numpy(), pdf["observed"].to_numpy(), pdf["w"].to_numpy())
-        k = np.searchsorted(t, z, "right")
-        return pdf[by].head(1).assign(cdf=[np.append(0.0, 1 - s)[k].tolist()])
+    def solve(z: np.ndarray, pdf: pd.DataFrame):
+        t, s = survival.km_curve(pdf["y"].to_numpy(), pdf["observed"].to_numpy(bool), pdf["w"].to_numpy())
+        return [[]], np.append(0.0, 1 - s)[np.searchsorted(t, z, "right")][:, None]
+
+    return _apply(pooled, wanted, by, solve).drop("at", "block")
+
+
+#: Takes the thresholds of a block and the rows of a group; returns covariates and a matrix (threshold x covariate).
+Kernel = Callable[[np.ndarray, pd.DataFrame], tuple[list, np.ndarray]]
 
-    grouped = joined.groupBy(*by) if by else joined.groupBy(F.lit(0).alias("__g"))
-    return grouped.applyInPandas(solve, ", ".join([*[f"`{c}` {t}" for c, t in obs.select(*by).dtypes], "cdf array<double>"]))
 
+def _apply(rows: DataFrame, wanted: DataFrame, keys: list[str], solve: Kernel, blocks: int = 1) -> DataFrame:
+    """keys, block, at, cdf: a kernel over the rows of each group, once for each block of consecutive thresholds.
 
-def _apply(rows: DataFrame, keys: list[str], solve: Callable[[pd.DataFrame], tuple[list, np.ndarray]], extra: list[str] | None = None) -> DataFrame:
-    """keys, extra, at, cdf by a kernel over the rows of each group: it returns covariates and a matrix (threshold x covariate)."""
-    head = [*keys, *(extra or [])]
+    A block's slice of the thresholds comes as one row beside the group's rows.
+    """
+    by = [c for c in keys if c != "subsample_id"]
+    part = lambda df: df.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    size = F.ceil(F.size("thresholds") / blocks).cast("int")
+    groups = rows.select(*keys).distinct() if keys else None
+    heads = wanted if groups is None else groups.join(wanted, by) if by else groups.crossJoin(wanted)  # without keys, one row
+    heads = part(heads).select(*keys, "block", F.slice("thresholds", F.col("block") * F.greatest(size, F.lit(1)) + 1, F.greatest(size, F.lit(1))).alias("__z"))
+    return _grouped(part(rows).unionByName(heads, allowMissingColumns=True), [*keys, "block"], solve)
+
+
+def _grouped(rows: DataFrame, head: list[str], solve: Kernel) -> DataFrame:
+    """head, at, cdf by groups of rows of which one has the thresholds __z."""
     schema = ", ".join([*[f"`{c}` {t}" for c, t in rows.select(*head).dtypes], "at array<double>", "cdf array<double>"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ats, cdf = solve(pdf)
+        first = pdf["__z"].notna().to_numpy()
+        z = np.asarray(pdf["__z"].to_numpy()[first][0], float) if first.any() else np.zeros(0)
+        own = pdf[~first]
+        ats, cdf = solve(z, own) if len(own) else ([], np.zeros((len(z), 0)))
         out = pd.DataFrame({"at": ats, "cdf": [c.tolist() for c in np.asarray(cdf).reshape(-1, len(ats)).T] if len(ats) else []})
         for c in head:
             out[c] = pdf[c].iloc[0]
@@ -338,15 +432,22 @@ def _apply(rows: DataFrame, keys: list[str], solve: Callable[[pd.DataFrame], tup
     return rows.groupBy(*head).applyInPandas(run, schema)
 
 
-def _with_thresholds(obs: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
-    return obs.join(wanted, by) if by else obs.crossJoin(F.broadcast(wanted))  # one row
+def _joined_blocks(solved: DataFrame, keys: list[str], blocks: int) -> DataFrame:
+    if blocks == 1:
+        return solved.drop("block")
+    return solved.groupBy(*keys, "at").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "cdf"))), lambda s: s["cdf"])).alias("cdf"))
+
+
+def _with_thresholds(df: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    return df.join(wanted, by) if by else df.crossJoin(wanted)  # one row
 
 
-def _fit_chain(obs, wanted, keys, by, increasing, y_order, censored, grid, method) -> DataFrame:
+SURVIVAL_BLOCKS = 16
+
+
+def _fit_chain(obs, wanted, keys, by, increasing, y_order, censored, grid, method, longest, most) -> DataFrame:
     obs = obs.withColumn("x", F.col("at")[0])
     if y_order == "sd" and not censored:
-        longest = obs.groupBy(*keys).agg(F.count_distinct("x").alias("g")).agg(F.max("g")).first()[0] or 0
-        most = wanted.agg(F.max(F.size("thresholds"))).first()[0] or 0
         if method == "sql" or (method == "auto" and longest <= SQL_COVARIATES and most * longest * longest <= 50_000_000):
             cells = sqlform.idr_chain(obs, keys, increasing, grid)
             if len(keys) > len(by) and grid is None:
@@ -358,54 +459,48 @@ def _fit_chain(obs, wanted, keys, by, increasing, y_order, censored, grid, metho
                 return full.select(*keys, F.array("x").alias("at"), F.when(same, c).otherwise(looked).alias("cdf"))
             return cells.groupBy(*keys, "x").agg(F.transform(F.array_sort(F.collect_list(F.struct("threshold", "cdf"))), lambda s: s["cdf"]).alias("cdf")).select(*keys, F.array("x").alias("at"), "cdf")
         return _fit_blocks(obs, wanted, keys, by, increasing, longest, most)
-    if y_order == "hazard":
-        rows = _with_thresholds(obs, wanted, by)
-        return _apply(rows, keys, lambda pdf: _survival_kernel(pdf, increasing, "hazard_censored" if censored else "hazard"))
+    rows = obs.select(*keys, "x", "y", "observed", "w")
+    if y_order == "hazard":  # sequential in thresholds
+        return _apply(rows, wanted, keys, lambda z, pdf: _survival_kernel(z, pdf, increasing, "hazard_censored" if censored else "hazard")).drop("block")
     # thresholds of S-IDR are independent: blocks of them, each with all of the aggregated rows
-    events = _with_thresholds(obs, wanted, by)
-    blocks = 16
-    parts = events.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("blocks", F.lit(blocks))
-    solved = _apply(parts, keys, lambda pdf: _survival_kernel(pdf, increasing, "sidr"), ["block"])
-    return solved.groupBy(*keys, "at").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "cdf"))), lambda s: s["cdf"])).alias("cdf"))
+    blocks = min(SURVIVAL_BLOCKS, max(1, most))
+    return _joined_blocks(_apply(rows, wanted, keys, lambda z, pdf: _survival_kernel(z, pdf, increasing, "sidr"), blocks), keys, blocks)
 
 
 def _fit_blocks(obs, wanted, keys, by, increasing, longest, most) -> DataFrame:
     """Uncensored chains in blocks of consecutive thresholds.
 
     A block gets the covariates with their weights and what lies below it (sums
-    by covariate and block, added up by a window), and its own rows.
+    by covariate and block, added up by a window), its own rows, and its
+    thresholds once.  Rows find their block among the blocks' last thresholds.
     """
-    size = max(1, BLOCK_CELLS // max(longest, 1))
-    blocks = max(1, -(-most // size))
-    rows = _with_thresholds(obs, wanted, by)
-    lasts = F.transform(F.sequence(F.lit(1), F.lit(blocks)), lambda b: F.get(F.col("thresholds"), F.least(b * size, F.size("thresholds")) - 1))
-    rows = rows.withColumn("block", F.size(F.filter(lasts, lambda z: z < F.col("y")))).drop("thresholds")
+    blocks = max(1, -(-most * max(longest, 1) // BLOCK_CELLS))
+    size = F.greatest(F.ceil(F.size("thresholds") / blocks).cast("int"), F.lit(1))
+    lasts = wanted.select(*by, F.transform(F.sequence(F.lit(1), F.lit(blocks)), lambda b: F.get("thresholds", F.least(b * size, F.size("thresholds")) - 1)).alias("__lasts"))
+    rows = _with_thresholds(obs, lasts, by)  # as many numbers as blocks
+    rows = rows.withColumn("block", F.size(F.filter("__lasts", lambda z: z < F.col("y")))).drop("__lasts")
     sums = rows.groupBy(*keys, "x", "block").agg(F.sum("w").alias("m"))
     every = sums.groupBy(*keys, "x").agg(F.sum("m").alias("total")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     below = Window.partitionBy(*keys, "x").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = every.join(sums, [*keys, "x", "block"], "left").select(
         *keys, "block", "x", F.lit(None).cast("double").alias("y"), F.coalesce(F.sum(F.coalesce("m", F.lit(0.0))).over(below), F.lit(0.0)).alias("w"), "total")
     own = rows.where(F.col("block") < blocks).select(*keys, "block", "x", "y", "w", F.lit(None).cast("double").alias("total"))
-    chunk = F.slice("thresholds", F.col("block") * size + 1, F.lit(size))
-    parts = _with_thresholds(carried.unionByName(own), wanted, by).withColumn("z", F.when(F.col("y").isNull(), chunk)).drop("thresholds")
+    groups = every.select(*keys, "block").distinct()
+    heads = (groups.join(wanted, by) if by else groups.crossJoin(wanted)).select(*keys, "block", F.slice("thresholds", F.col("block") * size + 1, size).alias("__z"))
 
-    def solve(pdf: pd.DataFrame):
+    def solve(z: np.ndarray, pdf: pd.DataFrame):
         base = pdf[pdf["y"].isna()].sort_values("x")
         mine = pdf[pdf["y"].notna()]
-        xs, z = base["x"].to_numpy(), np.asarray(base["z"].iloc[0], float)
+        xs = base["x"].to_numpy()
         counts = np.zeros((len(z) + 1, len(xs)))
         np.add.at(counts, (np.searchsorted(z, mine["y"].to_numpy()), np.searchsorted(xs, mine["x"].to_numpy())), mine["w"].to_numpy())
         counts = np.cumsum(counts[:-1], 0) + base["w"].to_numpy()
         return [[v] for v in xs.tolist()], np.clip(chain_fits(counts, base["total"].to_numpy(), not increasing), 0, 1)
 
-    solved = _apply(parts, keys, solve, ["block"])
-    if blocks == 1:
-        return solved.drop("block")
-    return solved.groupBy(*keys, "at").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "cdf"))), lambda s: s["cdf"])).alias("cdf"))
+    return _joined_blocks(_grouped(carried.unionByName(own).unionByName(heads, allowMissingColumns=True), [*keys, "block"], solve), keys, blocks)
 
 
-def _survival_kernel(pdf: pd.DataFrame, increasing: bool, kind: str):
-    z = np.asarray(pdf["thresholds"].iloc[0], float)
+def _survival_kernel(z: np.ndarray, pdf: pd.DataFrame, increasing: bool, kind: str):
     sign = 1.0 if increasing else -1.0
     xs, xi = np.unique(sign * pdf["x"].to_numpy(), return_inverse=True)
     ts, ti = np.unique(pdf["y"].to_numpy(), return_inverse=True)
@@ -416,8 +511,6 @@ def _survival_kernel(pdf: pd.DataFrame, increasing: bool, kind: str):
     times = ts[events.any(1)]
     ats = [[sign * v] for v in xs.tolist()]
     if kind == "sidr":
-        block, blocks = int(pdf["block"].iloc[0]), int(pdf["blocks"].iloc[0])
-        z = z[len(z) * block // blocks: len(z) * (block + 1) // blocks]
         at = np.searchsorted(times, z, "right") - 1
         known = at[at >= 0]
         if not len(known):
@@ -435,15 +528,9 @@ def _survival_kernel(pdf: pd.DataFrame, increasing: bool, kind: str):
 
 
 def _fit_poset(obs, wanted, keys, by, increasing, y_order, censored) -> DataFrame:
-    rows = _with_thresholds(obs, wanted, by)
     sequential = y_order == "hazard"
-    blocks = 1 if sequential else 16
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-    def solve(pdf: pd.DataFrame):
-        z = np.asarray(pdf["thresholds"].iloc[0], float)
-        block = int(pdf["block"].iloc[0])
-        z = z[len(z) * block // blocks: len(z) * (block + 1) // blocks]
+    def solve(z: np.ndarray, pdf: pd.DataFrame):
         at = np.stack(pdf["at"].to_list())
         u, node = np.unique(at, axis=0, return_inverse=True)
         node = node.ravel()
@@ -459,5 +546,5 @@ def _fit_poset(obs, wanted, keys, by, increasing, y_order, censored) -> DataFram
         cdf = poset.partial_idr(counts, weights, before, sequential) if len(z) else np.zeros((0, len(u)))
         return u.tolist(), cdf
 
-    solved = _apply(rows, keys, solve, ["block"])
-    return solved.groupBy(*keys, "at").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "cdf"))), lambda s: s["cdf"])).alias("cdf"))
+    blocks = 1 if sequential else SURVIVAL_BLOCKS
+    return _joined_blocks(_apply(obs.select(*keys, "at", "y", "observed", "w"), wanted, keys, solve, blocks), keys, blocks)

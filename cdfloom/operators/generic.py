@@ -1,4 +1,9 @@
-"""Isotonic regression of any block aggregate, survival variants at one threshold, and sample functionals."""
+"""Isotonic regression of any block aggregate, survival variants at one threshold, and values of ordered samples.
+
+Rows that are equal in keys, covariate, response and indicator are added up on
+the map side before a kernel sees them, so a task holds distinct values, not
+rows.
+"""
 
 from __future__ import annotations
 
@@ -11,16 +16,20 @@ from ..kernels import functionals as K
 from .prep import Roles, drop_early_censored, plain, validate
 
 
-def _grouped(df, y, x, observed, weight, by, solve, schema_tail, early: bool = False) -> DataFrame:
-    by = by or []
-    rows = plain(df, Roles(y, [x] if x else [], observed, weight, by))
-    validate(rows, 1 if x else 0)
-    if early:
-        rows = drop_early_censored(rows, by)
+def _summed(df: DataFrame, y: str, x: str, observed: str | None, weight: str | None, by: list[str]) -> DataFrame:
+    """by..., x0, y, observed, w, ww, k: equal rows added up; rows of weight zero go."""
+    rows = plain(df, Roles(y, [x], observed, weight, by))
+    validate(rows, 1)
+    sums = rows.where("w > 0").groupBy(*by, "x0", "y", "observed")
+    return sums.agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("ww"), F.count("*").cast("double").alias("k"))
+
 
+def _solved(rows: DataFrame, by: list[str], solve, schema_tail: str) -> DataFrame:
+    """by... and what `solve(x, Rows)` returns (a pandas frame) for each group's rows, sorted."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        xs = pdf["x0"].to_numpy() if x else None
-        out = solve(xs, pdf["y"].to_numpy(), pdf["observed"].to_numpy(bool), pdf["w"].to_numpy())
+        pdf = pdf.sort_values(["x0", "y", "observed"], ascending=[True, True, False], kind="stable")
+        column = lambda c: pdf[c].to_numpy()
+        out = solve(column("x0"), K.Rows(column("y"), column("observed").astype(bool), column("w"), column("ww"), column("k")))
         for c in by:
             out[c] = pdf[c].iloc[0]
         return out
@@ -32,11 +41,16 @@ def _grouped(df, y, x, observed, weight, by, solve, schema_tail, early: bool = F
 
 
 def isotonic_functional(df: DataFrame, y: str, x: str, functional: K.Functional, observed=None, weight=None, by=None, increasing=True, definition=False, clip=True) -> DataFrame:
-    """by..., x, fitted: pooling of adjacent violators, or max-min over all intervals (`definition`)."""
-    def solve(xs, ys, seen, w):
-        u, f = K.by_definition(xs, ys, seen, w, functional, increasing, clip) if definition else K.pooled(xs, ys, seen, w, functional, increasing)
+    """by..., x, fitted: pooling of adjacent violators, or max-min over all intervals (`definition`).
+
+    fitted is null where no block that holds x has a value.
+    """
+    def solve(xs, rows):
+        u, f = K.by_definition(xs, rows, functional, increasing, clip) if definition else K.pooled(xs, rows, functional, increasing)
         return pd.DataFrame({"x": u, "fitted": f})
-    return _grouped(df, y, x, observed, weight, by, solve, "x double, fitted double")
+    by = by or []
+    out = _solved(_summed(df, y, x, observed, weight, by), by, solve, "x double, fitted double")
+    return out.withColumn("fitted", F.nanvl("fitted", F.lit(None).cast("double")))
 
 
 def survival_threshold(df: DataFrame, threshold: float, y: str, x: str, observed: str, weight=None, by=None, decreasing: bool = True, plain_form: bool = False) -> DataFrame:
@@ -44,32 +58,59 @@ def survival_threshold(df: DataFrame, threshold: float, y: str, x: str, observed
 
     plain_form: without recursive clipping.
     """
-    def solve(xs, ys, seen, w):
-        u, f = K.by_definition(xs, ys, seen, w, K.kaplan_meier_at(threshold), not decreasing, not plain_form)
+    def solve(xs, rows):
+        u, f = K.by_definition(xs, rows, K.kaplan_meier_at(threshold), not decreasing, not plain_form)
         return pd.DataFrame({"x": u, "cdf": np.clip(f, 0, 1)})
-    return _grouped(df, y, x, observed, weight, by, solve, "x double, cdf double", early=not plain_form)
+    by = by or []
+    rows = _summed(df, y, x, observed, weight, by)
+    return _solved(rows if plain_form else drop_early_censored(rows, by), by, solve, "x double, cdf double")
 
 
 def plain_sidr(df: DataFrame, y: str, x: str, observed: str, weight=None, by=None) -> DataFrame:
     """by..., x, threshold, cdf at all event times: S-IDR without recursive clipping."""
     from ..kernels.survival import sidr
 
-    def solve(xs, ys, seen, w):
+    def solve(xs, rows):
         u, xi = np.unique(xs, return_inverse=True)
-        t, ti = np.unique(ys, return_inverse=True)
+        t, ti = np.unique(rows.y, return_inverse=True)
         events, leaves = np.zeros((len(t), len(u))), np.zeros((len(t), len(u)))
-        np.add.at(events, (ti[seen], xi[seen]), w[seen])
-        np.add.at(leaves, (ti[~seen], xi[~seen]), w[~seen])
+        seen = rows.observed
+        np.add.at(events, (ti[seen], xi[seen]), rows.w[seen])
+        np.add.at(leaves, (ti[~seen], xi[~seen]), rows.w[~seen])
         times = t[events.any(1)]
         cdf = sidr(events, leaves, clip=False)
         return pd.DataFrame({"x": np.tile(u, len(times)), "threshold": np.repeat(times, len(u)), "cdf": cdf.ravel()})
-    return _grouped(df, y, x, observed, weight, by, solve, "x double, threshold double, cdf double")
+    by = by or []
+    return _solved(_summed(df, y, x, observed, weight, by), by, solve, "x double, threshold double, cdf double")
 
 
 def clipped_sample_value(df: DataFrame, y: str, order_by: str, functional: K.Functional, observed=None, weight=None, by=None) -> DataFrame:
-    """by..., value, parts: recursive clipping of an ordered sample; parts is the size of its trace."""
-    def solve(xs, ys, seen, w):
-        o = np.argsort(xs, kind="stable")
-        value, trace = K.split_median(ys[o], seen[o], w[o], functional)
-        return pd.DataFrame({"value": [value], "parts": [len(trace)]})
-    return _grouped(df, y, order_by, observed, weight, by, solve, "value double, parts long")
+    """by..., value: a functional of each ordered sample, clipped recursively by its parts; samples are small (MAX_SAMPLE).
+
+    Rows of one place in the order are one part.
+    """
+    def solve(xs, rows):
+        return pd.DataFrame({"value": [K.clipped_value(xs, rows, functional)]})
+    by = by or []
+    return _solved(_summed(df, y, order_by, observed, weight, by), by, solve, "value double").withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+
+
+def sample_variance_of_splits(df: DataFrame, y: str, order_by: str, by: list[str] | None = None) -> DataFrame:
+    """by..., value, start, end, blocks, largest, smallest: the median-of-splits variance of each ordered sample, with its trace.
+
+    A row is a member of the sample; rows of one place are ordered by y.  value is null for one row.
+    """
+    by = by or []
+    rows = plain(df, Roles(y, [order_by], None, None, by))
+    validate(rows, 1)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = K.variance_of_splits(pdf.sort_values(["x0", "y"])["y"].to_numpy())
+        out = pd.DataFrame({k: [v] for k, v in vars(found).items()})
+        for c in by:
+            out[c] = pdf[c].iloc[0]
+        return out[[*by, *vars(found)]]
+
+    schema = ", ".join([*[f"`{c}` {t}" for c, t in rows.select(*by).dtypes], "value double, start long, end long, blocks long, largest long, smallest long"])
+    grouped = rows.groupBy(*by) if by else rows.groupBy(F.lit(0).alias("__g"))
+    return grouped.applyInPandas(solve, schema).withColumn("value", F.nanvl("value", F.lit(None).cast("double")))

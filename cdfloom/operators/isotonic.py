@@ -51,6 +51,34 @@ def isotonic_mean(df: DataFrame, y: str, x: str | list[str], weight: str | None
     return out.select(*by, *[F.col(c).alias(n) for c, n in zip(xs, names)], "fitted")
 
 
+def isotonic_indexed(df: DataFrame, y: str | list[str], index: str, weight: str | None = None, by: list[str] | None = None, increasing: bool = True) -> DataFrame:
+    """by..., index and `fitted` (or `fitted_<name>` for several y): the monotone fit over rows in order of `index`.
+
+    No covariate: every row is an item of its own, rows of one index in any
+    order that weight and value give.  Several responses share index and
+    weights and are fitted on their own, as stacked rows are.  A group of `by`
+    is one chain, so it is one task.
+    """
+    ys = [y] if isinstance(y, str) else list(y)
+    by = by or []
+    for name in ys:
+        validate(plain(df, Roles(name, [index], None, weight, by)), 1)
+    number = lambda c: F.col(f"`{c}`").cast("double") + F.lit(0.0)
+    rows = df.select(*[F.col(f"`{c}`") for c in by], F.col(f"`{index}`").alias("__i"), (number(weight) if weight else F.lit(1.0)).alias("__w"), *[number(c).alias(f"__y{k}") for k, c in enumerate(ys)])
+    fitted = ["fitted"] if isinstance(y, str) else [f"fitted_{c}" for c in ys]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["__i", "__w", *[f"__y{k}" for k in range(len(ys))]], kind="stable")
+        out = pdf[[*by, "__i"]].copy()
+        for k, name in enumerate(fitted):
+            out[name] = pava(pdf[f"__y{k}"].to_numpy(), pdf["__w"].to_numpy(), increasing)
+        return out
+
+    schema = ", ".join([*[f"`{c}` {t}" for c, t in rows.select(*by, "__i").dtypes], *[f"`{c}` double" for c in fitted]])
+    grouped = rows.groupBy(*by) if by else rows.groupBy(F.lit(0).alias("__g"))
+    return grouped.applyInPandas(fit, schema).withColumnRenamed("__i", index)
+
+
 def isotonic_edges(values: DataFrame, edges: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Isotonic means under explicit constraints.
 

@@ -46,15 +46,19 @@ def plain(df: DataFrame, roles: Roles) -> DataFrame:
     )
 
 
-def validate(rows: DataFrame, covariates: int) -> None:
-    """One aggregate over the input; raises in the order covariates, emptiness, responses, weights."""
+def validate(rows: DataFrame, covariates: int, **more: Column) -> dict:
+    """One aggregate over the input; raises in the order covariates, emptiness, responses, weights.
+
+    Returns n, censored (rows that are not observed) and the aggregates `more`.
+    """
     bad_x = F.lit(False)
     for i in range(covariates):
         bad_x = bad_x | not_finite(F.col(f"x{i}"))
     found = rows.agg(
         F.count("*").alias("n"), F.count_if(bad_x).alias("x"),
         F.count_if(not_finite(F.col("y")) | not_finite(F.col("w")) | F.col("observed").isNull()).alias("y"),
-        F.count_if(F.col("w") < 0).alias("w")).first()
+        F.count_if(F.col("w") < 0).alias("w"), F.count_if(~F.col("observed")).alias("censored"),
+        *[c.alias(name) for name, c in more.items()]).first()
     if found["x"]:
         raise NonFiniteFloats(f"{found['x']} rows with a null, NaN or infinite covariate")
     if not found["n"]:
@@ -63,6 +67,7 @@ def validate(rows: DataFrame, covariates: int) -> None:
         raise NonFiniteFloats(f"{found['y']} rows with a null, NaN or infinite response, indicator or weight")
     if found["w"]:
         raise NegativeWeights(f"{found['w']} rows with a negative weight")
+    return found.asDict()
 
 
 def aggregated(rows: DataFrame, by: list[str], x: list[str]) -> DataFrame:
@@ -73,7 +78,7 @@ def aggregated(rows: DataFrame, by: list[str], x: list[str]) -> DataFrame:
 def drop_early_censored(obs: DataFrame, by: list[str]) -> DataFrame:
     """Without the censored rows before the first event of their fit."""
     first = obs.where("observed").groupBy(*by).agg(F.min("y").alias("__first"))
-    joined = obs.join(first, by, "left") if by else obs.crossJoin(F.broadcast(first))  # one row
+    joined = obs.join(first, by, "left") if by else obs.crossJoin(first)  # one row
     return joined.where(F.col("observed") | (F.col("y") >= F.col("__first"))).drop("__first")
 
 

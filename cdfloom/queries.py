@@ -11,18 +11,18 @@ from pyspark.sql import functions as F
 from .functions import cdf as C
 from .functions import scores as S
 from .functions import udtf
-from .functions.aggregates import expected_shortfall, km_at, order_statistic, weighted_average, weighted_variance
+from .functions.aggregates import expected_shortfall, order_statistic, weighted_average, weighted_variance
 from .kernels import functionals as K
 from .ml import IsotonicDistributionalRegressor
 from .model import IDRModel, fit_idr
 from .operators import generic
 from .operators.bagging import idr_bag
 from .operators.index_model import fit_index_model
-from .operators.isotonic import isotonic_edges, isotonic_mean
+from .operators.isotonic import isotonic_edges, isotonic_indexed, isotonic_mean
 from .operators.prep import CovariateOrder, ecdf
-from .operators.survival import fit_park, kaplan_meier
+from .operators.survival import fit_park, kaplan_meier, kaplan_meier_at
 from .plans.asof import asof_both
-from .plans.dominance import cover_pairs, dominance_pairs, extremes, transitive_closure
+from .plans.dominance import adjacency, cover_pairs, dominance_pairs, extremes, topological_order, transitive_closure
 from .sources.tables import event_gaps, ordinal, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,9 +135,9 @@ def iso_mean_grouped(spark, d):
 # ---- survival ----
 
 GAPS = """h as (select max(ts) t1 from events),
-nx as (select user_id, ts, lead(ts) over (partition by user_id order by ts, event_id) nx from events),
-gaps as (select (user_id % 10)::double x, least(ceil(epoch_us(coalesce(nx, t1))::double / 3.6e9 - epoch_us(ts)::double / 3.6e9), 48)::double y0, nx is not null observed,
-                least(ceil((epoch_us(coalesce(nx, t1)) - epoch_us(ts))::double / 3.6e9), 48)::double y from nx cross join h)"""
+nx as (select user_id, ts, event_id, lead(ts) over (partition by user_id order by ts, event_id) nx from events),
+hours as (select user_id, event_id, nx, (user_id % 10)::double x, ceil((epoch_us(coalesce(nx, t1)) - epoch_us(ts))::double / 3.6e9) y from nx cross join h),
+gaps as (select user_id, event_id, x, least(y, 48)::double y, nx is not null and y <= 48 observed from hours)"""
 
 
 def _km_sql(by: str = "", w: str = "1.0::double") -> str:
@@ -171,7 +171,7 @@ def km_weighted(spark, d):
 @query(f"with {GAPS}, t as (select x, y, sum(observed::int) d, count(*) m from gaps group by all), r as (select *, sum(m) over (partition by x order by y desc) n from t) "
        "select x, round(1 - exp(sum(case when d > 0 then ln(1 - d / n::double) else 0 end)), 6) as cdf from r where y <= 12 group by x")
 def km_at_threshold(spark, d):
-    return rounded(gaps(spark, d).groupBy("x").agg(km_at("y", "observed", F.lit(1.0), F.lit(12.0)).alias("cdf")), "cdf")
+    return rounded(kaplan_meier_at(gaps(spark, d), "y", "observed", 12.0, by=["x"]), "cdf")
 
 
 @query("select l_quantity as value, round(sum(count(*)) over (order by l_quantity) / sum(count(*)) over (), 6)::double as cdf from lineitem group by l_quantity", "ecdf")
@@ -210,10 +210,10 @@ def idr_sd_weighted(spark, d):
     return rounded(model.long().select("threshold", F.col("l_discount").alias("x"), "cdf"), "cdf")
 
 
-@query(f"with {sql_idr('select p_size::double x, p_retailprice y, 1.0::double w from part where p_retailprice < 1000')} select threshold, x, round(cdf, 6) as cdf from idr")
+@query(f"with {sql_idr('select p_size::double x, p_retailprice y, 1.0::double w from part')} select threshold, x, round(cdf, 6) as cdf from idr")
 def idr_sd_wide(spark, d):
     """Many thresholds: fitted in blocks by the kernel."""
-    part = table(spark, d, "part").where("p_retailprice < 1000").select("p_size", "p_retailprice")
+    part = table(spark, d, "part").select("p_size", "p_retailprice")
     return rounded(fit_idr(part, "p_retailprice", "p_size", method="kernel").long().select("threshold", F.col("p_size").alias("x"), "cdf"), "cdf")
 
 
@@ -230,31 +230,56 @@ def idr_sd_grid(spark, d):
     return rounded(model.long().select("threshold", F.col("l_discount").alias("x"), "cdf"), "cdf")
 
 
-@query()
+def sql_clipped(raw: str, decreasing_in_index: bool = True) -> str:
+    """CTEs from `raw` (z, r, s, v: values of intervals r <= s of 1..g) to `clipped` (z, i, f): recursive clipping, then min-max.
+
+    A row holds the lists of one z by interval length; each step appends the next length.
+    """
+    outer, inner = ("min", "max") if decreasing_in_index else ("max", "min")
+    part = "{'lo': least(c[k][r], c[n + 1 - k][r + k]), 'hi': greatest(c[k][r], c[n + 1 - k][r + k])}"
+    step = f"list_reduce([{part} for k in range(1, n + 1)], lambda a, b: {{'lo': greatest(least(a.lo, b.hi), b.lo), 'hi': a.hi}}, {{'lo': raw[n + 1][r], 'hi': raw[n + 1][r]}}).lo"
+    return f"""{raw},
+bylen as (select z, s - r + 1 len, list(v order by r) vs from raw group by z, len),
+lists as (select z, list(vs order by len) raw, max(len) g from bylen group by z),
+tri as (select z, 1 n, raw, g, [raw[1]] c from lists
+        union all select z, n + 1, raw, g, list_append(c, [{step} for r in range(1, g - n + 1)]) from tri where n < g),
+clipped as (select z, i, list_{outer}([list_{inner}([c[s - r + 1][r] for s in range(i, g + 1)]) for r in range(1, i + 1)]) f from (select z, g, c, unnest(range(1, g + 1)) i from tri where n = g))"""
+
+
+#: Kaplan-Meier by interval of covariates at every event time, from `kept` (x, y, observed).
+KM_INTERVALS = """t as (select x, y, sum(observed::int)::double d, count(*)::double m from kept group by all),
+times as (select distinct y from kept where observed),
+xi as (select x, row_number() over (order by x {direction}) i from (select distinct x from kept)),
+full_grid as (select times.y z, xi.i, coalesce((select sum(d) from t where t.x = xi.x and t.y = times.y), 0) d, coalesce((select sum(m) from t where t.x = xi.x and t.y >= times.y), 0) n from times cross join xi),
+iv as (select a.i r, b.i s, f.z, sum(f.d) d, sum(f.n) n from xi a join xi b on a.i <= b.i join full_grid f on f.i between a.i and b.i group by all),
+raw as (select r, s, z, 1 - case when max(case when d >= n and n > 0 then 1 else 0 end) over w = 1 then 0 else exp(sum(case when d > 0 and d < n then ln(1 - d / n) else 0 end) over w) end v from iv window w as (partition by r, s order by z))"""
+#: Without the censored rows before the first event.
+LATE = "kept as (select x, y, observed from gaps where observed or y >= (select min(y) from gaps where observed))"
+
+
+def _sidr_sql(select: str, direction: str = "") -> str:
+    intervals = sql_clipped(f"{GAPS}, {LATE}, {KM_INTERVALS.format(direction=direction)}")
+    return f"with recursive {intervals} {select}"
+
+
+@query(_sidr_sql("select xi.x, z as threshold, round(f, 6) as cdf from clipped join xi using (i)"))
 def sidr(spark, d):
     return rounded(fit_idr(gaps(spark, d), "y", "x", observed="observed").long().select("x", "threshold", "cdf"), "cdf")
 
 
-@query()
+@query(_sidr_sql("select xi.x, z as threshold, round(f, 6) as cdf from clipped join xi using (i)", "desc"))
 def sidr_decreasing(spark, d):
     return rounded(fit_idr(gaps(spark, d), "y", "x", observed="observed", increasing=False).long().select("x", "threshold", "cdf"), "cdf")
 
 
-@query()
+@query(_sidr_sql("select xi.x, round(f, 6) as cdf from clipped join xi using (i) where z = (select max(z) from raw where z <= 12)"))
 def sidr_threshold(spark, d):
     return rounded(generic.survival_threshold(gaps(spark, d), 12.0, "y", "x", "observed"), "cdf")
 
 
 #: Plain S-IDR: KM by interval of covariates, then min-max; no clipping.
-PLAIN = GAPS + """,
-t as (select x, y, sum(observed::int)::double d, count(*)::double m from gaps group by all),
-r as (select *, sum(m) over (partition by x order by y desc) n from t),
-times as (select distinct y from gaps where observed),
-xi as (select x, row_number() over (order by x) i from (select distinct x from gaps)),
-full_grid as (select times.y z, xi.i, coalesce((select sum(d) from t where t.x = xi.x and t.y = times.y), 0) d, coalesce((select sum(m) from t where t.x = xi.x and t.y >= times.y), 0) n from times cross join xi),
-iv as (select a.i r, b.i s, f.z, sum(f.d) d, sum(f.n) n from xi a join xi b on a.i <= b.i join full_grid f on f.i between a.i and b.i group by all),
-km as (select r, s, z, 1 - case when max(case when d >= n and n > 0 then 1 else 0 end) over w = 1 then 0 else exp(sum(case when d > 0 and d < n then ln(1 - d / n) else 0 end) over w) end v from iv window w as (partition by r, s order by z)),
-mm as (select km.z, q.i, km.r, max(km.v) v from km join xi q on km.r <= q.i and km.s >= q.i group by all)
+PLAIN = GAPS + ", kept as (select x, y, observed from gaps), " + KM_INTERVALS.format(direction="") + """,
+mm as (select raw.z, q.i, raw.r, max(raw.v) v from raw join xi q on raw.r <= q.i and raw.s >= q.i group by all)
 select xi.x, mm.z as threshold, round(min(mm.v), 6) as cdf from mm join xi using (i) group by all"""
 
 
@@ -268,12 +293,45 @@ def plain_sidr_threshold(spark, d):
     return rounded(generic.survival_threshold(gaps(spark, d), 12.0, "y", "x", "observed", plain_form=True), "cdf")
 
 
-@query()
+def _pooled_sql(value: str, weight: str) -> str:
+    """List of the increasing fit of `value` with `weight` (SQL of k) over 1..g, by max-min; weights of 0 take no part."""
+    mean = f"list_sum([{weight} * ({value}) for k in range(r, s + 1)]) / nullif(list_sum([{weight} for k in range(r, s + 1)]), 0)"
+    return f"[list_max([list_min([{mean} for s in range(i, g + 1)]) for r in range(1, i + 1)]) for i in range(1, g + 1)]"
+
+
+#: One threshold after the other: the survival list sv is multiplied by the fit of (1 - n / w) / sv.
+HAZARD = f"""with recursive o as (select l_discount x, l_quantity y, count(*)::double w from lineitem group by all),
+xi as (select x, w, row_number() over (order by x) i from (select x, sum(w) w from o group by x)),
+zs as (select y, row_number() over (order by y) j from (select distinct y from o)),
+cells as (select zs.j, zs.y, xi.i, xi.w, coalesce((select sum(w) from o where o.x = xi.x and o.y <= zs.y), 0) n from zs cross join xi),
+lists as (select j, y, list(n order by i) n, list(w order by i) w, max(i) g from cells group by j, y),
+st as (select 0::bigint j, null::double y, (select list(1.0::double) from xi) sv
+       union all select j, y, list_transform({_pooled_sql("(1 - n[k] / w[k]) / nullif(sv[k], 0)", "(case when sv[k] > 1e-8 then sv[k] * sv[k] * w[k] else 0 end)")},
+                                            lambda f, m: case when sv[m] > 1e-8 then least(greatest(sv[m] * coalesce(f, 0), 0), sv[m]) else 0 end)
+       from (select l.j, l.y, l.g, l.n, l.w, st.sv from st join lists l on l.j = st.j + 1))
+select xi.x as l_discount, st.y as threshold, round(1 - st.sv[xi.i], 6) + 0.0 as cdf from st cross join xi where st.j > 0"""
+
+#: The same with censoring: own Kaplan-Meier survival ow, weights rk (what is at risk, as the fit has it), remaining rm.
+HAZARD_CENSORED = f"""with recursive {GAPS}, xi as (select x, row_number() over (order by x) i from (select distinct x from gaps)),
+ts as (select y, row_number() over (order by y) j, bool_or(observed) has from gaps group by y),
+cells as (select ts.j, ts.y, ts.has, xi.i, count(*) filter (g.observed)::double d, count(*) filter (not g.observed)::double c from ts cross join xi left join gaps g on g.x = xi.x and g.y = ts.y group by all),
+lists as (select j, y, has, list(d order by i) d, list(c order by i) c, max(i) g from cells group by j, y, has),
+start as (select list(n order by x) n from (select x, count(*)::double n from gaps group by x)),
+st as (select 0::bigint j, null::double y, false has, n rm, n rk, [1.0::double for q in n] ow, [1.0::double for q in n] sv from start
+  union all select j, y, has, [greatest(rm[m] - d[m] - c[m], 0) for m in range(1, g + 1)],
+    [rk[m] * ra[m] * case when rm[m] - d[m] > 1e-8 then greatest(1 - c[m] / (rm[m] - d[m]), 0) else 1 end for m in range(1, g + 1)], ow, [sv[m] * ra[m] for m in range(1, g + 1)]
+  from (select *, case when has then list_transform({_pooled_sql("ow[k] / nullif(sv[k], 0)", "(case when sv[k] > 1e-8 then rk[k] else 0 end)")},
+                                                    lambda f, m: case when sv[m] > 1e-8 then least(greatest(coalesce(f, 0), 0), 1) else 0 end) else [1.0::double for q in d] end ra
+    from (select l.*, st.rm, st.rk, st.sv, [case when st.rm[m] > 1e-8 then st.ow[m] * greatest(1 - l.d[m] / st.rm[m], 0) else st.ow[m] end for m in range(1, l.g + 1)] ow from st join lists l on l.j = st.j + 1)))
+select xi.x, st.y as threshold, round(1 - st.sv[xi.i], 6) + 0.0 as cdf from st cross join xi where st.has"""
+
+
+@query(HAZARD)
 def hazard_uncensored(spark, d):
-    return rounded(fit_idr(line(spark, d), "l_quantity", "l_discount", y_order="hazard").long(), "cdf")
+    return rounded(fit_idr(line(spark, d), "l_quantity", "l_discount", y_order="hazard").long().select("l_discount", "threshold", "cdf"), "cdf")
 
 
-@query()
+@query(HAZARD_CENSORED)
 def hazard_censored(spark, d):
     return rounded(fit_idr(gaps(spark, d), "y", "x", observed="observed", y_order="hazard").long().select("x", "threshold", "cdf"), "cdf")
 
@@ -289,15 +347,15 @@ def idr_cdf_at(spark, d):
     return rounded(line_model(spark, d).cdf_at(ask(spark, d), "y").select("id", "cdf_at"), "cdf_at")
 
 
-@query(_predicted("select id, z as threshold, round(c, 6) as cdf from jump where id % 20 = 0"))
+@query(_predicted("select id, z as threshold, round(c, 6) as cdf from jump"))
 def idr_cdf_interp(spark, d):
-    found = line_model(spark, d).predict_cdf(ask(spark, d).where("id % 20 = 0"))
+    found = line_model(spark, d).predict_cdf(ask(spark, d))
     return rounded(found.select("id", F.explode(F.arrays_zip(F.col("thresholds").alias("z"), F.col("cdf").alias("c"))).alias("s")).select("id", F.col("s.z").alias("threshold"), F.col("s.c").alias("cdf")), "cdf")
 
 
-@query(_predicted("select id, g.v::double as y, round(coalesce(max(case when z <= g.v then c end), 0), 6) as cdf_at from jump cross join (select unnest([0.5, 10, 25, 60]) v) g where id <= 50 group by id, g.v"))
+@query(_predicted("select id, g.v::double as y, round(coalesce(max(case when z <= g.v then c end), 0), 6) as cdf_at from jump cross join (select unnest([0.5, 10, 25, 60]) v) g group by id, g.v"))
 def idr_grid(spark, d):
-    return rounded(line_model(spark, d).cdf_grid(ask(spark, d).where("id <= 50").drop("y"), [0.5, 10, 25, 60]).select("id", "y", "cdf_at"), "cdf_at")
+    return rounded(line_model(spark, d).cdf_grid(ask(spark, d).drop("y"), [0.5, 10, 25, 60]).select("id", "y", "cdf_at"), "cdf_at")
 
 
 @query(_predicted("select id, round(sum(w * z), 6) as prediction from jump group by id"))
@@ -445,10 +503,13 @@ def cover_edges(spark, d):
 @query("with recursive e as (select distinct n_regionkey lo, n_nationkey hi from nation where n_regionkey <> n_nationkey), c as (select lo, hi from e union select c.lo, e.hi from c join e on c.hi = e.lo) select lo, hi from c")
 def closure_edges(spark, d):
     nation = table(spark, d, "nation")
-    edges = nation.select(F.col("n_regionkey").alias("lo"), F.col("n_nationkey").alias("hi")).where("lo != hi")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(f"/tmp/checkpoints/{spark.sparkContext.applicationId}")
-    return transitive_closure(edges)
+    return transitive_closure(nation.select(F.col("n_regionkey").alias("lo"), F.col("n_nationkey").alias("hi")).where("lo != hi"))
+
+
+@query(f"with {PAIRS} select lo, hi from pairs")
+def closure_of_covers(spark, d):
+    """The closure of the cover relation is the order again."""
+    return transitive_closure(cover_pairs(dominance_pairs(points(spark, d), ["a", "b"], "id")))
 
 
 @query(f"with {PAIRS} select id from pts where id not in (select hi from pairs)")
@@ -457,18 +518,106 @@ def minimal_points(spark, d):
     return extremes(dominance_pairs(p, ["a", "b"], "id"), p, "id").select("id")
 
 
+GRID = [5.0, 10.0, 20.0, 30.0, 40.0]
+
+
+def sql_poset(points: str) -> str:
+    """CTEs from `points` (distinct a, b, as compared) to pts (a, b, i) and `meets` (u, l, m): upper and lower sets as bits, and what both hold.
+
+    All sets of points are looked at, so it is for few points: the value of a point
+    is the max over upper sets, that hold it, of the min over lower sets of the mean of what both hold.
+    """
+    return f"""pts as (select a, b, row_number() over (order by a, b) - 1 i from ({points})),
+le as (select p.i lo, q.i hi from pts p join pts q on p.a <= q.a and p.b <= q.b),
+above as (select lo i, sum(1::bigint << hi)::bigint m from le group by lo),
+below as (select hi i, sum(1::bigint << lo)::bigint m from le group by hi),
+sets as (select unnest(range(1, 1::bigint << (select count(*) from pts))) s),
+uppers as (select s from sets where not exists (select 1 from above where (s >> i) & 1 = 1 and (s & m) <> m)),
+lowers as (select s from sets where not exists (select 1 from below where (s >> i) & 1 = 1 and (s & m) <> m)),
+meets as (select u.s u, l.s l, u.s & l.s m from uppers u cross join lowers l where u.s & l.s <> 0)"""
+
+
+def _poset_fit(cells: str, decreasing: bool) -> str:
+    """CTEs from `cells` (z, i, n, w) to `fits` (z, i, f)."""
+    outer, inner = ("min", "max") if decreasing else ("max", "min")
+    return f"""cells as ({cells}),
+means as (select k.m, c.z, sum(c.n) / sum(c.w) v from (select distinct m from meets) k join cells c on (k.m >> c.i) & 1 = 1 group by all),
+tops as (select p.i, x.u, a.z, {inner}(a.v) v from pts p join meets x on (x.m >> p.i) & 1 = 1 join means a on a.m = x.m group by all),
+fits as (select z, i, {outer}(v) f from tops group by all)"""
+
+
+#: Discount and tax in three classes each: few enough points to look at every set of them.
+CLASSES = "o as (select (round(l_discount * 100)::bigint // 4)::double a, (round(l_tax * 100)::bigint // 3)::double b, l_quantity y from lineitem)"
+
+
+def classes(spark, d) -> DataFrame:
+    third = lambda c, k: F.floor(F.round(F.col(c) * 100) / k).cast("double")
+    return line(spark, d).select(third("l_discount", 4).alias("a"), third("l_tax", 3).alias("b"), "l_quantity")
+
+
+def _shares(compared: str = "a = o.a and b = o.b") -> str:
+    return f"select g.z, pts.i, count(*) filter (o.y <= g.z)::double n, count(*)::double w from (select unnest({GRID})::double z) g cross join pts join o on {compared} group by all"
+
+
+@query(f"with {CLASSES}, {sql_poset('select distinct a, b from o')}, {_poset_fit('select 0 z, pts.i, sum(o.y) n, count(*)::double w from pts join o using (a, b) group by all', False)} select a, b, round(f, 6) as fitted from fits join pts using (i)")
+def po_iso_mean_classes(spark, d):
+    return rounded(isotonic_mean(classes(spark, d), "l_quantity", ["a", "b"]), "fitted")
+
+
+@query(f"with {CLASSES}, {sql_poset('select distinct a, b from o')}, {_poset_fit(_shares('pts.a = o.a and pts.b = o.b'), True)} select a, b, z as threshold, round(f, 6) as cdf from fits join pts using (i)")
+def po_idr_classes(spark, d):
+    return rounded(fit_idr(classes(spark, d), "l_quantity", ["a", "b"], grid=GRID).long().select("a", "b", "threshold", "cdf"), "cdf")
+
+
+@query(f"with {CLASSES}, {sql_poset('select distinct greatest(a, b) a, least(a, b) b from o')}, {_poset_fit(_shares('pts.a = greatest(o.a, o.b) and pts.b = least(o.a, o.b)'), True)} select a as at0, b as at1, z as threshold, round(f, 6) as cdf from fits join pts using (i)")
+def po_idr_groups_classes(spark, d):
+    """Exchangeable covariates: the classes as an unordered pair."""
+    model = fit_idr(classes(spark, d), "l_quantity", ["a", "b"], order=[("sd", ["a", "b"])], grid=GRID)
+    return rounded(model.long().select("at0", "at1", "threshold", "cdf"), "cdf")
+
+
+def _po_hazard_sql() -> str:
+    mean = "list_sum([((m >> (k - 1)) & 1) * sv[k] * sv[k] * w[k] * ((1 - n[k] / w[k]) / nullif(sv[k], 0)) for k in range(1, g + 1)]) / nullif(list_sum([((m >> (k - 1)) & 1) * sv[k] * sv[k] * w[k] for k in range(1, g + 1)]), 0)"
+    fit = f"[list_max([list_min([{mean.replace('(m >>', '((x & y) >>')} for y in ls if ((y >> (i - 1)) & 1) = 1]) for x in us if ((x >> (i - 1)) & 1) = 1]) for i in range(1, g + 1)]"
+    return f"""with recursive {CLASSES}, {sql_poset('select distinct a, b from o')}, cells as ({_shares('pts.a = o.a and pts.b = o.b')}),
+lists as (select z, row_number() over (order by z) j, list(n order by i) n, list(w order by i) w, count(*) g from cells group by z),
+fixed as (select (select list(s) from uppers) us, (select list(s) from lowers) ls),
+st as (select 0::bigint j, null::double z, (select list(1.0::double) from pts) sv
+       union all select j, z, list_transform({fit}, lambda f, m: least(greatest(sv[m] * coalesce(f, 0), 0), sv[m]))
+       from (select l.j, l.z, l.n, l.w, l.g, st.sv, us, ls from st join lists l on l.j = st.j + 1 cross join fixed))
+select a, b, z as threshold, round(1 - sv[i + 1], 6) + 0.0 as cdf from st cross join pts where j > 0"""
+
+
+@query(_po_hazard_sql())
+def po_hazard_classes(spark, d):
+    return rounded(fit_idr(classes(spark, d), "l_quantity", ["a", "b"], y_order="hazard", grid=GRID).long().select("a", "b", "threshold", "cdf"), "cdf")
+
+
 def _optimal(fits: DataFrame, keys: list[str]) -> DataFrame:
-    """violations of the order, and level sets whose weighted residuals don't cancel: both 0 for the exact fit."""
+    """What the exact fit of v (weights w) over points (p, q) has none of: order violations, level sets whose weighted
+    residuals don't cancel, and upper sets with a positive sum of residuals; the three are sufficient as well."""
+    key = [F.lit(0).alias("__g"), *[F.col(k) for k in keys]]
+    columns = fits.groupBy(*key, "q").agg(F.collect_list(F.struct("p", "f", (F.col("w") * (F.col("v") - F.col("f"))).alias("r"))).alias("c"))
+    grids = columns.groupBy("__g", *keys).agg(
+        F.array_sort(F.collect_list(F.struct("q", "c"))).alias("columns"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("c", lambda x: x["p"]))))).alias("ps"))
+    # upper sets are staircases: the first p that belongs falls from column to column; best[j]: sums so far with the first p at j or later
+    start = F.transform(F.concat("ps", F.array(F.lit(float("inf")))), lambda p: F.lit(0.0))
+
+    def step(best, column):
+        own = F.transform(F.concat("ps", F.array(F.lit(float("inf")))), lambda p: F.aggregate(F.filter(column["c"], lambda x: x["p"] >= p), F.lit(0.0), lambda s, x: s + x["r"]))
+        return F.transform(own, lambda v, j: v + F.array_max(F.slice(best, j + 1, F.size(best) - j)))
+
+    gain = grids.select(F.array_max(F.aggregate("columns", start, step)).alias("gain"), *keys)
     a, b = fits.alias("a"), fits.alias("b")
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    bad = a.join(b, same & (F.col("a.p") <= F.col("b.p")) & (F.col("a.q") <= F.col("b.q")) & (F.col("a.f") > F.col("b.f") + 1e-9)).agg(F.count("*").alias("violations"))
+    bad = a.join(b, [*[F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys], F.col("a.q") <= F.col("b.q"), F.col("a.p") <= F.col("b.p"), F.col("a.f") > F.col("b.f") + 1e-9])
     levels = fits.groupBy(*keys, F.round("f", 9).alias("level")).agg(F.sum(F.col("w") * (F.col("v") - F.col("f"))).alias("r"), F.sum("w").alias("m"))
-    return bad.crossJoin(levels.agg(F.count_if(F.abs(F.col("r")) > 1e-6 * F.col("m")).alias("unbalanced")))
+    total = fits.agg(F.sum("w").alias("all"))
+    return bad.agg(F.count("*").alias("violations")).crossJoin(
+        levels.agg(F.count_if(F.abs(F.col("r")) > 1e-6 * F.col("m")).alias("unbalanced"))).crossJoin(
+        gain.crossJoin(total).agg(F.count_if(F.col("gain") > 1e-6 * F.col("all")).alias("better")))
 
 
-@query("select 0::bigint as violations, 0::bigint as unbalanced")
+@query("select 0::bigint as violations, 0::bigint as unbalanced, 0::bigint as better")
 def po_iso_mean(spark, d):
     df = line(spark, d)
     means = df.groupBy("l_discount", "l_tax").agg(F.avg("l_quantity").alias("v"), F.count("*").cast("double").alias("w"))
@@ -476,10 +625,7 @@ def po_iso_mean(spark, d):
     return _optimal(fits.select(F.col("l_discount").alias("p"), F.col("l_tax").alias("q"), F.col("fitted").alias("f"), "v", "w"), [])
 
 
-GRID = [5.0, 10.0, 20.0, 30.0, 40.0]
-
-
-@query("select 0::bigint as violations, 0::bigint as unbalanced")
+@query("select 0::bigint as violations, 0::bigint as unbalanced, 0::bigint as better")
 def po_idr(spark, d):
     df = line(spark, d)
     model = fit_idr(df, "l_quantity", ["l_discount", "l_tax"], grid=[*GRID, 50.0])
@@ -503,8 +649,16 @@ def po_hazard(spark, d):
 
 @query()
 def po_sidr(spark, d):
-    few = gaps(spark, d).withColumns({"a": F.floor(F.col("x") / 5), "b": F.pmod(F.col("x"), F.lit(2))})
-    return rounded(fit_idr(few, "y", ["a", "b"], observed="observed", grid=[6.0, 12.0, 24.0]).long(), "cdf")
+    """User buckets as points of a 4 by 3 grid."""
+    points = gaps(spark, d).withColumns({"a": F.floor(F.col("x") / 3), "b": F.pmod(F.col("x"), F.lit(3))})
+    return rounded(fit_idr(points, "y", ["a", "b"], observed="observed", grid=[6.0, 12.0, 24.0]).long(), "cdf")
+
+
+@query(_sidr_sql("select xi.x as a, xi.x * 2 as b, g.z as threshold, round(coalesce(f, 0), 6) as cdf from (select unnest([6.0, 12.0, 24.0])::double z) g cross join xi left join clipped on clipped.i = xi.i and clipped.z = (select max(z) from raw where raw.z <= g.z)"))
+def po_sidr_chain(spark, d):
+    """A partial order that is a chain: the result is that of the total order."""
+    points = gaps(spark, d).withColumns({"a": F.col("x"), "b": 2 * F.col("x")})
+    return rounded(fit_idr(points, "y", ["a", "b"], observed="observed", grid=[6.0, 12.0, 24.0]).long().select("a", "b", "threshold", "cdf"), "cdf")
 
 
 #: Two literal fits on a square, asked at points inside, below, above and beside it.
@@ -563,26 +717,52 @@ def order_stat(spark, d):
     return order_statistic(line(spark, d), "l_quantity", 100, ["l_returnflag"])
 
 
-@query("with " + sql_chain("select l_discount x, count(*)::double w, sum(l_quantity) n from lineitem where l_quantity < 3 group by 1", "", False) + " select x, round(f, 6) as fitted from fits")
+@query(_iso_sql("1.0::double", False).replace("x as l_discount", "x"))
 def iso_functional(spark, d):
     """The generic pooling with the mean as block aggregate gives the isotonic mean."""
-    return rounded(generic.isotonic_functional(line(spark, d).where("l_quantity < 3"), "l_quantity", "l_discount", K.average), "fitted")
+    return rounded(generic.isotonic_functional(line(spark, d), "l_quantity", "l_discount", K.average), "fitted")
 
 
-@query()
+@query("with recursive " + sql_clipped("""g as (select l_discount x, count(*)::double k, sum(l_quantity) s1, sum(l_quantity * l_quantity) s2 from lineitem group by 1),
+xi as (select *, row_number() over (order by x) i from g),
+iv as (select a.i r, b.i s, sum(q.k) k, sum(q.s1) s1, sum(q.s2) s2 from xi a join xi b on a.i <= b.i join xi q on q.i between a.i and b.i group by all),
+raw as (select 0 z, r, s, (s2 - s1 * s1 / k) / (k - 1) v from iv)""", False) + " select x, round(f, 6) as fitted from clipped join xi using (i)")
 def iso_variance(spark, d):
     return rounded(generic.isotonic_functional(line(spark, d), "l_quantity", "l_discount", K.variance, definition=True), "fitted")
 
 
-@query()
+@query("with recursive " + sql_clipped("""g as (select l_discount x, l_quantity y, count(*)::double k from lineitem group by all),
+xi as (select x, row_number() over (order by x) i from (select distinct x from g)),
+iv as (select a.i r, b.i s, g.y, sum(g.k) m from xi a join xi b on a.i <= b.i join xi q on q.i between a.i and b.i join g on g.x = q.x group by all),
+cu as (select *, sum(m) over (partition by r, s order by y) - m lower, 0.2 * sum(m) over (partition by r, s) cut from iv),
+raw as (select 0 z, r, s, sum(least(m, greatest(cut - lower, 0)) * y) / any_value(cut) v from cu group by r, s)""", False) + " select x, round(f, 6) as fitted from clipped join xi using (i)")
 def iso_shortfall(spark, d):
     return rounded(generic.isotonic_functional(line(spark, d), "l_quantity", "l_discount", K.expected_shortfall(0.2), definition=True), "fitted")
 
 
-@query()
+#: Kaplan-Meier at 24 hours of every run of a user's gaps, in their order.
+@query("with recursive " + sql_clipped(GAPS + """,
+o as (select user_id z, y, observed, row_number() over (partition by user_id order by event_id) i from gaps),
+iv as (select a.z, a.i r, b.i s, q.y, count(*) filter (q.observed) d, count(*) m from o a join o b on a.z = b.z and a.i <= b.i join o q on q.z = a.z and q.i between a.i and b.i group by all),
+risk as (select *, sum(m) over (partition by z, r, s order by y desc) n from iv),
+raw as (select z, r, s, 1 - case when max((d = n and y <= 24)::int) = 1 then 0 else exp(sum(case when y <= 24 and d > 0 and d < n then ln(1 - d / n::double) else 0 end)) end v from risk group by all)""")
+    + " select z as user_id, round(c[g][1], 6) as value from tri where n = g")
 def clipped_km(spark, d):
-    few = gaps(spark, d).groupBy("x").agg(F.max("y").alias("y"), F.bool_and("observed").alias("observed"))
-    return rounded(generic.clipped_sample_value(few, "y", "x", K.kaplan_meier_at(24.0), observed="observed"), "value")
+    """Each user's gaps, in order, as one sample."""
+    return rounded(generic.clipped_sample_value(gaps(spark, d), "y", "event_id", K.kaplan_meier_at(24.0), observed="observed", by=["user_id"]), "value")
+
+
+@query("""with recursive o as (select user_id z, value y, row_number() over (partition by user_id order by event_id) i from events),
+p as (select *, sum(y) over w s1, sum(y * y) over w s2 from o window w as (partition by z order by i)),
+raw as (select a.z, a.i r, b.i s, ((b.s2 - a.s2 + a.y * a.y) - power(b.s1 - a.s1 + a.y, 2) / (b.i - a.i + 1)) / (b.i - a.i) v from p a join p b on a.z = b.z and a.i < b.i),
+bylen as (select z, s - r + 1 len, list(v order by r) vs from raw group by z, len),
+lists as (select z, list(vs order by len) raw, max(len) g from bylen group by z),
+tri as (select z, least(g, 3) n, raw, g, raw[1:2] c from lists
+        union all select z, n + 1, raw, g, list_append(c, [list_aggregate(list_concat([raw[n][r]], [c[k - 1][r] for k in range(2, n)], [c[k - 1][r + n + 1 - k] for k in range(2, n)]), 'median') for r in range(1, g - n + 1)]) from tri where n < g)
+select z as user_id, round(c[g - 1][1], 6) as value from tri where n = g""")
+def split_variance(spark, d):
+    """The variance of each user's event values as a median over splits."""
+    return rounded(generic.sample_variance_of_splits(table(spark, d, "events"), "value", "event_id", by=["user_id"]).select("user_id", "value"), "value")
 
 
 @query()
@@ -590,22 +770,34 @@ def park(spark, d):
     return rounded(fit_park(gaps(spark, d), "x", "y", "observed", centres=[1.0, 4.0, 8.0]), "cdf")
 
 
-@query("select count(*)::bigint as cells, 0::bigint as bad from (select distinct l_discount from lineitem) cross join (select distinct l_quantity from lineitem)")
+@query("select count(*)::bigint as cells, 0::bigint as bad, 0::bigint as far from (select distinct l_discount from lineitem) cross join (select distinct l_quantity from lineitem)")
 def bagging(spark, d):
-    """Averaged CDFs of five half samples: complete, rising, within [0, 1]."""
+    """Averaged CDFs of five half samples: complete, rising, within [0, 1], and near the fit of all rows."""
     df = line(spark, d)
-    out = idr_bag(df, "l_quantity", "l_discount", df.select("l_discount").distinct(), 5, seed=4)
+    asked = df.select("l_discount").distinct()
+    out = idr_bag(df, "l_quantity", "l_discount", asked, 5, 0.5, seed=4)
+    whole = line_model(spark, d).predict_cdf(asked).select("l_discount", F.col("cdf").alias("whole"))
     bad = F.exists("cdf", lambda c: (c < 0) | (c > 1 + 1e-12)) | F.exists(C.steps(F.col("cdf")), lambda s: s < -1e-12) | (F.size("cdf") != F.size("thresholds"))
-    return out.agg(F.sum(F.size("cdf")).alias("cells"), F.count_if(bad).alias("bad"))
+    far = F.size(F.filter(F.zip_with("cdf", "whole", lambda a, b: F.abs(a - b)), lambda x: x > 0.1))
+    return out.join(whole, "l_discount").agg(F.sum(F.size("cdf")).alias("cells"), F.count_if(bad).alias("bad"), F.sum(far).cast("long").alias("far"))
 
 
-@query("with i as (select 2 * l_discount + l_tax v, l_quantity y from lineitem where l_quantity <= 10), " + sql_idr("select round(v, 4) x, y, 1.0::double w from i") + " select x, threshold, round(cdf, 6) as cdf from idr")
+@query("with " + sql_idr(LINE) + " select threshold, x, round(cdf, 6) as cdf from idr")
+def bagging_whole(spark, d):
+    """Subsamples of all rows without replacement: the fit itself."""
+    df = line(spark, d)
+    out = idr_bag(df, "l_quantity", "l_discount", df.select("l_discount").distinct(), 5, 1.0, seed=4)
+    cells = out.select(F.col("l_discount").alias("x"), F.explode(F.arrays_zip(F.col("thresholds").alias("z"), F.col("cdf").alias("c"))).alias("s"))
+    return rounded(cells.select(F.col("s.z").alias("threshold"), "x", F.col("s.c").alias("cdf")), "cdf")
+
+
+@query("with i as (select 2 * l_discount + l_tax v, l_quantity y from lineitem), " + sql_idr("select round(v, 4) x, y, 1.0::double w from i") + " select x, threshold, round(cdf, 6) as cdf from idr")
 def index_model(spark, d):
     """A fixed index, then IDR on it."""
     def index(_training):
         return lambda df: df.withColumn("prediction", F.round(2 * F.col("l_discount") + F.col("l_tax"), 4))
 
-    model = fit_index_model(line(spark, d).where("l_quantity <= 10"), "l_quantity", index)
+    model = fit_index_model(line(spark, d), "l_quantity", index)
     return rounded(model.idr.long().select(F.col("prediction").alias("x"), "threshold", "cdf"), "cdf")
 
 
@@ -613,11 +805,45 @@ def index_model(spark, d):
 def udtf_isotonic(spark, d):
     udtf.register(spark)
     line(spark, d).groupBy("l_returnflag", "l_discount").agg(F.avg("l_quantity").alias("y"), F.count("*").cast("double").alias("w")).createOrReplaceTempView("cdfloom_line")
-    parts = [
-        spark.sql(f"select '{f}' as l_returnflag, x, fitted from isotonic(TABLE(select l_discount, y, w from cdfloom_line where l_returnflag = '{f}') WITH SINGLE PARTITION)")
-        for f in ("A", "N", "R")
-    ]
-    return rounded(parts[0].unionAll(parts[1]).unionAll(parts[2]), "fitted")
+    return rounded(spark.sql("select key as l_returnflag, x, fitted from isotonic_by(TABLE(select l_returnflag, l_discount, y, w from cdfloom_line))"), "fitted")
+
+
+@query(_km_sql("x"))
+def udtf_kaplan_meier(spark, d):
+    udtf.register(spark)
+    gaps(spark, d).groupBy("x", "y", "observed").agg(F.count("*").cast("double").alias("w")).createOrReplaceTempView("cdfloom_gaps")
+    return rounded(spark.sql("select key as x, time, survival from kaplan_meier_by(TABLE(select x, y, observed, w from cdfloom_gaps))"), "survival")
+
+
+@query("with " + sql_idr("select l_returnflag flag, l_discount x, l_quantity y, 1.0::double w from lineitem", True, "flag") + " select flag, x, threshold, round(cdf, 6) as cdf from idr")
+def udtf_idr_cdf(spark, d):
+    udtf.register(spark)
+    line(spark, d).groupBy("l_returnflag", "l_discount", "l_quantity").agg(F.count("*").cast("double").alias("w")).createOrReplaceTempView("cdfloom_cells")
+    return rounded(spark.sql("select key as flag, x, threshold, cdf from idr_cdf_by(TABLE(select l_returnflag, l_discount, l_quantity, w from cdfloom_cells))"), "cdf")
+
+
+#: One price a part, in order of its key: every row is an item.
+@query("with " + sql_chain("select p_size::double size, p_partkey::double x, 1.0::double w, p_retailprice n from part", "size", False) + " select size::int as p_size, x::bigint as p_partkey, round(f, 6) as fitted from fits")
+def iso_indexed(spark, d):
+    part = table(spark, d, "part").select("p_size", "p_partkey", "p_retailprice")
+    out = isotonic_indexed(part, "p_retailprice", "p_partkey", by=["p_size"])
+    return rounded(out.select(F.col("p_size").cast("int").alias("p_size"), F.col("p_partkey").cast("long").alias("p_partkey"), "fitted"), "fitted")
+
+
+@query("select hi as node, count(*)::bigint as rank from (with " + PAIRS + " select lo, hi from pairs) group by hi union all select id as node, 0::bigint as rank from (with " + PAIRS + " select id from pts where id not in (select hi from pairs))")
+def topological(spark, d):
+    p = points(spark, d)
+    covers = cover_pairs(dominance_pairs(p, ["a", "b"], "id"))
+    return topological_order(covers, p.select(F.col("id").alias("node")), "node")
+
+
+@query(f"with {PAIRS}, covers as (select lo, hi from pairs anti join (select distinct p.lo, q.hi from pairs p join pairs q on p.hi = q.lo) t using (lo, hi)), "
+       "e as (select hi node, lo x, false up from covers union all select lo, hi, true from covers) "
+       "select node, coalesce(string_agg(x::varchar, ',' order by x) filter (not up), '') as below, coalesce(string_agg(x::varchar, ',' order by x) filter (up), '') as above from e group by node")
+def cover_adjacency(spark, d):
+    found = adjacency(cover_pairs(dominance_pairs(points(spark, d), ["a", "b"], "id")))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return found.select("node", joined("below"), joined("above"))
 
 
 @query(_predicted("select id, round(sum(w * z), 6) as prediction from jump group by id"))

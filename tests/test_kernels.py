@@ -72,7 +72,7 @@ def test_sidr_golden(x, y, seen, cdf):
 
 def test_plain_sidr():
     x, y, seen = np.arange(1.0, 5), np.array([2.0, 1, 4, 3]), np.array([N, T, T, T])
-    assert np.allclose(functionals.by_definition(x, y, seen, np.ones(4), functionals.kaplan_meier_at(3.5), increasing=False, clip=False)[1], [5 / 8, 5 / 8, .5, .5])
+    assert np.allclose(functionals.by_definition(x, functionals.Rows.of(y, seen), functionals.kaplan_meier_at(3.5), increasing=False, clip=False)[1], [5 / 8, 5 / 8, .5, .5])
 
 
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 5), st.booleans()), min_size=1, max_size=9))
@@ -89,7 +89,7 @@ def test_sidr_three_ways(rows):
     before = poset.dominance(np.repeat(xs[:, None], 3, 1))
     assert np.allclose(cdf, poset.partial_sidr(node, y, seen, np.ones(len(y)), before, z))
     for t, row in zip(z, cdf):
-        assert np.allclose(row, functionals.by_definition(x, y, seen, np.ones(len(y)), functionals.kaplan_meier_at(t), increasing=False)[1])
+        assert np.allclose(row, functionals.by_definition(x, functionals.Rows.of(y, seen), functionals.kaplan_meier_at(t), increasing=False)[1])
 
 
 def test_hazard_golden():
@@ -158,8 +158,91 @@ def test_park_orders_groups():
 
 def test_functionals():
     y, w = np.array([1.0, 2, 3, 4]), np.array([1.0, 1, 2, 1])
-    assert functionals.average(y, None, w) == pytest.approx(2.6)
-    assert functionals.variance(y, None, np.ones(4)) == pytest.approx(np.var(y, ddof=1))
-    assert np.isnan(functionals.variance(y[:1], None, w[:1]))
-    assert functionals.expected_shortfall(0.5)(y, None, np.ones(4)) == pytest.approx(1.5)
-    assert np.isnan(functionals.expected_shortfall(0.1)(y, None, w))
+    rows = functionals.Rows.of
+    assert functionals.average(rows(y, None, w)) == pytest.approx(2.6)
+    assert functionals.variance(rows(y)) == pytest.approx(np.var(y, ddof=1))
+    assert np.isnan(functionals.variance(rows(y[:1])))
+    assert functionals.expected_shortfall(0.5)(rows(y)) == pytest.approx(1.5)
+    assert np.isnan(functionals.expected_shortfall(0.1)(rows(y, None, w)))
+
+
+SEVERAL = [functionals.average, functionals.variance, functionals.expected_shortfall(0.3), functionals.kaplan_meier_at(2.0)]
+
+
+@pytest.mark.parametrize("functional", SEVERAL)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 4), st.booleans(), st.integers(1, 3)), min_size=1, max_size=14))
+@settings(max_examples=40, deadline=None)
+def test_interval_tables_and_added_up_rows(functional, data):
+    """Every interval's value is that of its own rows; rows added up give what they give apart."""
+    x, y, seen, w = (np.array(c) for c in zip(*data))
+    rows = functionals.Rows.of(y.astype(float), seen, w.astype(float))
+    u, table = functionals.interval_table(x, rows, functional)
+    for r in range(len(u)):
+        for s in range(r, len(u)):
+            assert table[r, s] == pytest.approx(functional(rows[(x >= u[r]) & (x <= u[s])]), nan_ok=True, abs=1e-9)
+    cells, at = np.unique(np.stack((x, y, seen)), axis=1, return_inverse=True)
+    total = lambda v: np.bincount(at.ravel(), v)
+    summed = functionals.Rows(cells[1].astype(float), cells[2].astype(bool), total(w), total(w * w), total(np.ones(len(w))))
+    assert np.allclose(functionals.interval_table(cells[0], summed, functional)[1], table, equal_nan=True)
+
+
+def test_blocks_without_a_value():
+    """Splits and intervals that have none are passed over: a covariate of one row takes the value of an interval that holds it."""
+    rows = functionals.Rows.of
+    assert functionals.by_definition(np.array([1.0, 2]), rows([1.0, 3]), functionals.variance)[1].tolist() == [2, 2]
+    fitted = functionals.by_definition(np.array([1, 2, 2, 3, 3, 3]), rows([1.0, 2, 4, 3, 9, 5]), functionals.variance)[1]
+    assert np.allclose(fitted, [7 / 3, 7 / 3, 28 / 3])
+    assert np.isnan(functionals.by_definition(np.array([1.0]), rows([1.0]), functionals.variance)[1]).all()
+
+
+@pytest.mark.parametrize("low, high, increasing, fitted", [
+    (100 + np.arange(11) / 10, np.arange(11.0), True, [.11, 11]), (np.arange(11.0), 100 + np.arange(11) / 10, True, [11, 11]),
+])
+def test_variance_of_two_groups(low, high, increasing, fitted):
+    x = np.repeat([1.0, 2], 11)
+    assert np.allclose(functionals.by_definition(x, functionals.Rows.of(np.concatenate((low, high))), functionals.variance, increasing)[1], fitted)
+
+
+@pytest.mark.parametrize("y, selected", [
+    ([-1, 1, -1, 1], (2, 0, 1, 2, 2, 2)), ([0, 0, 100, 0, 0], (2000, 0, 4, 1, 5, 5)), ([3, 3, 4, 4.00000001], (0, 0, 1, 2, 2, 2)),
+    ([1, -1, 1, -1 + 1e-2], (1.98005, 2, 3, 2, 2, 2)), ([1, -1, 0, 0], (2 / 3, 0, 3, 1, 4, 4)), ([0, 1], (.5, 0, 1, 1, 2, 2)), ([0, 1, 2], (1, 0, 2, 1, 3, 3)),
+])
+def test_variance_of_splits(y, selected):
+    got = functionals.variance_of_splits(np.array(y, float))
+    assert got.value == pytest.approx(selected[0]) and (got.start, got.end, got.blocks, got.largest, got.smallest) == selected[1:]
+
+
+@given(st.lists(st.integers(-9, 9), min_size=2, max_size=11))
+@settings(max_examples=60, deadline=None)
+def test_variance_of_splits_by_recursion(y):
+    own = lambda r, s: float(np.var(np.array(y[r:s], float), ddof=1))
+
+    def value(r, s):
+        parts = [v for k in range(r + 2, s - 1) for v in (value(r, k), value(k, s))] if s - r >= 4 else []
+        return sorted([own(r, s), *parts])[len(parts) // 2]
+
+    got = functionals.variance_of_splits(np.array(y, float))
+    assert got.value == pytest.approx(value(0, len(y)), abs=1e-9)
+    assert got.value == pytest.approx(own(got.start, got.end + 1), abs=1e-9)
+
+
+def test_clipped_value_of_18_rows():
+    y = [16, 9, 17, 7, 10, 8, 2, 13, 15, 1, 14, 3, 11, 12, 4, 18, 6, 5]
+    seen = [N, N, N, T, N, T, T, N, N, T, T, T, N, T, N, T, T, T]
+    x = np.arange(18)
+    rows = functionals.Rows.of(y, seen)
+    assert np.allclose(functionals.by_definition(x, rows, functionals.kaplan_meier_at(13.0), increasing=False)[1], 24 / 49)
+    table = functionals.interval_table(x, rows, functionals.kaplan_meier_at(13.0))[1]
+    assert functionals.clipped_value(x, rows, functionals.kaplan_meier_at(13.0)) == pytest.approx(functionals.clip_in_turn(table)[0, -1])
+    assert np.allclose(np.triu(functionals.clip_in_turn(table)), np.triu(survival.clip_triangle(table)))
+
+
+def test_park_counts_equal_rows():
+    r = np.random.default_rng(3)
+    x, y, seen = r.integers(0, 9, 200).astype(float), np.round(r.exponential(5, 200)), r.random(200) < .7
+    cells, count = np.unique(np.stack((x, y, seen)), axis=1, return_counts=True)
+    times, cdf = park.fit(x, y, seen, np.array([1.0, 4, 8]))
+    again = park.fit(cells[0], cells[1], cells[2].astype(bool), np.array([1.0, 4, 8]), count=count)
+    assert np.array_equal(times, again[0]) and np.allclose(cdf, again[1], equal_nan=True)
+    u, k = np.unique(x, return_counts=True)
+    assert np.allclose(park.default_centres(x), park.default_centres(u, k))

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from cdfloom import errors
 from cdfloom.functions import cdf as C
 from cdfloom.functions import scores as S
-from cdfloom.model import IDRModel, fit_idr, subsample_plan
-from cdfloom.operators.isotonic import isotonic_mean
+from cdfloom.model import IDRModel, fit_idr, subsample_plan, subsampled
+from cdfloom.operators.isotonic import isotonic_indexed, isotonic_mean
 from cdfloom.operators.prep import CovariateOrder
 from cdfloom.operators.survival import kaplan_meier
+from cdfloom.plans.dominance import adjacency, topological_order
 from cdfloom.streaming.scoring import late_sums_stream, score_stream, sums_stream
 
 
@@ -125,10 +126,13 @@ def test_invalid_options(spark):
         fit_idr(df.withColumn("w", F.lit(-1.0)), "y", "x", weight="w")
     with pytest.raises(errors.ConfigParseError):
         fit_idr(df, "y", "x", y_order="fosd")
-    with pytest.raises(errors.SubaggingParameterInconsistency):
-        subsample_plan(10, None, 5, None)
-    with pytest.raises(errors.SubaggingParameterInconsistency):
-        subsample_plan(10, 3, 11, False)
+    for wrong in ((10, None, 5, None), (10, 3, 11, False), (10, 0, None, None), (10, 3, 0, None), (10, 3, 1.5, None), (10, None, None, True)):
+        with pytest.raises(errors.SubaggingParameterInconsistency):
+            subsample_plan(*wrong)
+    for wrong in ({"epsilon": 1e-3, "osqp_settings": {}}, {"epsilon": -1}, {"tolerance": 1}, {"osqp_settings": {"rho": 1}}, {"osqp_settings": {"max_iter": 2.5}}, {"osqp_settings": {"verbose": 1}}):
+        with pytest.raises(errors.ConfigParseError):
+            fit_idr(df, "y", "x", settings=wrong)
+    fit_idr(df, "y", "x", settings={"osqp_settings": {"eps_abs": 1e-5, "max_iter": 100, "verbose": False}})
     with pytest.raises(errors.OrderMismatch):
         IDRModel.from_cdfs(spark, [[1.0], [1.0]], [1.0, 1.0], [1.0])
     with pytest.raises(errors.ShapeMismatch):
@@ -137,10 +141,89 @@ def test_invalid_options(spark):
         fit_idr(df.withColumns({"z": F.col("x"), "o": F.col("x") > 1}), "y", ["x", "z"], observed="o", y_order="hazard")
 
 
+@pytest.mark.parametrize("asked, plan", [
+    ((10, None, None, None), (1, 10, False)), ((10, None, 10, False), (1, 10, False)), ((10, None, 1.0, False), (1, 10, False)),
+    ((10, 3, None, None), (1, 10, False)), ((10, 3, None, True), (3, 5, True)), ((10, 3, 10, True), (3, 5, True)), ((10, 3, 10, False), (1, 10, False)),
+    ((10, 3, 4, False), (3, 4, False)), ((10, 3, 0.25, False), (3, 3, False)), ((10, 3, 0.01, True), (3, 1, True)), ((11, 3, None, True), (3, 6, True)),
+])
+def test_subsample_rules(asked, plan):
+    assert subsample_plan(*asked) == plan
+
+
+@pytest.mark.parametrize("replacement", [False, True])
+def test_subsamples_are_exact_and_do_not_depend_on_partitions(spark, data, replacement):
+    part = spark.read.parquet(f"{data}/part.parquet")
+    rows = part.select(F.array(F.col("p_size").cast("double")).alias("at"), F.pmod("p_partkey", F.lit(3)).cast("double").alias("y"), F.lit(True).alias("observed"), F.lit(1.0).alias("w"))
+    n = rows.count()
+    got = [sorted(map(str, subsampled(r, n, 3, 70, replacement, 5).collect())) for r in (rows, rows.repartition(7, "y"))]
+    assert got[0] == got[1]
+    out = subsampled(rows, n, 3, 70, replacement, 5)
+    assert {r["subsample_id"]: r["s"] for r in out.groupBy("subsample_id").agg(F.sum("w").alias("s")).collect()} == {0: 70, 1: 70, 2: 70}
+    more = out.join(rows.groupBy("at", "y").count(), ["at", "y"]).where(F.col("w") > F.col("count")).count()
+    assert replacement or not more
+    whole = {(r["subsample_id"], str(r["at"]), r["y"]): r["w"] for r in subsampled(rows, n, 2, n - 1, False, 5).collect()}
+    assert sum(whole.values()) == 2 * (n - 1)
+
+
 def test_bag_seed(spark, data):
     df = spark.read.parquet(f"{data}/part.parquet").select("p_size", F.floor("p_retailprice").cast("double").alias("y"))
-    fits = [fit_idr(df, "y", "p_size", subsamples=3, seed=5, replace=r).predict(df.select("p_size").distinct()).orderBy("p_size").collect() for r in (False, False, True)]
-    assert fits[0] == fits[1] and len(fits[2]) == len(fits[0])
+    fits = [fit_idr(df, "y", "p_size", subsamples=3, subsample_size=0.5, seed=5, replace=r).predict(df.select("p_size").distinct()).orderBy("p_size").collect() for r in (False, False, True)]
+    assert fits[0] == fits[1] and len(fits[2]) == len(fits[0]) and fits[2] != fits[0]
+
+
+def test_texts(spark):
+    model = fit_idr(frame(spark, [(1., 3.), (2., 2.), (2., 9.)]), "y", "x")
+    assert "covariates: x" in str(model) and "total, increasing" in str(model)
+    row = model.summary().first()
+    assert (row["n_covariates"], row["n_thresholds"], row["largest_last"]) == (2, 3, 1.0)
+
+
+def test_one_job_before_the_fit(spark, data):
+    """The input is read once to check it and size the fit; the fit is lazy."""
+    df = spark.read.parquet(f"{data}/lineitem.parquet")
+    spark.sparkContext.setJobGroup("fit", "fit")
+    fit_idr(df, "l_quantity", "l_discount")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("fit")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 2  # a shuffle before the one row may be a job of its own
+
+
+def test_indexed_means(spark):
+    df = frame(spark, [("a", 1, 2., 5., 1.), ("a", 2, 3., 4., 1.), ("a", 3, 1., 9., 2.), ("b", 2, 1., 0., 1.), ("b", 1, 5., 1., 0.)], "g string, i int, y double, z double, w double")
+    one = {(r["g"], r["i"]): r["fitted"] for r in isotonic_indexed(df, "y", "i", by=["g"]).collect()}
+    assert one == {("a", 1): 2, ("a", 2): 2, ("a", 3): 2, ("b", 1): 3, ("b", 2): 3}
+    two = {(r["g"], r["i"]): (r["fitted_y"], r["fitted_z"]) for r in isotonic_indexed(df, ["y", "z"], "i", "w", by=["g"]).collect()}
+    assert two["a", 3] == (1.75, 9) and two["b", 1] == (1, 0) and two["a", 2][1] == 4.5
+
+
+def test_orders_of_a_relation(spark):
+    edges = frame(spark, [(1, 2), (2, 3), (1, 4), (4, 3)], "lo int, hi int")
+    nodes = frame(spark, [(k,) for k in range(1, 6)], "n int")
+    rank = {r["n"]: r["rank"] for r in topological_order(edges, nodes, "n").collect()}
+    assert rank == {1: 0, 2: 1, 4: 1, 3: 3, 5: 0}
+    near = {r["node"]: (r["below"], r["above"]) for r in adjacency(edges).collect()}
+    assert near == {1: ([], [2, 4]), 2: ([1], [3]), 3: ([2, 4], []), 4: ([1], [3])}
+    with pytest.raises(errors.OrderMismatch):
+        topological_order(edges.unionAll(frame(spark, [(3, 1)], "lo int, hi int")), nodes, "n")
+
+
+def test_estimator_in_a_pipeline(spark, data, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from cdfloom.ml import IsotonicDistributionalRegressor
+
+    df = spark.read.parquet(f"{data}/lineitem.parquet").select("l_discount", "l_quantity")
+    asked = df.select("l_discount").distinct()
+    estimator = IsotonicDistributionalRegressor("l_quantity", "l_discount", increasing=False)
+    assert estimator.getFeatureCols() == ["l_discount"] and estimator.copy({estimator.increasing: True}).getOrDefault("increasing") is True
+    model = Pipeline(stages=[estimator]).fit(df)
+    model.save(str(tmp_path / "model"))
+    Pipeline(stages=[estimator]).save(str(tmp_path / "estimator"))
+    want = model.transform(asked).select("l_discount", "prediction").orderBy("l_discount").collect()
+    assert PipelineModel.load(str(tmp_path / "model")).transform(asked).select("l_discount", "prediction").orderBy("l_discount").collect() == want
+    assert Pipeline.load(str(tmp_path / "estimator")).fit(df).transform(asked).select("l_discount", "prediction").orderBy("l_discount").collect() == want
+    with pytest.raises(errors.ConfigParseError):
+        IsotonicDistributionalRegressor("y", "x", depth=3)
 
 
 def test_save_and_load(spark, tmp_path):
