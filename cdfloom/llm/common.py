@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -19,19 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
+    """The folder that driver and executors share, as the session names it in `spark.checkpoint.dir`.
 
-    Only where `spark.checkpoint.dir` is unset (single-machine tests) a folder
-    of this application is used and also made the checkpoint folder.
+    Only a single machine (master local) may leave it unset, as tests do: a
+    folder of this application is used then.  Elsewhere executors would write to
+    disks of their own, so it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
 _owned: dict[str, list[str]] = {}
+_tables: dict[str, list[str]] = {}
 _owner: list[str] = []
 
 
@@ -46,11 +51,22 @@ def scratch_owner(owner: str) -> Iterator[None]:
 
 
 def release(spark: SparkSession, owner: str) -> None:
-    """Delete the scratch of `owner`.  Results that were not written yet must not depend on it."""
+    """Delete the scratch of `owner`: files, and tables with their catalog entries.  Results that were not written yet must not depend on it."""
+    for name in _tables.pop(owner, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     for path in _owned.pop(owner, []):
         delete_path(spark, path)
 
 
+@atexit.register
+def _drop_tables() -> None:
+    """What no owner gave back leaves the catalog when the application ends; its files are deleted with the application's others."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and not spark.sparkContext._jsc.sc().isStopped():
+        for name in [n for names in _tables.values() for n in names]:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the application ends at the latest."""
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
@@ -61,6 +77,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def bucketed(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    """`df` dealt once by `columns` into a bucketed table of the shared folder: later joins on them don't move its rows."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    n = shuffle_partitions(spark)
+    df.repartition(n, *columns).write.option("path", scratch_path(spark, name)).bucketBy(n, *columns).saveAsTable(table)
+    _tables.setdefault(_owner[-1] if _owner else "", []).append(table)
+    return spark.table(table)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
