@@ -11,6 +11,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -39,26 +40,44 @@ NAME_PART = re.compile(r"[a-z]+")
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]  # features of the ancestors, outermost first
+    path: frozenset[str]  # features of the ancestors
     tag: str
     linked: int  # characters inside links
 
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order.  Unclosed and stray tags, a cut-off end and missing elements are repaired as browsers do."""
+@dataclass(slots=True)
+class _Open:
+    """An open element.  All that its blocks need of its ancestors is kept here, so that nothing walks up the stack."""
+
+    tag: str
+    path: frozenset[str]  # features of it and its ancestors
+    block: str  # tag of the nearest element that is no inline one
+    paragraph: int  # depth of the open paragraph that a block inside would end, or -1
+    stop: int  # depth of the nearest element that an omitted end tag can't cross, or -1
+
+
+_TOP = _Open("", frozenset(), "", -1, -1)
+
+
+def blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """Leaf blocks in page order.  Unclosed and stray tags, a cut-off end and missing elements are repaired as browsers do.
+
+    The cost is linear in the page's length, however deep elements nest: with
+    `known`, ancestors contribute those features only, so a path is bounded.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []  # (tag, its features)
+    stack: list[_Open] = []
+    depths: dict[str, list[int]] = {}  # of the open elements of each tag
     parts: list[str] = []
     linked = hidden = links = at = 0
+    top = _TOP
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                path = tuple(f for _, fs in stack for f in fs)
-                tag = next((t for t, _ in reversed(stack) if t not in INLINE), "")
-                out.append(Block(text, path, tag, linked))
+                out.append(Block(text, top.path, top.block, linked))
             parts, linked = [], 0
 
     def say(raw: str) -> None:
@@ -69,11 +88,27 @@ def blocks(page: str) -> list[Block]:
             if links:
                 linked += len(text)
 
-    def pop() -> None:
-        nonlocal hidden, links
-        tag, _ = stack.pop()
-        hidden -= tag in HIDDEN
-        links -= tag == "a"
+    def push(tag: str, own: tuple[str, ...]) -> None:
+        nonlocal hidden, links, top
+        depth, inline = len(stack), tag in INLINE
+        if known is not None:
+            own = tuple(f for f in own if f in known)
+        path = top.path if top.path.issuperset(own) else top.path.union(own)
+        top = _Open(tag, path, top.block if inline else tag, depth if tag == "p" else top.paragraph if inline else -1, depth if tag in STOPS else top.stop)
+        stack.append(top)
+        depths.setdefault(tag, []).append(depth)
+        hidden += tag in HIDDEN
+        links += tag == "a"
+
+    def close(depth: int) -> None:
+        """Ends the elements from `depth` on."""
+        nonlocal hidden, links, top
+        while len(stack) > depth:
+            tag = stack.pop().tag
+            depths[tag].pop()
+            hidden -= tag in HIDDEN
+            links -= tag == "a"
+        top = stack[-1] if stack else _TOP
 
     n = len(page)
     while at < n:
@@ -88,12 +123,10 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if m[1]:
-            if any(t == tag for t, _ in stack):
+            if depths.get(tag):
                 if tag not in INLINE:
                     flush()
-                while stack[-1][0] != tag:
-                    pop()
-                pop()
+                close(depths[tag][-1])
             elif tag == "p":  # stands for an empty paragraph
                 flush()
             continue
@@ -102,34 +135,29 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-            for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
-                if stack[k][0] == "p":
-                    while len(stack) > k:
-                        pop()
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES.get(tag, ()):
-                    while len(stack) > k:
-                        pop()
-                elif stack[k][0] in STOPS:
-                    break
-            if tag == "body" and hidden and stack:  # a head without its end
+            if top.paragraph >= 0:  # a block ends an open paragraph
+                close(top.paragraph)
+            ended = [d[i] for t in CLOSES.get(tag, ()) if (d := depths.get(t)) and (i := bisect_right(d, top.stop)) < len(d)]
+            if ended:
+                close(min(ended))
+            if tag == "body" and hidden:  # a head without its end
                 while stack and hidden:
-                    pop()
+                    close(len(stack) - 1)
         if tag in VOID:
             continue
-        stack.append((tag, _features_of(tag, m[3] or "")))
-        hidden += tag in HIDDEN
-        links += tag == "a"
+        push(tag, _features_of(tag, m[3] or ""))
         if tag in RAW:
-            end = re.compile(f"</{tag}(?=[\\s/>]|\\Z)", re.I).search(page, at)
+            end = _raw_end(tag).search(page, at)
             at = end.start() if end else n
     flush()
     return out
 
 
+@lru_cache(32)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(f"</{tag}(?=[\\s/>]|\\Z)", re.I)
+
+
 @lru_cache(10_000)
 def _features_of(tag: str, attributes: str) -> tuple[str, ...]:
     found = [] if tag in INLINE and tag != "a" else [f"in:{tag}"]
@@ -303,6 +331,7 @@ class ChainCRF:
 
     def __init__(self, weights: dict[str, float], transitions: np.ndarray, start: np.ndarray) -> None:
         self.weights, self.transitions, self.start = weights, transitions, start
+        self.known = frozenset(weights)
 
     @classmethod
     def train(cls, pages: list[tuple[list[Block], list[int]]], steps: int = 120, rate: float = 0.2, l2: float = 2e-4, least: int = 3) -> ChainCRF:
@@ -394,7 +423,7 @@ def trained_model(pages: int = TRAINING_PAGES, seed: int = 1) -> ChainCRF:
 def main_text(page: str | None, model: ChainCRF) -> str:
     if not page:
         return ""
-    found = blocks(page)
+    found = blocks(page, model.known)
     return " ".join(b.text for b, label in zip(found, model.viterbi(features(found))) if label)
 
 

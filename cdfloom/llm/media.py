@@ -117,6 +117,8 @@ def write_archives(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     end, so a lost or repeated attempt leaves one whole archive.
     """
     inner = docs.select(docs[f"`{id_col}`"].cast("string").alias("id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).cast("binary").alias("t"))
+    jpath = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(path)  # there even if no task runs
+    jpath.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).mkdirs(jpath)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = filesystem(path)
@@ -133,7 +135,12 @@ def write_archives(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                         archive.writestr(zipfile.ZipInfo(name), encode_image(text.as_py()))
                         n += 1
         size = fs.get_file_info(attempt).size
-        fs.move(attempt, final)
+        # a task that is run again finds the archive of its first run: the same rows in the same order, so the same bytes
+        if fs.get_file_info(final).type == pafs.FileType.File:
+            fs.delete_file(attempt)
+            size = fs.get_file_info(final).size
+        else:
+            fs.move(attempt, final)
         yield pa.RecordBatch.from_pydict({"archive": [final], "members": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
     manifest = inner.mapInArrow(write, "archive string, members long, bytes long")
@@ -157,7 +164,7 @@ class MediaReader(DataSourceReader):
     def partitions(self) -> list[ByteRange]:
         fs, folder = filesystem(self.path)
         out = []
-        for info in sorted(fs.get_file_info(pafs.FileSelector(folder, recursive=True)), key=lambda i: i.path):
+        for info in sorted(fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True, recursive=True)), key=lambda i: i.path):
             if info.is_file and info.path.endswith(".zip"):
                 k = max(1, info.size // self.split)
                 cuts = [info.size * i // k for i in range(k + 1)]

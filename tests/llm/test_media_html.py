@@ -38,6 +38,21 @@ def test_stored_and_read_back(spark):
     assert media_columns(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [0, 1])
+def test_empty_tables_without_and_with_partitions(spark, partitions):
+    """A table of no partitions runs no task, so no task makes the folder."""
+    empty = spark.createDataFrame([], "doc_id long, text string") if partitions else spark.createDataFrame(spark.sparkContext.emptyRDD(), "doc_id long, text string")
+    assert media_columns(empty).collect() == []
+
+
+def test_a_task_that_runs_again_leaves_its_archive(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string").coalesce(1)
+    first = write_archives(df, str(tmp_path)).collect()
+    before = {f: (tmp_path / f).read_bytes() for f in os.listdir(tmp_path)}
+    assert write_archives(df, str(tmp_path)).collect() == first
+    assert {f: (tmp_path / f).read_bytes() for f in os.listdir(tmp_path)} == before and read_archives(spark, str(tmp_path)).count() == 20
+
+
 def test_byte_ranges_and_retries(spark, tmp_path, monkeypatch):
     rows = [(i, f"text {i} " * (i * 7 % 50 + 1)) for i in range(80)]
     write_archives(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), str(tmp_path))
@@ -93,6 +108,18 @@ def test_blocks_repair_structure():
     assert found == [("a", "li"), ("b", "li"), ("c", "p"), ("d", "div"), ("e", "div"), ("f", "td"), ("g", "td"), ("h", "td")]
 
 
+def test_deep_pages_take_linear_time():
+    """Open tags, stray end tags, inline elements and list items at great depth; the old cost was the square of it."""
+    import time
+
+    model, k = trained_model(), 40_000
+    start = time.perf_counter()
+    assert main_text("<article>" + "<div>" * k + "Some words of prose, quite a few of them, that end here.", model).startswith("Some words")
+    main_text("".join(f"<blockquote class=c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}><li>x" for i in range(k)) + "</b>" * k, model)
+    main_text("<p>" + "<b>" * k + "x<div>" * k, model)
+    assert time.perf_counter() - start < 60
+
+
 def test_quotes_in_tags():
     found = [b.text for b in blocks("""<p title=don't>a</p><p title="x>y">b</p><p title='"'>c</p><p class="z>d</p>""")]
     assert found == ["a", "b", "c", "d"]
