@@ -172,20 +172,25 @@ def format_chat(turns: DataFrame, template: Template = Template(), loss_roles: t
     role and text escaped.  loss: for every turn under the loss mask its number
     (from 0) and where its escaped text lies in the formatted text (start and
     length in code points).  Ties in position are ordered by role and text;
-    null positions come first.  Conversations of a null id form one.
+    null positions come first.  Rows of a null id belong to no conversation that
+    others share: each is one of its own, or those of one `record_key`, if there
+    is such a column; so rows without an id are no group that grows.
     """
+    own = F.col("record_key") if "record_key" in turns.columns else F.monotonically_increasing_id()
+    turns = turns.withColumn("record_key", F.when(F.col("conv_id").isNull(), own))
+    conversation = ["conv_id", "record_key"]
     piece = F.concat(F.lit(template.open), template.escape(F.col("role")), F.lit(template.middle), template.escape(F.col("text")), F.lit(template.close))
-    in_order = Window.partitionBy("conv_id").orderBy("turn", "part", "role", "text")
-    rows = turns.select("conv_id", "turn", "part", "role", "text", piece.alias("piece"))
+    in_order = Window.partitionBy(*conversation).orderBy("turn", "part", "role", "text")
+    rows = turns.select(*conversation, "turn", "part", "role", "text", piece.alias("piece"))
     rows = rows.select(
-        "conv_id", "piece",
+        *conversation, "piece",
         (F.row_number().over(in_order) - 1).alias("nth"),
         F.sum(F.char_length("piece").cast("long")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
         F.col("role").isin(*loss_roles).alias("masked"),
         F.char_length(template.escape(F.col("text"))).cast("long").alias("length"),
     )
     span = F.struct(F.col("nth").cast("int").alias("turn"), (F.col("upto") - len(template.close) - F.col("length")).alias("start"), F.col("length").alias("length"))
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("nth", "piece", F.when(F.col("masked"), span).alias("span")))).alias("p"))
+    grouped = rows.groupBy(*conversation).agg(F.array_sort(F.collect_list(F.struct("nth", "piece", F.when(F.col("masked"), span).alias("span")))).alias("p"))
     return grouped.select(
         "conv_id",
         F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("formatted"),
@@ -235,5 +240,6 @@ def format_records(records: DataFrame, template: Template = Template(), mappings
     """
     mapped = canonical_turns(records, "record", mappings)
     checked = F.when(F.col("mapping").isNull() & F.col("record").isNotNull(), F.raise_error(F.concat(F.lit("unknown record layout: "), field_paths(F.col("record"))))).otherwise(F.col("turns"))
-    rows = mapped.select("conv_id", "turn", F.posexplode(checked).alias("part", "t")).select("conv_id", "turn", "part", "t.role", "t.text")
+    keyed = mapped.select("conv_id", "turn", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("record_key"), checked.alias("turns"))
+    rows = keyed.select("conv_id", "record_key", "turn", F.posexplode("turns").alias("part", "t")).select("conv_id", "record_key", "turn", "part", "t.role", "t.text")
     return format_chat(rows, template)
