@@ -19,6 +19,7 @@ from .kernels.pava import chain_fits
 from .operators.prep import CovariateOrder, Roles, aggregated, drop_early_censored, plain, thresholds, validate
 from .plans import sqlform
 from .plans.asof import asof_both
+from .plans.lineage import cut
 from .plans.offsets import with_offsets
 
 SQL_COVARIATES = 64  # longest chain that is fitted as a Catalyst plan
@@ -41,8 +42,16 @@ class IDRModel:
     """cdfs: by..., subsample_id, at (array of covariates as compared), cdf (array).  grid: by..., thresholds.
     global_cdf (partial orders): by..., cdf for covariates comparable to none."""
 
-    def __init__(self, cdfs: DataFrame, grid: DataFrame, meta: Meta, global_cdf: DataFrame | None = None) -> None:
-        self.cdfs, self.grid, self.meta, self.global_cdf = cdfs, grid, meta, global_cdf
+    def __init__(self, cdfs: DataFrame, grid: DataFrame, meta: Meta, global_cdf: DataFrame | None = None, fitted: bool = True) -> None:
+        self.cdfs, self.grid, self.meta, self.global_cdf, self.fitted = cdfs, grid, meta, global_cdf, fitted
+
+    def settle(self) -> IDRModel:
+        """Runs a fit that is still a plan, once, and keeps it in the shared folder: predictions read the model several times."""
+        if not self.fitted:
+            self.grid, self.cdfs = cut(self.grid), cut(self.cdfs)
+            self.global_cdf = None if self.global_cdf is None else cut(self.global_cdf)
+            self.fitted = True
+        return self
 
     def __repr__(self) -> str:
         m = self.meta
@@ -106,6 +115,7 @@ class IDRModel:
     # ---- persistence ----
 
     def save(self, path: str) -> None:
+        self.settle()
         self.cdfs.write.parquet(f"{path}/cdfs")
         self.grid.write.parquet(f"{path}/grid")
         if self.global_cdf is not None:
@@ -145,7 +155,7 @@ class IDRModel:
         the global CDF.  A null covariate gives a null CDF.  With subsamples the
         CDFs are averaged.
         """
-        m = self.meta
+        m = self.settle().meta
         if queries is None:
             queries = self.covariates().select(*m.by, *self._named())
         missing = [c for c in [*m.x, *m.by] if c not in queries.columns]
@@ -348,7 +358,8 @@ def fit_idr(
     order: for several covariates, groups of CovariateOrder.  grid: thresholds
     to fit instead of all distinct responses.  by: keys of independent fits.
     method: "sql", "kernel" or "auto".  settings: see parse_settings.  One job
-    checks the input and sizes the fit; the fit itself is lazy.  See the README
+    checks the input and sizes the fit; the fit itself is a plan until a model is
+    saved or predicts.  See the README
     for what each fit costs.
     """
     names = [x] if isinstance(x, str) else list(x)
@@ -383,7 +394,7 @@ def fit_idr(
         cdfs = _fit_chain(obs, wanted, keys, by, increasing, y_order, censored, grid, method, longest, most)
     else:
         cdfs = _fit_poset(obs, wanted, keys, by, increasing, y_order, censored)
-    return IDRModel(cdfs, wanted, meta, None if total else _global(full, wanted, by, censored))
+    return IDRModel(cdfs, wanted, meta, None if total else _global(full, wanted, by, censored), fitted=False)
 
 
 def _global(obs: DataFrame, wanted: DataFrame, by: list[str], censored: bool) -> DataFrame:

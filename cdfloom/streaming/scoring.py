@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import TooLarge
 from ..functions import cdf as C
 from ..model import IDRModel
 
 
+#: Cells (covariates times thresholds) of a model that goes along with every task of a stream: 32 MB.
+STREAM_CELLS = 4_000_000
+
+
+def score_batches(model: IDRModel, y: str, write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each micro-batch with `cdf_at`, by the model's own joins, given to `write`.  For models of any size, order and keys."""
+    return lambda batch, number: write(model.cdf_at(batch, y), number)
+
+
 def score_stream(stream: DataFrame, model: IDRModel, x: str, y: str) -> DataFrame:
     """A stream with `cdf_at` of a total-order model without keys: a stream-static lookup, no state.
 
-    The model's rows, one a covariate, go along as one array; that suits models
-    of a few thousand covariates.
+    The model's rows, one a covariate, go along as one array, so its size is
+    checked: beyond STREAM_CELLS cells use `score_batches`.
     """
+    cells = model.cdfs.agg(F.coalesce(F.sum(F.size("cdf").cast("long")), F.lit(0))).first()[0]
+    if cells > STREAM_CELLS:
+        raise TooLarge(f"a model of {cells} cells doesn't go along with a stream ({STREAM_CELLS} at most): use score_batches")
     m = model.cdfs.select(F.struct(F.col("at")[0].alias("x"), "cdf").alias("r")).agg(F.array_sort(F.collect_list("r")).alias("rows"))
     static = m.crossJoin(model.grid)
     joined = stream.crossJoin(F.broadcast(static))

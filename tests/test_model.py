@@ -11,7 +11,7 @@ from cdfloom.operators.isotonic import isotonic_indexed, isotonic_mean
 from cdfloom.operators.prep import CovariateOrder
 from cdfloom.operators.survival import kaplan_meier
 from cdfloom.plans.dominance import adjacency, topological_order
-from cdfloom.streaming.scoring import late_sums_stream, score_stream, sums_stream
+from cdfloom.streaming.scoring import late_sums_stream, score_batches, score_stream, sums_stream
 
 
 def frame(spark, rows, schema="x double, y double"):
@@ -263,6 +263,15 @@ def test_streams(spark, data, tmp_path):
     scored = {r["y"]: r["cdf_at"] for r in run(score_stream(stream(), model, "x", "y"), "append", "scored")}
     static = {r["y"]: r["cdf_at"] for r in model.cdf_at(spark.read.parquet(str(folder)), "y").collect()}
     assert scored == pytest.approx(static)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("cdfloom.streaming.scoring.STREAM_CELLS", 5)
+        with pytest.raises(errors.TooLarge):
+            score_stream(stream(), model, "x", "y")
+    batches = []
+    q = stream().writeStream.foreachBatch(score_batches(model, "y", lambda df, _: batches.extend(df.collect()))).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r["y"]: r["cdf_at"] for r in batches} == pytest.approx(static)
     assert sum(r["w"] for r in run(sums_stream(stream(), "x", "y"), "complete", "sums")) == 20
     assert sum(r["w"] for r in run(late_sums_stream(stream(), "ts", "x", "y"), "complete", "late")) == 20
 
