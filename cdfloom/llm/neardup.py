@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import grouped, sliced
-from .common import discard, materialize
+from .common import bucketed, discard, materialize
 from .components import components
 from .shingles import MinHash, jaccard_counts, shingle_sets
 
@@ -143,12 +143,16 @@ def _children(rows: DataFrame, rules: NearDup, columns: list[str]) -> DataFrame:
     return rows.select(F.explode(kids).alias("node"), *columns).where("node is not null")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, rules: NearDup, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (u, v) whose texts are linked by their full shingle sets."""
-    texts = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].cast("binary").alias("t"))
-    left = texts.select(F.col("id").alias("u"), F.col("t").alias("tu"))
-    right = texts.select(F.col("id").alias("v"), F.col("t").alias("tv"))
-    both = pairs.join(left, "u").join(right, "v").select("u", "v", "tu", "tv")
+def _confirmed(pairs: DataFrame, texts: DataFrame, rules: NearDup) -> DataFrame:
+    """The pairs (u, v) whose texts are linked by their full shingle sets.
+
+    Only texts that some pair names move, once each: an id that many pairs name
+    is a row here, and its joins are plain ones, which a skewed key may split.
+    """
+    ids = pairs.select(F.col("u").alias("s")).unionAll(pairs.select(F.col("v").alias("s"))).distinct()
+    needed = materialize(texts.join(ids, "s"), "pair-texts")
+    both = pairs.join(needed.select(F.col("s").alias("u"), F.col("t").alias("tu")), "u").join(needed.select(F.col("s").alias("v"), F.col("t").alias("tv")), "v")
+    both = both.select("u", "v", "tu", "tv")
     width, percent = rules.width, rules.percent
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,43 +166,62 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, rules: NearDup, id_col: str, t
                     keep.append(union > 0 and 100 * inter >= percent * union)
                 yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(confirm, T.StructType([both.schema["u"], both.schema["v"]])).distinct()
+    linked = materialize(both.mapInArrow(confirm, T.StructType([both.schema["u"], both.schema["v"]])).distinct(), "links")
+    discard(needed)
+    return linked
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, rules: NearDup) -> DataFrame:
+    """The pairs (u, v) that agree in size and sketch as linked ones do, with their agreement g.
+
+    Sketches are fetched for pairs only; nothing carries them through the trees.
+    """
+    named = lambda x: sets.select(F.col("s").alias(x), F.struct("n", *SKETCH).alias(f"of_{x}"))
+    both = pairs.join(named("u"), "u").join(named("v"), "v").select("u", "v", F.col("of_u").alias("a"), F.col("of_v").alias("b"))
+    return both.where(_similar("a", "b", rules)).select("u", "v", agreement("a", "b").alias("g"))
 
 
 def _pivot_links(sets: DataFrame, rules: NearDup, turn: int) -> DataFrame:
-    """Pairs (u, v): each member and the pivot most like it, of another component (column c), that it shares a node with."""
+    """Pairs (u, v): each member and the pivot most like it, of another component (column c), that it shares a node with.
+
+    A pivot is an aggregate of its node, joined back to the members.
+    """
     seeds = F.array(*[F.xxhash64(F.lit(rules.seed), F.lit(-turn), F.lit(t)) for t in range(rules.first_trees)])
-    roots = sets.withColumn("node", F.explode(seeds))
+    roots = sets.select("s", "c", "n", "mh", F.explode(seeds).alias("node"))
     one = roots.withColumn("node", F.xxhash64("node", F.lit(0), _pick(F.col("node"), 0)))
     two = one.withColumn("node", F.xxhash64("node", F.lit(0), _pick(F.col("node"), 0)))
-    rows = two.select("node", "s", "c", "n", *SKETCH)
-    member = F.struct(F.xxhash64("node", "s").alias("h"), "s", "c", "n", *SKETCH)
-    pivots = rows.groupBy("node").agg(F.min(member).alias("p"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("node", "p.*")
-    near = rows.alias("a").join(pivots.alias("b"), F.col("a.node") == F.col("b.node")).where((F.col("a.c") != F.col("b.c")) & _similar("a", "b", rules))
-    best = near.groupBy(F.col("a.s").alias("u")).agg(F.max(F.struct(agreement("a", "b").alias("g"), F.col("b.s").alias("v"))).alias("best"))
-    return best.select("u", F.col("best.v").alias("v"))
+    rows = two.select("node", "s", "c", "n")
+    member = F.struct(F.xxhash64("node", "s").alias("h"), F.col("s").alias("v"), F.col("c").alias("pc"), F.col("n").alias("pn"))
+    pivots = rows.groupBy("node").agg(F.min(member).alias("p"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("node", "p.v", "p.pc", "p.pn")
+    pivots = materialize(pivots, "pivots")
+    sizes = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * rules.percent
+    near = materialize(rows.join(pivots, "node").where((F.col("c") != F.col("pc")) & sizes).select(F.col("s").alias("u"), "v").distinct(), "pivot-near")
+    best = _alike(near, sets, rules).groupBy("u").agg(F.max(F.struct("g", "v")).alias("best"))
+    found = materialize(best.select("u", F.col("best.v").alias("v")), "pivot-pairs")
+    discard(pivots, near)
+    return found
 
 
 def _tree_pairs(sets: DataFrame, rules: NearDup) -> tuple[DataFrame, DataFrame | None]:
     """Pairs (u, v) of different components (column c) that share a small node and pass the sketch; and
     the members (node, s, n) of the nodes that are large to the end."""
     light = ["s", "c", "n"]
-    sketch = ["s", "c", "n", *SKETCH]
-    roots = sets.withColumn("node", F.explode(F.array(*[F.xxhash64(F.lit(rules.seed), F.lit(t)) for t in range(1, rules.trees + 1)])))
+    roots = sets.select(*light, "mh", F.explode(F.array(*[F.xxhash64(F.lit(rules.seed), F.lit(t)) for t in range(1, rules.trees + 1)])).alias("node"))
     rows = _children(roots, rules, light)
     found = None
 
     def compare(members: DataFrame) -> DataFrame:
         a, b = members.alias("a"), members.alias("b")
-        pairs = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.s") > F.col("b.s")) & (F.col("a.c") != F.col("b.c")) & _similar("a", "b", rules))
-        return pairs.select(F.col("a.s").alias("u"), F.col("b.s").alias("v"))
+        sizes = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * rules.percent
+        pairs = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.s") > F.col("b.s")) & (F.col("a.c") != F.col("b.c")) & sizes)
+        met = materialize(pairs.select(F.col("a.s").alias("u"), F.col("b.s").alias("v")).distinct(), "tree-met")
+        return _alike(met, sets, rules).select("u", "v")
 
     for level in range(1, rules.max_levels + 1):
         nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-        nodes = nodes.where("c0 != c1").select("node", "size")  # a node of one component has nothing to add
+        nodes = materialize(nodes.where("c0 != c1").select("node", "size"), "tree-nodes")  # a node of one component has nothing to add
         alive = materialize(rows.join(nodes, "node"), "tree-level")
-        small = alive.where(F.col("size") <= rules.leaf).select("node", "s").join(sets.select(*sketch), "s")
-        pairs = materialize(compare(small).distinct(), "tree-pairs")
+        pairs = materialize(compare(alive.where(F.col("size") <= rules.leaf).select("node", *light)), "tree-pairs")
         found = pairs if found is None else found.unionAll(pairs)
         large = alive.where(F.col("size") > rules.leaf)
         if large.isEmpty():
@@ -208,7 +231,7 @@ def _tree_pairs(sets: DataFrame, rules: NearDup) -> tuple[DataFrame, DataFrame |
     return found.distinct(), large.select("node", "s", "n")
 
 
-def _dense_links(large: DataFrame, sets: DataFrame, docs: DataFrame, rules: NearDup, id_col: str, text_col: str) -> DataFrame:
+def _dense_links(large: DataFrame, sets: DataFrame, texts: DataFrame, rules: NearDup) -> DataFrame:
     """Linked pairs (u, v) of different components that share a large node: all of them are compared.
 
     A node's members are dealt to blocks, so many that a block's sets take
@@ -224,7 +247,6 @@ def _dense_links(large: DataFrame, sets: DataFrame, docs: DataFrame, rules: Near
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("meeting"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "node", "s")
-    texts = docs.select(docs[f"`{id_col}`"].cast("long").alias("s"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).cast("binary").alias("t"))
     sketch = F.array(*SKETCH).alias("k")
     # all that a member brings is put together once, before it goes to its meetings
     members = shared.join(sets.select("s", "c", "n", sketch), "s").join(texts, "s")
@@ -270,15 +292,18 @@ def _dense_links(large: DataFrame, sets: DataFrame, docs: DataFrame, rules: Near
     return rows.repartition("meeting").sortWithinPartitions("meeting", "side").mapInArrow(solve, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, rules: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, rules: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text", dealt: bool = False) -> DataFrame:
     """Per row of `docs`: id, n_shingles (set size), component_id (smallest id reachable over links), kept.
 
     Ids must be integers.  Rows that share an id are one document with several
     texts.  A text without words, or null, has an empty set and is linked with
     nothing: its component is its own id.  A row of a null id takes no part: its
     component is null and it is kept.  An empty table gives an empty result.
-    Extra columns are not read.
+    Extra columns are not read.  `dealt`: docs is bucketed by the id already.
     """
+    texts = docs.select(docs[f"`{id_col}`"].cast("long").alias("s"), docs[f"`{text_col}`"].cast("binary").alias("t"))
+    if not dealt:  # once for all joins that fetch texts
+        texts = bucketed(texts.where("s is not null and t is not null"), "texts", "s")
     signed = materialize(signatures(docs, rules.width, id_col, text_col), "signed")
     known = signed.where("n > 0 and id is not null")
     sets = materialize(
@@ -287,8 +312,8 @@ def near_duplicates(docs: DataFrame, rules: NearDup = NearDup(), id_col: str = "
 
     named, links = sets.withColumn("c", F.col("s")), None
     for turn in range(1, rules.first_rounds + 1):
-        asked = materialize(_pivot_links(named, rules, turn), "pivot-pairs")
-        found = materialize(_confirmed(asked, docs, rules, id_col, text_col), "pivot-links")
+        asked = _pivot_links(named, rules, turn)
+        found = _confirmed(asked, texts, rules)
         links = found if links is None else links.unionByName(found)
         comps, older = components(links), named
         named = materialize(sets.join(comps, sets["s"] == comps["node"], "left").select(
@@ -296,9 +321,9 @@ def near_duplicates(docs: DataFrame, rules: NearDup = NearDup(), id_col: str = "
         discard(asked, *([older] if turn > 1 else []))
     pairs, large = _tree_pairs(named, rules)
     pairs = materialize(pairs, "pairs")
-    more = materialize(_confirmed(pairs, docs, rules, id_col, text_col), "more-links")
+    more = _confirmed(pairs, texts, rules)
     if large is not None:
-        more = more.unionByName(materialize(_dense_links(large, named, docs, rules, id_col, text_col), "dense-links"))
+        more = more.unionByName(materialize(_dense_links(large, named, texts, rules), "dense-links"))
     # rows that share an id hold their sets together
     repeated = known.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
     same = known.select("id", "f1", "f2", "n").join(repeated, "id", "left_semi").join(sets.select("f1", "f2", "n", "s"), ["f1", "f2", "n"])
@@ -323,8 +348,8 @@ def keep_one(docs: DataFrame, rules: NearDup = NearDup(), id_col: str = "doc_id"
     id are near copies like others, and rows that share an id but not the text
     are not.  Of rows without words, one of each id and text is kept.
     """
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "keep-rows")
-    found = near_duplicates(rows, rules, "__row", text_col).select(F.col("__row").alias("__r"), F.col("n_shingles").alias("__n"), F.col("component_id").alias("__c"))
+    rows = bucketed(docs.withColumn("__row", F.monotonically_increasing_id()), "keep", "__row")
+    found = near_duplicates(rows, rules, "__row", text_col, dealt=True).select(F.col("__row").alias("__r"), F.col("n_shingles").alias("__n"), F.col("component_id").alias("__c"))
     # what groups rows without words: their id and text; null ids are alike in a groupBy
     wordless = F.col("__n") == 0
     keyed = rows.select("__row", rows[f"`{id_col}`"].alias("__id"), F.xxhash64(rows[f"`{text_col}`"]).alias("__h"), rows[f"`{text_col}`"].isNull().alias("__null")).join(found, F.col("__row") == F.col("__r"))
