@@ -74,10 +74,12 @@ def op6_minhash_near_dedup(spark, sf_dir):
 
 
 def op7_suffix_array_dedup(spark, sf_dir):
+    """`text` is what is left, to be read: parts of characters that a cut splits show as U+FFFD there, and in `text` only."""
     found = find_repeats(table(spark, sf_dir, "documents"))
     digests = found.texts.select(
-        "k1", "k2", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-    return found.docs.join(digests, ["k1", "k2"]).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        "k1", "k2", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.octet_length("kept").cast("long").alias("n_kept"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
+    return found.docs.join(digests, ["k1", "k2"]).select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "text")
 
 
 def op8_sharding(spark, sf_dir):

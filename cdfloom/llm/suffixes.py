@@ -15,7 +15,8 @@ samples are one family: a run of starts over one stretch of text.
 Ties.  Families are ranked by the fingerprint of their whole stretch: if
 another has the same, all their suffixes tie to the full length, which the
 sample's rank settles without sorting anything.  A bucket with families of one
-stretch only is done.
+stretch only is done.  Families that tie inside one text are settled where they
+are found, and leave that task as one row and the joined ranges of their starts.
 
 Sorting.  Buckets with several different stretches are suffix-sorted one batch
 of buckets at a time, in numpy: ranks of all 31-byte prefixes, ranks of the
@@ -33,7 +34,6 @@ of words are counted by fingerprint inside their bucket.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import sliced
-from .common import SPACE_CHARS, materialize, scratch_path, shuffle_partitions
+from .common import SPACE_CHARS, bucketed, materialize
 from .shingles import U, mix
 
 LENGTH = 400
@@ -97,6 +97,31 @@ def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(right[:n - width + 1], left[width - 1:n]) & U(0xFFFFFF)).astype(np.int64)
 
 
+def settled_inside(text: np.ndarray, lo: np.ndarray, hi: np.ndarray, e1: np.ndarray, e2: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Families that occur again in their own text are settled: their starts repeat.
+
+    Returns the numbers of one family of each kind and text, how often it occurs
+    there, and (text, first, last start) of the settled ones, ranges that touch
+    or overlap, with what they cover, joined.  So a text of one repeated
+    character or phrase has a few rows, not one a byte.
+    """
+    order = np.lexsort((lo, e2, e1, text))
+    t, a, b = text[order], e1[order], e2[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (t[1:] != t[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(order)))
+    again = np.sort(order[np.repeat(times, times) > 1])  # in text order again
+    t, a, b = text[again], lo[again], hi[again]
+    if not len(again):
+        return order[first], times, (t, a, b)
+    # families of one text come by rising starts, and so do their ends
+    cut = np.ones(len(again), bool)
+    cut[1:] = (t[1:] != t[:-1]) | (a[1:] > b[:-1] + length)
+    begin = np.flatnonzero(cut)
+    return order[first], times, (t[begin], a[begin], b[np.append(begin[1:], len(again)) - 1])
+
+
 def families(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Families of the texts' suffixes: text number, first and last start, sampled position, bucket, fingerprint (two).
 
@@ -282,32 +307,35 @@ def _key(text):
 
 def _distinct_texts(keyed: DataFrame) -> DataFrame:
     """k1, k2, copies, t: bucketed by the key in a table of the shared folder, so that later joins don't move texts."""
-    spark = keyed.sparkSession
-    name = f"texts_{uuid.uuid4().hex}"
-    n = shuffle_partitions(spark)
-    distinct = keyed.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first("t").alias("t"))
-    distinct.write.option("path", scratch_path(spark, "texts")).bucketBy(n, "k1", "k2").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(keyed.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first("t").alias("t")), "texts", "k1", "k2")
 
 
-_FAMILY = [T.StructField(c, T.LongType()) for c in ("lo", "hi", "x", "bucket", "e1", "e2")]
+_FAMILY = [T.StructField(c, T.LongType()) for c in ("times", "lo", "hi", "bucket", "e1", "e2")]
 
 
 def _find_families(texts: DataFrame, length: int, words: int) -> DataFrame:
+    """k1, k2, copies, times (in the text), lo, hi, bucket, e1, e2; a settled range of starts has a null bucket."""
     inner = texts.select("k1", "k2", "copies", "t")
 
+    def rows(part: pa.RecordBatch, text: np.ndarray, *columns: pa.Array) -> pa.RecordBatch:
+        taken = part.select(["k1", "k2", "copies"]).take(pa.array(text))
+        return pa.RecordBatch.from_arrays([*taken.columns, *columns], names=["k1", "k2", "copies", *[f.name for f in _FAMILY]])
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, "t", 4 << 20):
                 strings = part.column("t").to_pylist()
-                text, *columns = families(strings, length)
+                text, lo, hi, _, bucket, e1, e2 = families(strings, length)
+                found = [(text, lo, hi, bucket & ~1 if words else bucket, e1, e2)]
                 if words:  # a family of words ends `length` bytes behind its `hi`, as one of bytes does
-                    of, begin, end, bucket, e1, e2 = passage_families(strings, words)
-                    columns[3] &= ~1
-                    text = np.concatenate((text, of))
-                    columns = [np.concatenate(c) for c in zip(columns, (begin, end - length, begin, bucket | 1, e1, e2))]
-                taken = part.select(["k1", "k2", "copies"]).take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([*taken.columns, *map(pa.array, columns)], names=["k1", "k2", "copies", "lo", "hi", "x", "bucket", "e1", "e2"])
+                    text, begin, end, bucket, e1, e2 = passage_families(strings, words)
+                    found.append((text, begin, end - length, bucket | 1, e1, e2))
+                for text, lo, hi, bucket, e1, e2 in found:
+                    one, times, settled = settled_inside(text, lo, hi, e1, e2, length)
+                    yield rows(part, text[one], pa.array(times.astype(np.int64)), *[pa.array(c[one]) for c in (lo, hi, bucket, e1, e2)])
+                    if len(settled[0]):
+                        none = pa.nulls(len(settled[0]), pa.int64())
+                        yield rows(part, settled[0], none, pa.array(settled[1]), pa.array(settled[2]), none, none, none)
 
     return inner.mapInArrow(find, T.StructType([*[T.StructField(c, T.LongType()) for c in ("k1", "k2", "copies")], *_FAMILY]))
 
@@ -448,8 +476,10 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     shortest = min(length, 2 * words - 1) if words else length
     found = materialize(_find_families(texts.where(F.octet_length("t") >= shortest), length, words), "families")
 
+    settled = found.where("bucket is null").select("k1", "k2", F.col("lo").alias("from"), F.col("hi").alias("to"))
+    found = found.where("bucket is not null")
     kinds = materialize(found.groupBy("bucket", "e1", "e2").agg(
-        F.sum("copies").alias("times"), *[F.first(c).alias(c) for c in ("k1", "k2", "lo", "hi")]), "kinds")
+        F.sum(F.col("copies") * F.col("times")).alias("times"), *[F.first(c).alias(c) for c in ("k1", "k2", "lo", "hi")]), "kinds")
     several = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1").select("bucket", "kinds")
     unsettled = kinds.join(several, "bucket")
     wanted = unsettled.groupBy("k1", "k2").agg(F.collect_list(F.struct("bucket", "kinds", "lo", "hi", (F.col("times") == 1).alias("open"))).alias("f"))
@@ -464,7 +494,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
     again = kinds.where("times > 1").select("e1", "e2")
     whole = found.select("e1", "e2", "k1", "k2", "lo", "hi").join(again, ["e1", "e2"], "left_semi").select("k1", "k2", F.col("lo").alias("from"), F.col("hi").alias("to"))
-    starts = whole.unionAll(ranges).groupBy("k1", "k2").agg(F.collect_list(F.struct("from", "to")).alias("r"))
+    starts = whole.unionAll(settled).unionAll(ranges).groupBy("k1", "k2").agg(F.collect_list(F.struct("from", "to")).alias("r"))
 
     joined = texts.select("k1", "k2", "t").join(starts, ["k1", "k2"], "left")
     return Repeats(keyed.select("id", "k1", "k2"), _cut_texts(joined, length, whole_characters))

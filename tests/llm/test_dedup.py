@@ -148,3 +148,53 @@ def test_cut_characters_go_whole(spark):
     df = spark.createDataFrame([(1, "ab" + shared + "c"), (2, "cd" + shared + "é")], "doc_id long, text string")
     for r in drop_repeats(df).collect():
         assert "�" not in r["text"]
+
+
+@pytest.mark.parametrize("text", ["a" * 60_000, "ab" * 20_000 + "c" + "ab" * 20_000, "one two three " * 4_000, "x\n" * 30_000])
+def test_texts_of_one_phrase_have_few_rows(spark, text):
+    """A repeated character or phrase: families tie inside the text, and leave it as a few rows."""
+    rows = [(1, text), (2, text[:500]), (3, "other " + text[:700])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = df.select(F.col("doc_id").alias("k1"), F.col("doc_id").alias("k2"), F.lit(1).cast("long").alias("copies"), F.col("text").cast("binary").alias("t"))
+    assert suffixes._find_families(keyed, 400, 51).count() < 60
+    found = find_repeats(df)
+    got = {r["id"]: (r["n_bytes"], r["n_removed"], r["s"], bytes(r["kept"])) for r in found.docs.join(found.texts, ["k1", "k2"]).select("id", "n_bytes", "n_removed", F.size("spans").alias("s"), "kept").collect()}
+    assert [got[i] for i, _ in rows] == brute_repeats([t.encode() for _, t in rows])
+
+
+def test_a_mix_of_periods_by_brute_force(spark):
+    r = random.Random(5)
+    texts = []
+    for _ in range(12):
+        parts = ["".join(r.choices("ab", k=r.randint(1, 5))) * r.randint(20, 400) for _ in range(r.randint(1, 5))]
+        texts.append("".join(x + ("" if r.random() < .5 else "".join(r.choices("xyz", k=r.randint(1, 300)))) for x in parts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = find_repeats(df)
+    got = {x["id"]: (x["n_bytes"], x["n_removed"], x["s"], bytes(x["kept"])) for x in found.docs.join(found.texts, ["k1", "k2"]).select("id", "n_bytes", "n_removed", F.size("spans").alias("s"), "kept").collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats([t.encode() for t in texts])
+
+
+def links_of(sets, asked, percent):
+    """For each asked id, the ids whose sets are as similar, by counting shared shingles over an index of all."""
+    index = collections.defaultdict(list)
+    for d, s in sets.items():
+        for x in s:
+            index[x].append(d)
+    out = {}
+    for d in asked:
+        shared = collections.Counter(e for x in sets[d] for e in index[x] if e != d)
+        out[d] = [e for e, k in shared.items() if 100 * k >= percent * (len(sets[d]) + len(sets[e]) - k)]
+    return out
+
+
+@pytest.mark.parametrize("folder, every", [("sf0.01", 1), ("sf0.1", 100)])
+@pytest.mark.parametrize("width, percent", [(3, 85), (5, 80)])
+def test_no_link_is_lost(spark, folder, every, width, percent):
+    """Rows whose id is divisible by `every` against all rows: both ends of every link are in one component."""
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, NearDup(width=width, percent=percent)).collect()}
+    texts = docs.collect()
+    sets = {r["doc_id"]: set(s.tolist()) for r, s in zip(texts, shingle_sets([(r["text"] or "").encode() for r in texts], width))}
+    linked = links_of(sets, [d for d in sets if d % every == 0], percent)
+    assert any(linked.values()) and len(got) == len(sets)
+    assert not [(d, e) for d, near in linked.items() for e in near if got[d] != got[e]]
