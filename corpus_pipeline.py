@@ -17,10 +17,13 @@ from cdfloom.llm.bpe import encode_documents
 from cdfloom.llm.common import materialize, release, scratch_owner
 from cdfloom.llm.mixing import plan_mix, taken_words
 from cdfloom.llm.neardup import keep_one
-from cdfloom.llm.quality import filter_quality
+from cdfloom.llm.quality import QualityRules, filter_quality
 from cdfloom.llm.queries import vocabulary
 from cdfloom.llm.suffixes import drop_repeats
 
+#: Short documents are no junk by their length: of labelled ones under 50 words most are good, so only texts without a
+#: word fail by it here, and the statistics judge the rest.
+QUALITY = QualityRules(min_words=1)
 #: Passages of over 50 words that repeat go, short as their words may be.
 PASSAGE_WORDS = 51
 
@@ -39,7 +42,7 @@ def _stage(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 @_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return filter_quality(docs)
+    return filter_quality(docs, QUALITY)
 
 
 @_stage
