@@ -279,3 +279,14 @@ def test_streams(spark, data, tmp_path):
 def test_cdf_of_null_is_null(spark):
     row = spark.range(1).select(C.cdf_at(F.array(F.lit(1.0)), F.array(F.lit(0.0)), F.lit(None).cast("double")).alias("c")).first()
     assert row["c"] is None
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"])
+def test_a_cluster_must_name_its_shared_folder(master):
+    from types import SimpleNamespace
+
+    from cdfloom.plans.lineage import shared_folder
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master=master))
+    with pytest.raises(errors.ConfigParseError, match="spark.checkpoint.dir"):
+        shared_folder(session)
