@@ -10,15 +10,19 @@ equi-join on (source, block) and nothing is sorted or collected.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, let, materialize, shuffle_partitions, words_of
+from .common import SPACE_CHARS, materialize, shuffle_partitions, words_of
+from .shingles import U
+from .shingles import mix as scramble
 
-#: Sources are settings, each with its weight; their table goes through the driver.
+#: Sources are settings, each with its weight; their table and draws go through the driver: about 1 KB a source.
 MAX_SOURCES = 100_000
 
 
@@ -26,18 +30,24 @@ MAX_SOURCES = 100_000
 class Mix:
     """weights: repeated over the sources in code point order, null last.
     total: words of the mix as a multiple of all words.  max_epochs: how often a
-    word may be taken.  block_words: length of a block.  shards: output shards.
-    seed: of draws and permutations.  rounds: of the permutation.
+    word may be taken.  block_words: length of a block; a source of fewer than
+    least_blocks such blocks has shorter ones, so that its share, a whole number
+    of blocks, comes near its target.  shards: output shards.  seed: of draws
+    and permutations.  rounds: of the permutation.
     """
 
     weights: tuple[float, ...] = (3, 1, 2)
     total: float = 1.5
     max_epochs: int = 2
     block_words: int = 128
+    least_blocks: int = 64
     shards: int = 64
     seed: int = 17
     rounds: int = 24
 
+    def block_length(self, source_size: int) -> int:
+        return min(self.block_words, max(1, source_size // self.least_blocks))
+
 
 def word_count(text: Column) -> Column:
     """Words of a text: white-space runs inside the trimmed text plus one; 0 for null."""
@@ -77,17 +87,40 @@ def draw_counts(owed: list[int], mix: Mix) -> np.ndarray:
     return out
 
 
-def permuted(index: Column, size: Column, key: Column, rounds: int) -> Column:
-    """A keyed pseudorandom permutation of 0..size-1: the swap-or-not shuffle (Hoang, Morris and Rogaway, 2012).
+def permuted(index: np.ndarray, size: int, key: np.ndarray, rounds: int) -> np.ndarray:
+    """A keyed pseudorandom permutation of 0..size-1, each index under its key: the swap-or-not shuffle (Hoang, Morris
+    and Rogaway, 2012).
 
     Each round pairs x with (k - x) mod size and swaps the two or not by a hash
     of the larger; both sides of a pair decide alike, so any size is permuted.
     """
-    def one(x: Column, r: Column) -> Column:
-        partner = F.pmod(F.pmod(F.xxhash64(key, r), size) - x, size)
-        return let(partner, lambda p: F.when(F.xxhash64(key, r, F.greatest(x, p)).bitwiseAND(F.lit(1).cast("long")) == 1, p).otherwise(x))
+    x, n = index.astype(np.uint64), U(size)
+    for r in range(1, rounds + 1):
+        salted = scramble(key, r)
+        partner = (salted % n + n - x) % n
+        swap = (scramble(np.maximum(x, partner) ^ salted, r) & U(1)).astype(bool)
+        x = np.where(swap, partner, x)
+    return x.astype(np.int64)
+
+
+RUN = 1 << 14  # slots of one row of the plan
+
+
+def _slots(drawn: DataFrame, mix: Mix, partitions: int) -> DataFrame:
+    """shard, position, sid, block from a row a shard and source: cut into runs of bounded length, numbered and permuted in numpy."""
+    runs = drawn.withColumn("r", F.explode(F.expr(f"sequence(0L, (n - 1) div {RUN})"))).repartition(partitions)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                j = np.arange(row["r"] * RUN, min((row["r"] + 1) * RUN, row["n"]))
+                k = row["slot0"] + j
+                key = scramble((k // row["blocks"]).astype(np.uint64), mix.seed * 1_000_003 + row["sid"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(j), row["shard"], np.int32)), pa.array(row["place0"] + j), pa.array(np.full(len(j), row["sid"], np.int32)),
+                     pa.array(permuted(k % row["blocks"], row["blocks"], key, mix.rounds))], names=["shard", "position", "sid", "block"])
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index, one)
+    return runs.select("sid", "blocks", "shard", "n", "slot0", "place0", "r").mapInArrow(number, "shard int, position long, sid int, block long")
 
 
 @dataclass
@@ -120,6 +153,8 @@ def plan_mix(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col
         (F.monotonically_increasing_id() % 1009).alias("salt"), *[docs[f"`{c}`"] for c in keep],
     )
     order = ["source", "id", "h", "salt"]
+    # range partitioning samples its input first: the texts are read and counted once, before
+    sized = materialize(sized, "mix-sizes")
     rows = materialize(sized.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "mix-rows")
 
     totals = rows.groupBy("source", "part").agg(F.sum("size").alias("b"))  # a row a source and partition at most
@@ -133,45 +168,38 @@ def plan_mix(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col
     sources = sorted(((r["source"], r["source_size"]) for r in sources), key=lambda x: (x[0] is None, x[0] or ""))
     sizes = [size for _, size in sources]
     wanted = targets(sizes, mix) if sources else []
-    blocks = [-(-size // mix.block_words) for size in sizes]
+    lengths = [mix.block_length(size) for size in sizes]
+    blocks = [-(-size // length) for size, length in zip(sizes, lengths)]
     owed = [min(mix.max_epochs * b, round(t * b / size)) if size else 0 for t, b, size in zip(wanted, blocks, sizes)]
     counts = draw_counts(owed, mix) if sources else np.zeros((0, 0), np.int64)
     first_slot = np.cumsum(counts, axis=0) - counts
     first_place = np.cumsum(counts, axis=1) - counts
 
     source_rows = spark.createDataFrame(
-        [(i, s, size, float(t), b) for i, ((s, size), t, b) in enumerate(zip(sources, wanted, blocks))],
-        "sid int, source string, source_size long, target double, blocks long")
+        [(i, s, size, float(t), length) for i, ((s, size), t, length) in enumerate(zip(sources, wanted, lengths))],
+        "sid int, source string, source_size long, target double, length long")
+    # a row a source, with its counts by shard
     drawn = spark.createDataFrame(
-        [(shard, i, blocks[i], int(counts[shard, i]), int(first_slot[shard, i]), int(first_place[shard, i]))
-         for shard in range(counts.shape[0]) for i in range(counts.shape[1]) if counts[shard, i]],
-        "shard int, sid int, blocks long, n long, slot0 long, place0 long")
-    # cut into runs of bounded length, so that no row explodes into a whole source's slots
-    run = 4096
-    runs = drawn.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {run}")))).repartition(n)
-    slots = runs.withColumn("j", F.explode(F.expr(f"sequence(r * {run}, least((r + 1) * {run}, n) - 1)")))
-    k = F.col("slot0") + F.col("j")
-    slots = slots.select(
-        "shard", (F.col("place0") + F.col("j")).alias("position"), "sid",
-        permuted(F.pmod(k, F.col("blocks")), F.col("blocks"), F.xxhash64(F.lit(mix.seed), "sid", F.expr("(slot0 + j) div blocks")), mix.rounds).alias("block"))
+        [(i, blocks[i], counts[:, i].tolist(), first_slot[:, i].tolist(), first_place[:, i].tolist()) for i in range(counts.shape[1])],
+        "sid int, blocks long, n array<long>, slot0 array<long>, place0 array<long>")
+    drawn = drawn.select("sid", "blocks", F.posexplode(F.arrays_zip("n", "slot0", "place0")).alias("shard", "d")).select("sid", "blocks", "shard", "d.*").where("n > 0")
+    slots = _slots(drawn, mix, n)
 
     inside = Window.partitionBy("source", "part").orderBy("id", "h", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    known = source_rows.select(F.col("source").alias("__s"), "sid", "source_size", "target")
+    known = source_rows.select(F.col("source").alias("__s"), "sid", "source_size", "target", "length")
     placed = (
         rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(starts.select(F.col("source").alias("__s0"), F.col("part").alias("__p0"), "b0"),
               F.col("source").eqNullSafe(F.col("__s0")) & (F.col("part") == F.col("__p0")))
         .join(known, F.col("source").eqNullSafe(F.col("__s")))
-        .select("id", "h", "salt", "part", "source", "sid", "size", "source_size", "target", (F.col("b0") + F.col("inside")).alias("offset"), *keep)
+        .select("id", "h", "salt", "part", "source", "sid", "size", "source_size", "target", "length", (F.col("b0") + F.col("inside")).alias("offset"), *keep)
     )
     placed = materialize(placed, "mix-placed")
-    length = mix.block_words
-    pieces = placed.where("size > 0").withColumn(
-        "block", F.explode(F.expr(f"sequence(offset div {length}, (offset + size - 1) div {length})")))
+    pieces = placed.where("size > 0").withColumn("block", F.explode(F.expr("sequence(offset div length, (offset + size - 1) div length)")))
     pieces = pieces.select(
         "sid", "block", "id", "offset",
-        F.greatest(F.col("block") * length, F.col("offset")).alias("lo"),
-        F.least((F.col("block") + 1) * length, F.col("offset") + F.col("size")).alias("hi"))
+        F.greatest(F.col("block") * F.col("length"), F.col("offset")).alias("lo"),
+        F.least((F.col("block") + 1) * F.col("length"), F.col("offset") + F.col("size")).alias("hi"))
     return Mixed(placed, slots, pieces)
 
 

@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,15 @@ def test_round_trip(spark):
         Template(open="[x]")
 
 
+def test_rows_without_an_id_are_conversations_of_their_own(spark):
+    rows = [(None, i, "user", f"t{i}") for i in range(50)] + [(1, 0, "user", "a"), (1, 1, "assistant", "b")]
+    got = format_records(turn_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).select("conv_id", parse_chat(F.col("formatted")).alias("t")).collect()
+    assert sorted((r["t"][0]["text"] for r in got if r["conv_id"] is None)) == sorted(f"t{i}" for i in range(50))
+    assert [len(r["t"]) for r in got if r["conv_id"] == 1] == [2] and len(got) == 51
+    df = spark.createDataFrame([(LAYOUTS["messages"],), (LAYOUTS["messages"],)], "j string").select(F.lit(None).cast("long").alias("conv_id"), F.lit(0).alias("turn"), F.parse_json("j").alias("record"))
+    assert [len(r["t"]) for r in format_records(df).select(parse_chat(F.col("formatted")).alias("t")).collect()] == [2, 2]
+
+
 def test_fingerprints_differ():
     assert len({s for m in chat.MAPPINGS for s in chat.shapes(m)}) == sum(len(chat.shapes(m)) for m in chat.MAPPINGS)
     assert format_chat is not None
@@ -151,10 +161,12 @@ def test_targets():
     assert targets([0, 0], mix) == [0, 0]
 
 
-@pytest.mark.parametrize("n", [1, 2, 7, 100])
-def test_permutation(spark, n):
-    out = spark.range(n).select(permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5), 24).alias("p")).collect()
-    assert sorted(r["p"] for r in out) == list(range(n))
+@pytest.mark.parametrize("n", [1, 2, 7, 100, 4097])
+def test_permutation(n):
+    key = np.full(n, 5, np.uint64)
+    out = permuted(np.arange(n), n, key, 24)
+    assert sorted(out.tolist()) == list(range(n)) and out.tolist() == [int(permuted(np.array([i]), n, key[:1], 24)[0]) for i in range(n)]
+    assert n < 100 or (out.tolist() != list(range(n)) and out.tolist() != permuted(np.arange(n), n, key + np.uint64(1), 24).tolist())
 
 
 def test_mix(spark):
@@ -179,3 +191,14 @@ def test_mix(spark):
     places = collections.Counter((r["shard"], r["position"]) for r in text)
     assert max(places.values()) == 1
     assert taken_words(plan_mix(frame(spark, []))).count() == 0
+
+
+def test_small_sources_come_near_their_targets(spark):
+    """A source of fewer words than a block gets its share as well: blocks are shorter there."""
+    rows = [(i, "w " * 40, "en", "small" if i < 3 else "tiny" if i < 4 else "large") for i in range(200)]
+    got = taken_words(plan_mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))).collect()
+    taken, target = collections.Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 0.03 * target[s] + 1 for s in target)
