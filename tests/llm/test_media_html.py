@@ -167,3 +167,37 @@ def test_given_pages(spark, data):
         inner = re.search(r"<article>(.*?)(</article>|\Z)", r["html"], re.S)[1]
         inner = re.sub(r"<[^>]*>", "", re.sub(r"</?(h1|p|br)>", " ", inner))
         assert got[r["page_id"]] == " ".join(html.unescape(inner).split())
+
+
+#: Pages written by hand, in layouts that the training pages don't come from: a blog of divs, a news page, a table.
+WRITTEN = [
+    # blog with div content and sidebar
+("""<html><body><div id="header"><a href="/"><img src=l.png></a><ul class="nav"><li><a href=/>Home</a></li><li><a href=/about>About</a></li></ul></div>
+<div id="wrapper"><div id="main" class="content"><h1>Growing tomatoes on a balcony</h1><p class="meta">By Ann | 3 May</p>
+<p>Tomatoes need a lot of light, so a balcony that faces south is the best place for them to grow.</p>
+<p>Water them every morning, and never let the soil dry out completely during the hot months.</p>
+<h2>Choosing pots</h2><p>Pick pots of at least ten litres, with holes in the bottom, so that roots do not stand in water.</p></div>
+<div id="sidebar"><h3>Recent posts</h3><ul><li><a href=/1>Beans in spring</a></li><li><a href=/2>Compost</a></li></ul></div></div>
+<div id="footer"><p>&copy; 2020 Balcony garden. All rights reserved.</p></div></body></html>""",
+ ["Tomatoes need","Water them","Choosing pots","Pick pots"],["Home","Recent posts","Beans in spring","All rights"]),
+    # news with main/aside
+("""<!doctype html><html><head><title>x</title></head><body><header><nav><a href=/a>World</a> <a href=/b>Sport</a></nav></header>
+<main><h1>Council approves new bridge</h1><p>The city council voted on Tuesday to approve a new bridge across the river, after years of debate.</p>
+<div class="ad-banner">Save 20% on shoes today!</div><p>Construction is expected to begin in the autumn and to take about three years.</p>
+<blockquote>It is a good day for the city, the mayor said after the vote.</blockquote></main>
+<aside class="related"><h4>Related</h4><a href=/c>Old bridge closes</a></aside>
+<section class="comments"><h3>2 comments</h3><div class="comment"><p>Finally, I have waited for this for a long time.</p></div></section>
+<div class="cookie-consent">We use cookies to improve your experience. <button>Accept</button></div><footer>Contact us</footer></body></html>""",
+ ["The city council voted","Construction is expected","It is a good day"],["Save 20%","Old bridge closes","Finally, I have waited","We use cookies","Contact us","Sport"]),
+    # table layout
+("""<html><body><table><tr><td colspan=2><a href=/>Start</a> | <a href=/x>Links</a></td></tr><tr><td><ul><li><a href=/1>One</a><li><a href=/2>Two</a></ul></td>
+<td class=content><h1>A short history of clocks</h1><p>The first clocks were sundials, which showed the hours by the shadow of a rod on a plate.</p><p>Water clocks came later, and could be read at night as well as by day.</p></td></tr>
+<tr><td colspan=2>Copyright the author</td></tr></table></body></html>""",
+ ["The first clocks were","Water clocks came"],["Links"]),
+]
+
+
+@pytest.mark.parametrize("page, main, rest", WRITTEN)
+def test_hand_written_pages(page, main, rest):
+    text = main_text(page, trained_model())
+    assert [x for x in main if x not in text] == [] and [x for x in rest if x in text] == []
