@@ -114,7 +114,9 @@ def test_deep_pages_take_linear_time():
 
     model, k = trained_model(), 40_000
     start = time.perf_counter()
-    assert main_text("<article>" + "<div>" * k + "Some words of prose, quite a few of them, that end here.", model).startswith("Some words")
+    prose = "".join(f"<p>Some words of prose number {i}, quite a few of them, that end here.</p>" for i in range(4))
+    deep, flat = (main_text("<article>" + "<div>" * n + "<h1>A headline</h1>" + prose, model) for n in (k, 1))
+    assert deep == flat and "prose number 3" in flat
     main_text("".join(f"<blockquote class=c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}><li>x" for i in range(k)) + "</b>" * k, model)
     main_text("<p>" + "<b>" * k + "x<div>" * k, model)
     assert time.perf_counter() - start < 60
