@@ -187,8 +187,7 @@ def links_of(sets, asked, percent):
     return out
 
 
-@pytest.mark.parametrize("folder, every", [("sf0.01", 1), ("sf0.1", 100)])
-@pytest.mark.parametrize("width, percent", [(3, 85), (5, 80)])
+@pytest.mark.parametrize("folder, every, width, percent", [("sf0.01", 1, 3, 85), ("sf0.01", 1, 5, 80), ("sf0.1", 100, 3, 85)])
 def test_no_link_is_lost(spark, folder, every, width, percent):
     """Rows whose id is divisible by `every` against all rows: both ends of every link are in one component."""
     docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet").select("doc_id", "text")

@@ -138,9 +138,5 @@ def test_run_of_an_empty_table_and_of_nulls(spark, tmp_path):
         assert P.run(spark, str(tmp_path / name)).count() == 0
 
 
-def test_run_on_the_given_tables(spark, data):
-    assert P.run(spark, data).count() > 0
-
-
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))
