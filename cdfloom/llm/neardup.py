@@ -202,9 +202,15 @@ def _pivot_links(sets: DataFrame, rules: NearDup, turn: int) -> DataFrame:
     return found
 
 
+def _with_picks(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows (node, s, c, n) with the minwise hashes mh, which are fetched once a member, not once a node that it is in."""
+    members = rows.groupBy("s", "c", "n").agg(F.collect_list("node").alias("nodes"))  # a few nodes a tree
+    return members.join(sets.select("s", "mh"), "s").select("s", "c", "n", "mh", F.explode("nodes").alias("node"))
+
+
 def _tree_pairs(sets: DataFrame, rules: NearDup) -> tuple[DataFrame, DataFrame | None]:
     """Pairs (u, v) of different components (column c) that share a small node and pass the sketch; and
-    the members (node, s, n) of the nodes that are large to the end."""
+    the members (node, s, c, n) of the nodes that are large to the end."""
     light = ["s", "c", "n"]
     roots = sets.select(*light, "mh", F.explode(F.array(*[F.xxhash64(F.lit(rules.seed), F.lit(t)) for t in range(1, rules.trees + 1)])).alias("node"))
     rows = _children(roots, rules, light)
@@ -227,8 +233,36 @@ def _tree_pairs(sets: DataFrame, rules: NearDup) -> tuple[DataFrame, DataFrame |
         if large.isEmpty():
             return found.distinct(), None
         if level < rules.max_levels:
-            rows = _children(large.select("node", *light).join(sets.select("s", "mh"), "s"), rules, light)
-    return found.distinct(), large.select("node", "s", "n")
+            rows = materialize(_children(_with_picks(large.select("node", *light), sets), rules, light), "tree-rows")
+    return found.distinct(), large.select("node", "s", "c", "n")
+
+
+def _meetings(large: DataFrame, sets: DataFrame, texts: DataFrame, rules: NearDup) -> DataFrame:
+    """The rows of each meeting of two blocks of a large node (or of one with itself), sides apart.
+
+    In a node of several blocks, its largest component has blocks of its own,
+    which do not meet each other: a group that is joined up already meets the
+    rest only.
+    """
+    def many(rows: Column, shingles: Column) -> Column:
+        return F.ceil(F.greatest(rows / rules.block_rows, shingles * 8 / rules.block_bytes)).cast("int")
+
+    each = large.groupBy("node", "c").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    nodes = each.groupBy("node").agg(F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"), F.max(F.struct("rows", "shingles", "c")).alias("most"))
+    one, most = many(F.col("rows"), F.col("shingles")) == 1, F.col("most")
+    nodes = nodes.select("node", F.when(~one, most["c"]).alias("main"), F.when(one, 0).otherwise(many(most["rows"], most["shingles"])).alias("first"),
+                         F.when(one, 1).otherwise(many(F.col("rows") - most["rows"], F.col("shingles") - most["shingles"])).alias("rest"))
+    mine, salt = F.col("c").eqNullSafe(F.col("main")), F.xxhash64("s", "node")
+    dealt = large.join(nodes, "node").select(
+        "s", F.struct("node", F.when(mine, F.pmod(salt, F.col("first"))).otherwise(F.col("first") + F.pmod(salt, F.col("rest"))).cast("int").alias("own"),
+                      F.when(mine, F.col("first")).otherwise(0).alias("from"), (F.col("first") + F.col("rest") - 1).alias("to")).alias("at"))
+    # all that a member brings is put together once, before it goes to its meetings
+    members = dealt.groupBy("s").agg(F.collect_set("at").alias("at")).join(sets.select("s", "c", "n", F.array(*SKETCH).alias("k")), "s").join(texts, "s")
+    met = members.withColumn("nodes", F.array_sort("at.node")).withColumn("at", F.explode("at")).withColumn("other", F.explode(F.sequence("at.from", "at.to")))
+    own, other = F.col("at.own"), F.col("other")
+    return met.select(
+        F.xxhash64("at.node", F.least(own, other), F.greatest(own, other)).alias("meeting"),
+        F.when(own == other, 2).when(own < other, 0).otherwise(1).alias("side"), "at.node", "s", "nodes", "c", "n", "k", "t")
 
 
 def _dense_links(large: DataFrame, sets: DataFrame, texts: DataFrame, rules: NearDup) -> DataFrame:
@@ -240,17 +274,6 @@ def _dense_links(large: DataFrame, sets: DataFrame, texts: DataFrame, rules: Nea
     is made for a pair.  A pair that shares several nodes is examined in the
     smallest of them only.
     """
-    shared = large.groupBy("s").agg(F.sort_array(F.collect_set("node")).alias("nodes"))  # a few nodes a tree
-    sizes = large.groupBy("node").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
-    blocks = F.ceil(F.greatest(F.col("rows") / rules.block_rows, F.col("shingles") * 8 / rules.block_bytes)).cast("int")
-    dealt = large.join(sizes.select("node", blocks.alias("blocks")), "node").withColumn("own", F.pmod(F.xxhash64("s", "node"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("meeting"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "node", "s")
-    sketch = F.array(*SKETCH).alias("k")
-    # all that a member brings is put together once, before it goes to its meetings
-    members = shared.join(sets.select("s", "c", "n", sketch), "s").join(texts, "s")
-    rows = met.join(members, "s")
     width, percent, least = rules.width, rules.percent, rules.least_agreement()
 
     def meet(rows: pa.Table) -> pa.RecordBatch:
@@ -289,7 +312,7 @@ def _dense_links(large: DataFrame, sets: DataFrame, texts: DataFrame, rules: Nea
         for group in grouped(batches, "meeting"):
             yield meet(group)
 
-    return rows.repartition("meeting").sortWithinPartitions("meeting", "side").mapInArrow(solve, "u long, v long")
+    return _meetings(large, sets, texts, rules).repartition("meeting").sortWithinPartitions("meeting", "side").mapInArrow(solve, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, rules: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text", dealt: bool = False) -> DataFrame:

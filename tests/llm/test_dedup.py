@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cdfloom.llm import suffixes
+from cdfloom.llm import neardup, suffixes
 from cdfloom.llm.components import components
 from cdfloom.llm.neardup import NearDup, keep_one, near_duplicates
 from cdfloom.llm.shingles import shingle_sets
@@ -197,3 +197,29 @@ def test_no_link_is_lost(spark, folder, every, width, percent):
     linked = links_of(sets, [d for d in sets if d % every == 0], percent)
     assert any(linked.values()) and len(got) == len(sets)
     assert not [(d, e) for d, near in linked.items() for e in near if got[d] != got[e]]
+
+
+def test_large_nodes_fetch_a_member_once(spark):
+    """The join that fetches minwise hashes has one row a member, however many large nodes it is in."""
+    n, nodes = 40, 6
+    sets = spark.createDataFrame([(i, [i] * neardup.COORDINATES) for i in range(n)], "s long, mh array<int>")
+    large = spark.createDataFrame([(k, i, 0, 5) for i in range(n) for k in range(nodes)], "node long, s long, c long, n long")
+    got = neardup._with_picks(large, sets)
+    assert sorted((r["node"], r["s"], r["mh"][0]) for r in got.collect()) == sorted((k, i, i) for i in range(n) for k in range(nodes))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join Inner") < plan.index("collect_list")
+
+
+def test_a_joined_group_meets_the_rest_only(spark):
+    """A node of 40 members in blocks of 10: 30 of one component in three blocks, and ten others in one, which meets all."""
+    words = [f"w{k}" for k in range(60)]
+    text = {i: " ".join([*words[:-1], f"own{i}"] if i < 30 else [f"x{i}_{k}" for k in range(60)]) for i in range(40)}
+    text[35] = text[3] + " more"
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    rules = NearDup(width=3, percent=85, block_rows=10)
+    sets = neardup.signatures(docs, 3).withColumnRenamed("id", "s").withColumn("c", F.when(F.col("s") < 30, 0).otherwise(F.col("s")).cast("long"))
+    large = sets.select(F.lit(9).cast("long").alias("node"), "s", "c", "n")
+    texts = docs.select(F.col("doc_id").alias("s"), F.col("text").cast("binary").alias("t"))
+    assert neardup._meetings(large, sets, texts, rules).count() == 30 + 10 * 4
+    links = neardup._dense_links(large, sets, texts, rules).collect()
+    assert links and {max(r["u"], r["v"]) for r in links} == {35} and all(min(r["u"], r["v"]) < 30 for r in links)
