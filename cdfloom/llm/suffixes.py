@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import sliced
-from .common import SPACE_CHARS, bucketed, materialize
+from .common import SPACE_CHARS, bucketed, discard, materialize
 from .shingles import U, mix
 
 LENGTH = 400
@@ -340,6 +340,15 @@ def _find_families(texts: DataFrame, length: int, words: int) -> DataFrame:
     return inner.mapInArrow(find, T.StructType([*[T.StructField(c, T.LongType()) for c in ("k1", "k2", "copies")], *_FAMILY]))
 
 
+def _met_again(found: DataFrame) -> DataFrame:
+    """The families whose bucket holds more than one occurrence; a string of the others starts nowhere else.
+
+    Only buckets are counted over all families; what is sorted and compared later has the few that are left.
+    """
+    buckets = found.groupBy("bucket").agg(F.sum(F.col("copies") * F.col("times")).alias("n")).where("n > 1").select("bucket")
+    return found.join(buckets, "bucket", "left_semi").select(found.columns)
+
+
 _STARTS = T.StructType([T.StructField(c, T.LongType()) for c in ("k1", "k2", "from", "to")])
 
 
@@ -474,10 +483,11 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     keyed = docs.select(docs[f"`{id_col}`"].alias("id"), text.alias("t")).select("id", *_key(F.col("t")), "t")
     texts = _distinct_texts(keyed.select("k1", "k2", "t"))
     shortest = min(length, 2 * words - 1) if words else length
-    found = materialize(_find_families(texts.where(F.octet_length("t") >= shortest), length, words), "families")
+    all_found = materialize(_find_families(texts.where(F.octet_length("t") >= shortest), length, words), "families")
 
-    settled = found.where("bucket is null").select("k1", "k2", F.col("lo").alias("from"), F.col("hi").alias("to"))
-    found = found.where("bucket is not null")
+    settled = materialize(all_found.where("bucket is null").select("k1", "k2", F.col("lo").alias("from"), F.col("hi").alias("to")), "settled")
+    found = materialize(_met_again(all_found.where("bucket is not null")), "families-met")
+    discard(all_found)
     kinds = materialize(found.groupBy("bucket", "e1", "e2").agg(
         F.sum(F.col("copies") * F.col("times")).alias("times"), *[F.first(c).alias(c) for c in ("k1", "k2", "lo", "hi")]), "kinds")
     several = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1").select("bucket", "kinds")

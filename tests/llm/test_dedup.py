@@ -223,3 +223,11 @@ def test_a_joined_group_meets_the_rest_only(spark):
     assert neardup._meetings(large, sets, texts, rules).count() == 30 + 10 * 4
     links = neardup._dense_links(large, sets, texts, rules).collect()
     assert links and {max(r["u"], r["v"]) for r in links} == {35} and all(min(r["u"], r["v"]) < 30 for r in links)
+
+
+def test_families_alone_in_their_bucket_go_no_further(spark):
+    """copies and times count as occurrences; a bucket of one has nothing to compare."""
+    rows = [(1, 1, 1, 1, 0, 9, 5, 1, 1), (2, 2, 2, 1, 0, 9, 6, 2, 2), (3, 3, 1, 2, 0, 9, 7, 3, 3), (4, 4, 1, 1, 0, 9, 8, 4, 4), (5, 5, 1, 1, 3, 9, 8, 5, 5)]
+    found = spark.createDataFrame(rows, "k1 long, k2 long, copies long, times long, lo long, hi long, bucket long, e1 long, e2 long")
+    got = suffixes._met_again(found)
+    assert got.columns == found.columns and sorted(tuple(r) for r in got.collect()) == rows[1:]
