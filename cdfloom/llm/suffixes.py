@@ -22,14 +22,17 @@ Sorting.  Buckets with several different stretches are suffix-sorted one batch
 of buckets at a time, in numpy: ranks of all 31-byte prefixes, ranks of the
 suffixes at the positions of a difference cover modulo 31 by doubling, and ties
 of prefixes resolved by the cover ranks at a shift at which both suffixes hit
-the cover.  Memory is bounded by the batch.  Buckets too large for a batch count
-their strings by fingerprint instead, a row a string, summed up before any
-shuffle.
+the cover.  Memory is bounded by the batch.  Buckets too large for a batch are
+split first: a string has at least half of what is outside the sampled k-gram on
+one side of it, and meets its equals by that half and the k-gram.  What is still
+too large then counts its strings by fingerprint, a row a string, summed up
+before any shuffle.
 
 Passages.  On request, runs of a number of words that also start elsewhere go as
 well, whatever their bytes: the same sample and buckets over words instead of
 bytes, in the same tables.  The lowest bit of a bucket tells its unit.  Strings
-of words are counted by fingerprint inside their bucket.
+of words are counted by fingerprint inside their bucket.  Every repeated start
+carries its unit along, so one run can tell what bytes alone cover.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +56,7 @@ WORD_GRAM = 8  # words whose fingerprint is sampled for passages
 CHUNK_BYTES = 1 << 19
 BATCH_BYTES = 1 << 20  # of stretches that are suffix-sorted at once
 LARGE_BUCKET = 2048  # stretches
+SPLITS = 2  # of large buckets of bytes, before their strings are counted
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)  # every difference modulo 31 occurs
 assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
@@ -295,7 +299,7 @@ def repeated_suffixes(text: np.ndarray, starts: np.ndarray, length: int = LENGTH
 
 @dataclass
 class Repeats:
-    """docs: id, k1, k2 (fingerprint of the text).  texts: k1, k2, n_bytes, n_removed, spans, kept (bytes)."""
+    """docs: id, k1, k2 (fingerprint of the text).  texts: k1, k2, n_bytes, n_removed, spans, kept (bytes); if asked, the last three by strings of bytes alone as well, named bytes_*."""
 
     docs: DataFrame
     texts: DataFrame
@@ -310,11 +314,11 @@ def _distinct_texts(keyed: DataFrame) -> DataFrame:
     return bucketed(keyed.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first("t").alias("t")), "texts", "k1", "k2")
 
 
-_FAMILY = [T.StructField(c, T.LongType()) for c in ("times", "lo", "hi", "bucket", "e1", "e2")]
+_FAMILY = [*[T.StructField(c, T.LongType()) for c in ("times", "lo", "hi", "bucket", "e1", "e2")], T.StructField("passage", T.BooleanType())]
 
 
 def _find_families(texts: DataFrame, length: int, words: int) -> DataFrame:
-    """k1, k2, copies, times (in the text), lo, hi, bucket, e1, e2; a settled range of starts has a null bucket."""
+    """k1, k2, copies, times (in the text), lo, hi, bucket, e1, e2, passage (of words); a settled range of starts has a null bucket."""
     inner = texts.select("k1", "k2", "copies", "t")
 
     def rows(part: pa.RecordBatch, text: np.ndarray, *columns: pa.Array) -> pa.RecordBatch:
@@ -330,12 +334,14 @@ def _find_families(texts: DataFrame, length: int, words: int) -> DataFrame:
                 if words:  # a family of words ends `length` bytes behind its `hi`, as one of bytes does
                     text, begin, end, bucket, e1, e2 = passage_families(strings, words)
                     found.append((text, begin, end - length, bucket | 1, e1, e2))
-                for text, lo, hi, bucket, e1, e2 in found:
+                for passage, (text, lo, hi, bucket, e1, e2) in enumerate(found):
                     one, times, settled = settled_inside(text, lo, hi, e1, e2, length)
-                    yield rows(part, text[one], pa.array(times.astype(np.int64)), *[pa.array(c[one]) for c in (lo, hi, bucket, e1, e2)])
+                    unit = pa.array(np.full(len(one), passage, bool))
+                    yield rows(part, text[one], pa.array(times.astype(np.int64)), *[pa.array(c[one]) for c in (lo, hi, bucket, e1, e2)], unit)
                     if len(settled[0]):
                         none = pa.nulls(len(settled[0]), pa.int64())
-                        yield rows(part, settled[0], none, pa.array(settled[1]), pa.array(settled[2]), none, none, none)
+                        unit = pa.array(np.full(len(settled[0]), passage, bool))
+                        yield rows(part, settled[0], none, pa.array(settled[1]), pa.array(settled[2]), none, none, none, unit)
 
     return inner.mapInArrow(find, T.StructType([*[T.StructField(c, T.LongType()) for c in ("k1", "k2", "copies")], *_FAMILY]))
 
@@ -349,7 +355,16 @@ def _met_again(found: DataFrame) -> DataFrame:
     return found.join(buckets, "bucket", "left_semi").select(found.columns)
 
 
-_STARTS = T.StructType([T.StructField(c, T.LongType()) for c in ("k1", "k2", "from", "to")])
+_STARTS = T.StructType([*[T.StructField(c, T.LongType()) for c in ("k1", "k2", "from", "to")], T.StructField("passage", T.BooleanType())])
+
+
+def _starts(keys: pa.RecordBatch, first: np.ndarray, last: np.ndarray, passage: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*keys.columns, pa.array(first), pa.array(last), pa.array(np.full(len(first), passage))], names=_STARTS.names)
+
+
+def _of_words(words: int) -> Column:
+    """Whether a bucket is one of words; without them, its lowest bit is its hash's."""
+    return F.col("bucket").bitwiseAND(1) == 1 if words else F.lit(False)
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -358,7 +373,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _passage_runs(rows: pa.RecordBatch, length: int, words: int) -> pa.RecordBatch:
-    """k1, k2, from, to: runs of words in open stretches of whole buckets that also start elsewhere there."""
+    """k1, k2, from, to, passage: runs of words in open stretches of whole buckets that also start elsewhere there."""
     found = _Words.of(rows.column("stretch").to_pylist())
     i = found.windows(words)
     one, two = (_dense(_Prefix(h, w).of(i, i + words)) for w, h in enumerate(found.hashes))
@@ -368,11 +383,11 @@ def _passage_runs(rows: pa.RecordBatch, length: int, words: int) -> pa.RecordBat
     row = found.text[i]
     lo = rows.column("lo").to_numpy()[row]
     keys = rows.select(["k1", "k2"]).take(pa.array(row))
-    return pa.RecordBatch.from_arrays([*keys.columns, pa.array(lo + found.start[i]), pa.array(lo + found.end[i + words - 1] - length)], names=["k1", "k2", "from", "to"])
+    return _starts(keys, lo + found.start[i], lo + found.end[i + words - 1] - length, True)
 
 
 def _sorted_buckets(stretches: DataFrame, length: int, words: int) -> DataFrame:
-    """k1, k2, from, to: runs of repeated starts in the open stretches, bucket by bucket.
+    """k1, k2, from, to, passage: runs of repeated starts in the open stretches, bucket by bucket.
 
     Rows come sorted by bucket; whole buckets are gathered up to a batch.
     """
@@ -404,7 +419,7 @@ def _sorted_buckets(stretches: DataFrame, length: int, words: int) -> DataFrame:
         row, a, b = row[unsure], a[unsure], b[unsure]
         first = rows.column("lo").to_numpy()[row] - base[row]
         keys = rows.select(["k1", "k2"]).take(pa.array(row))
-        return pa.RecordBatch.from_arrays([*keys.columns, pa.array(first + a), pa.array(first + b)], names=["k1", "k2", "from", "to"])
+        return _starts(keys, first + a, first + b, False)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -430,8 +445,45 @@ def _sorted_buckets(stretches: DataFrame, length: int, words: int) -> DataFrame:
     return columns.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort, _STARTS)
 
 
+def _split(stretches: DataFrame, length: int, words: int) -> DataFrame:
+    """Stretches of large buckets of bytes, in up to two parts each, in buckets of their own; those that meet nothing there are left out.
+
+    All strings of a bucket have its `core` bytes in common, which lie `at` in
+    the stretch (null: the sampled gram).  A string that starts at least half of
+    the other bytes ahead of them has these as core of its part, any other string
+    the rest behind; both depend on the string alone, so equal ones stay together.
+    """
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch, "stretch", 1 << 18):
+                row, out = [], []
+                for r, (bucket, lo, s, at, core) in enumerate(zip(*(part.column(c).to_pylist() for c in ("bucket", "lo", "stretch", "at", "core")))):
+                    a = np.frombuffer(s, np.uint8)
+                    last = len(a) - length
+                    one = _Prefix(a, 0)
+                    if at is None:  # the leftmost such gram that all strings hold
+                        i = np.arange(last, len(a) - GRAM + 1)
+                        grams = mix(one.of(i, i + GRAM)).view(np.int64)
+                        at, core = last + int(np.argmax((grams & ~1 if words else grams) == bucket)), GRAM
+                    ahead = (length - core + 1) // 2
+                    for side, (first, final, x, y) in enumerate(((0, min(last, at - ahead), at - ahead, at + core), (max(0, at - ahead + 1), last, at, at + length - ahead + 1))):
+                        if first <= final:
+                            key = mix(one.of(np.array([x]), np.array([y])) ^ mix(np.array([bucket]).view(np.uint64), side), 8).view(np.int64)
+                            row.append(r)
+                            out.append((int(key[0]) & ~1 if words else int(key[0]), lo + first, s[first:final + length], x - first, y - x))
+                if row:
+                    taken = part.select(["k1", "k2", "open"]).take(pa.array(row))
+                    columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([*taken.columns, *columns], names=["k1", "k2", "open", "bucket", "lo", "stretch", "at", "core"])
+
+    schema = "k1 long, k2 long, open boolean, bucket long, lo long, stretch binary, at long, core long"
+    made = materialize(stretches.select("k1", "k2", "open", "bucket", "lo", "stretch", "at", "core").mapInArrow(parts, schema), "stretches-split")
+    met = made.groupBy("bucket").agg(F.count("*").alias("kinds"), F.max("open").alias("any")).where("kinds > 1 and any").select("bucket", "kinds")
+    return materialize(made.join(met, "bucket"), "stretches-met")
+
+
 def _counted_strings(stretches: DataFrame, length: int, words: int) -> DataFrame:
-    """k1, k2, from, to of repeated starts in the open stretches of large buckets, by counting fingerprints of strings."""
+    """k1, k2, from, to, passage of repeated starts in the open stretches of large buckets, by counting fingerprints of strings."""
     def of_bytes(parts: list[bytes]) -> tuple[np.ndarray, ...]:
         row, at, h = [], [], []
         for r, s in enumerate(parts):
@@ -453,21 +505,22 @@ def _counted_strings(stretches: DataFrame, length: int, words: int) -> DataFrame
         for batch in batches:
             for part in sliced(batch, "stretch", 1 << 18):
                 unit = (part.column("bucket").to_numpy() & 1).astype(bool) if words else np.zeros(part.num_rows, bool)
-                for chosen, made in ((~unit, of_bytes), (unit, of_words)):
+                for passage, (chosen, made) in enumerate(((~unit, of_bytes), (unit, of_words))):
                     if chosen.any():
                         some = part.filter(pa.array(chosen))
                         row, at, to, h = made(some.column("stretch").to_pylist())
                         taken = some.select(["k1", "k2", "open"]).take(pa.array(row))
                         lo = some.column("lo").to_numpy()[row]
-                        yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(lo + at), pa.array(lo + to), pa.array(h[0]), pa.array(h[1])], names=["k1", "k2", "open", "from", "to", "h1", "h2"])
+                        kind = pa.array(np.full(len(row), passage, bool))
+                        yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(lo + at), pa.array(lo + to), kind, pa.array(h[0]), pa.array(h[1])], names=schema.names)
 
-    schema = T.StructType([*[T.StructField(c, T.LongType()) for c in ("k1", "k2")], T.StructField("open", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("from", "to", "h1", "h2")]])
+    schema = T.StructType([*_STARTS.fields[:2], T.StructField("open", T.BooleanType()), *_STARTS.fields[2:], *[T.StructField(c, T.LongType()) for c in ("h1", "h2")]])
     rows = stretches.select("bucket", "k1", "k2", "lo", "open", "stretch").mapInArrow(strings, schema)
     counts = rows.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
-    return rows.where("open").join(counts, ["h1", "h2"], "left_semi").select("k1", "k2", "from", "to")
+    return rows.where("open").join(counts, ["h1", "h2"], "left_semi").select(*_STARTS.names)
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False, words: int = 0) -> Repeats:
+def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False, words: int = 0, bytes_apart: bool = False) -> Repeats:
     """Which bytes of every text are covered by a string of `length` bytes that also starts elsewhere, and the rest.
 
     Null texts count as empty.  Texts shorter than `length` lose nothing; every
@@ -476,8 +529,9 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     the rests of characters that a cut splits out of `kept`, so that it is a
     text again.  With `words`, runs of so many words (at least WORD_GRAM) that
     also start elsewhere are covered too, with the white space behind them; words
-    are compared, not the white space between.  An empty table gives an empty
-    result; extra columns are not read.
+    are compared, not the white space between; `bytes_apart` then adds
+    bytes_removed, bytes_spans and bytes_kept, what strings of bytes alone cover
+    and leave.  An empty table gives an empty result; extra columns are not read.
     """
     text = F.coalesce(docs[f"`{text_col}`"], F.lit("")).cast("binary")
     keyed = docs.select(docs[f"`{id_col}`"].alias("id"), text.alias("t")).select("id", *_key(F.col("t")), "t")
@@ -485,8 +539,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     shortest = min(length, 2 * words - 1) if words else length
     all_found = materialize(_find_families(texts.where(F.octet_length("t") >= shortest), length, words), "families")
 
-    settled = materialize(all_found.where("bucket is null").select("k1", "k2", F.col("lo").alias("from"), F.col("hi").alias("to")), "settled")
-    found = materialize(_met_again(all_found.where("bucket is not null")), "families-met")
+    settled = materialize(all_found.where("bucket is null").select("k1", "k2", F.col("lo").alias("from"), F.col("hi").alias("to"), "passage"), "settled")
+    found = materialize(_met_again(all_found.where("bucket is not null").drop("passage")), "families-met")
     discard(all_found)
     kinds = materialize(found.groupBy("bucket", "e1", "e2").agg(
         F.sum(F.col("copies") * F.col("times")).alias("times"), *[F.first(c).alias(c) for c in ("k1", "k2", "lo", "hi")]), "kinds")
@@ -497,48 +551,70 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         f["bucket"].alias("bucket"), f["kinds"].alias("kinds"), f["lo"].alias("lo"), f["open"].alias("open"),
         F.substring("t", (f["lo"] + 1).cast("int"), (f["hi"] - f["lo"] + length).cast("int")).alias("stretch")))).alias("s"))
     stretches = materialize(cut.select("k1", "k2", "s.*"), "stretches")
-    ranges = _sorted_buckets(stretches.where(F.col("kinds") <= LARGE_BUCKET), length, words)
-    large = stretches.where(F.col("kinds") > LARGE_BUCKET)
+    columns = ["bucket", "k1", "k2", "lo", "open", "stretch"]
+    is_large = F.col("kinds") > LARGE_BUCKET
+    small, large = stretches.where(~is_large).select(columns), stretches.where(is_large)
+    of_bytes = large.where(~_of_words(words)).withColumns({c: F.lit(None).cast("long") for c in ("at", "core")})
+    large = large.where(_of_words(words)).select(columns)
+    for _ in range(SPLITS if length >= 2 * GRAM else 0):
+        if of_bytes.isEmpty():
+            break
+        split = _split(of_bytes, length, words)
+        small = small.unionAll(split.where(~is_large).select(columns))
+        of_bytes = split.where(is_large)
+    large = large.unionAll(of_bytes.select(columns))
+    ranges = _sorted_buckets(small, length, words)
     if not large.isEmpty():
         ranges = ranges.unionAll(_counted_strings(large, length, words))
 
     again = kinds.where("times > 1").select("e1", "e2")
-    whole = found.select("e1", "e2", "k1", "k2", "lo", "hi").join(again, ["e1", "e2"], "left_semi").select("k1", "k2", F.col("lo").alias("from"), F.col("hi").alias("to"))
-    starts = whole.unionAll(settled).unionAll(ranges).groupBy("k1", "k2").agg(F.collect_list(F.struct("from", "to")).alias("r"))
+    whole = found.select("e1", "e2", "k1", "k2", "lo", "hi", _of_words(words).alias("passage")).join(again, ["e1", "e2"], "left_semi").select(
+        "k1", "k2", F.col("lo").alias("from"), F.col("hi").alias("to"), "passage")
+    starts = whole.unionAll(settled).unionAll(ranges).groupBy("k1", "k2").agg(F.collect_list(F.struct("from", "to", "passage")).alias("r"))
 
     joined = texts.select("k1", "k2", "t").join(starts, ["k1", "k2"], "left")
-    return Repeats(keyed.select("id", "k1", "k2"), _cut_texts(joined, length, whole_characters))
+    return Repeats(keyed.select("id", "k1", "k2"), _cut_texts(joined, length, whole_characters, bytes_apart))
 
 
-def _cut_texts(joined: DataFrame, length: int, whole_characters: bool) -> DataFrame:
-    """k1, k2, t, r (runs of starts) -> k1, k2, n_bytes, n_removed, spans (from, to; in order), kept."""
+def _covered(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of what strings of `length` bytes cover, in order, from runs of their starts."""
+    if not len(first):
+        return first, last
+    a, b = np.sort(first), np.sort(last) + length  # sorted apart, they bound the same union, nested runs or not
+    new = np.append(True, a[1:] > np.maximum.accumulate(b)[:-1])
+    return a[new], np.append(b[:-1][new[1:]], b[-1])
+
+
+def _cut_texts(joined: DataFrame, length: int, whole_characters: bool, bytes_apart: bool) -> DataFrame:
+    """k1, k2, t, r (runs of starts) -> k1, k2, n_bytes, n_removed, spans (from, to; in order), kept; the last three without passages as well, if asked."""
     span = pa.struct([("from", pa.int64()), ("to", pa.int64())])
+    names = [("n_removed", "spans", "kept"), ("bytes_removed", "bytes_spans", "bytes_kept")][:1 + bytes_apart]
+    kinds = ("long", "array<struct<`from`: long, `to`: long>>", "binary")
+
+    def without(text: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[int, list[dict[str, int]], bytes]:
+        rest = b"".join(text[x:y] for x, y in zip([0, *end.tolist()], [*begin.tolist(), len(text)]))
+        spans = [{"from": x, "to": y} for x, y in zip(begin.tolist(), end.tolist())]
+        return int((end - begin).sum()), spans, rest.decode(errors="ignore").encode() if whole_characters and spans else rest
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, "t", 4 << 20):
-                removed, spans, kept, sizes = [], [], [], []
+                sizes, rules = [], [([], [], []) for _ in range(1 + bytes_apart)]
                 for text, runs in zip(part.column("t").to_pylist(), part.column("r")):
                     sizes.append(len(text))
                     if not runs.is_valid:
-                        removed.append(0)
-                        spans.append([])
-                        kept.append(text)
+                        for rule in rules:
+                            for column, x in zip(rule, (0, [], text)):
+                                column.append(x)
                         continue
-                    a = np.sort(runs.values.field("from").to_numpy())
-                    b = np.sort(runs.values.field("to").to_numpy()) + length  # sorted apart, they bound the same union, nested runs or not
-                    new = np.append(True, a[1:] > np.maximum.accumulate(b)[:-1])
-                    begin = a[new]
-                    end = np.append(b[:-1][new[1:]], b[-1])
-                    spans.append([{"from": x, "to": y} for x, y in zip(begin.tolist(), end.tolist())])
-                    removed.append(int((end - begin).sum()))
-                    rest = b"".join(text[x:y] for x, y in zip([0, *end.tolist()], [*begin.tolist(), len(text)]))
-                    kept.append(rest.decode(errors="ignore").encode() if whole_characters else rest)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("k1"), part.column("k2"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())],
-                    names=["k1", "k2", "n_bytes", "n_removed", "spans", "kept"])
-
-    return joined.select("k1", "k2", "t", "r").mapInArrow(cut, "k1 long, k2 long, n_bytes long, n_removed long, spans array<struct<`from`: long, `to`: long>>, kept binary")
+                    first, last, passage = (runs.values.field(c).to_numpy(zero_copy_only=False) for c in ("from", "to", "passage"))
+                    for rule, taken in zip(rules, (slice(None), ~passage)):
+                        for column, x in zip(rule, without(text, *_covered(first[taken], last[taken], length))):
+                            column.append(x)
+                columns = [c for removed, spans, kept in rules for c in (pa.array(removed, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary()))]
+                yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), pa.array(sizes, pa.int64()), *columns], names=["k1", "k2", "n_bytes", *[c for rule in names for c in rule]])
+
+    return joined.select("k1", "k2", "t", "r").mapInArrow(cut, ", ".join(["k1 long, k2 long, n_bytes long", *[f"{c} {kind}" for rule in names for c, kind in zip(rule, kinds)]]))
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", words: int = 0) -> DataFrame:

@@ -231,3 +231,20 @@ def test_families_alone_in_their_bucket_go_no_further(spark):
     found = spark.createDataFrame(rows, "k1 long, k2 long, copies long, times long, lo long, hi long, bucket long, e1 long, e2 long")
     got = suffixes._met_again(found)
     assert got.columns == found.columns and sorted(tuple(r) for r in got.collect()) == rows[1:]
+
+
+@pytest.mark.parametrize("large", [8, 4])
+def test_large_buckets_are_split_before_strings_are_counted(spark, monkeypatch, large):
+    """A string shorter than 400 bytes in many texts is one bucket; few texts of it have more in common, on either side."""
+    r = random.Random(11)
+    own = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    common, ahead, behind = own(300), own(260), own(260)
+    texts = [own(300) + common + own(300) for _ in range(60)] + [own(300) + common + behind + own(9) for _ in range(3)] + [own(9) + ahead + common + own(300) for _ in range(3)]
+    counted, count = [], suffixes._counted_strings
+    monkeypatch.setattr(suffixes, "_counted_strings", lambda s, *a: counted.append(s.count()) or count(s, *a))
+    monkeypatch.setattr(suffixes, "LARGE_BUCKET", large)
+    found = find_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {x["id"]: (x["n_bytes"], x["n_removed"], x["s"], bytes(x["kept"])) for x in found.docs.join(found.texts, ["k1", "k2"]).select("id", "n_bytes", "n_removed", F.size("spans").alias("s"), "kept").collect()}
+    want = brute_repeats([t.encode() for t in texts])
+    assert [got[i] for i in range(len(texts))] == want and sum(w[1] > 0 for w in want) == 6
+    assert counted in ([], [0])

@@ -8,6 +8,10 @@ import corpus_pipeline as P
 import pytest
 
 from cdfloom.llm import suffixes
+from cdfloom.llm.queries import queries
+
+from .cases import documents
+from .test_dedup import brute_repeats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -67,3 +71,19 @@ def test_stage_by_brute_force(spark, monkeypatch, large):
     monkeypatch.setattr(suffixes, "LARGE_BUCKET", large)
     texts = word_texts()
     assert stage(spark, texts) == brute([t.encode() for t in texts])
+
+
+def test_op7_shows_passages_apart(spark, tmp_path):
+    """Runs of 51 words that take less than 400 bytes stay in the columns of the contract and go in the last two."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefgh", k=3))
+    own = [" ".join(word() for _ in range(60)) for _ in range(4)]
+    passage = " ".join(word() for _ in range(51))
+    texts = [f"{own[0]} {passage} {own[1]}", f"{own[2]}\n{passage}\n{own[3]}", *word_texts(seed=4), *[x[1] or "" for x in documents(n=40)]]
+    spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in queries()["op7_suffix_array_dedup"](spark, str(tmp_path)).collect()}
+    data = [t.encode() for t in texts]
+    assert [(g["n_bytes"], g["n_removed"], g["n_spans"], g["n_kept"]) for g in (got[i] for i in range(len(texts)))] == [(n, gone, s, len(kept)) for n, gone, s, kept in brute_repeats(data)]
+    assert [got[i]["text_without_passages"].replace("�", "") for i in range(len(texts))] == brute(data)
+    assert got[0]["n_removed"] == 0 and got[0]["n_removed_with_passages"] == len(passage) + 1 and got[0]["text_without_passages"] == f"{own[0]} {own[1]}"
+    assert all(g["n_removed"] <= g["n_removed_with_passages"] <= g["n_bytes"] for g in got.values())
