@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +12,7 @@ from ..errors import TooLarge
 from .survival import interval_cdfs, km_at, min_max
 
 MAX_SAMPLE = 600  # rows of an ordered sample whose intervals are all looked at: the cost grows with their cube
+CELLS = 250_000  # intervals of samples that are worked on together; one sample may have more
 
 
 @dataclass(frozen=True)
@@ -114,6 +115,38 @@ class KaplanMeierAt:
             out = out_now
         return out
 
+    def lines(self, of: np.ndarray, at: np.ndarray, places: np.ndarray, rows: Rows) -> list[np.ndarray]:
+        """`table` of several samples, as `interval_lines` has it."""
+        b, g = len(places), int(places.max())
+        t, ti = np.unique(rows.y, return_inverse=True)
+        key = of * len(t) + ti
+        dies = rows.observed & (rows.y <= self.threshold)
+        times = np.unique(key[dies])  # of each sample, in turn
+        upto = np.searchsorted(times, key, "right") - np.searchsorted(times, np.arange(b) * len(t))[of]  # its sample's times that a row reaches
+        steps = int(upto.max())
+        cell = ((upto - 1) * g + at) * b + of
+        count = lambda some: np.bincount(cell[some], rows.w[some], steps * g * b).reshape(steps, g, b)
+        both = np.cumsum(count(upto > 0)[::-1], axis=0)[::-1]  # at risk
+        d, n = np.zeros((2, steps, g + 1, b))
+        np.cumsum(count(dies), axis=1, out=d[:, 1:])
+        np.cumsum(both, axis=1, out=n[:, 1:])
+        out = []
+        with np.errstate(invalid="ignore", divide="ignore"):
+            for k in range(g):
+                survival = np.ones((g - k, b))
+                factor, risk = np.empty((2, g - k, b))
+                for j in range(steps):
+                    np.subtract(d[j, k + 1:], d[j, :g - k], out=factor)
+                    np.subtract(n[j, k + 1:], n[j, :g - k], out=risk)
+                    np.divide(factor, risk, out=factor)
+                    np.subtract(1, factor, out=factor)
+                    np.copyto(factor, 1.0, where=risk <= 1e-12)
+                    np.maximum(factor, 0, out=factor)
+                    np.minimum(factor, 1, out=factor)
+                    survival *= factor
+                out.append(1 - survival)
+        return out
+
 
 kaplan_meier_at = KaplanMeierAt
 
@@ -171,18 +204,26 @@ def clip_in_turn(raw: np.ndarray) -> np.ndarray:
     """
     g = len(raw)
     c = raw.copy()
-    for length in range(2, g + 1):
-        r = np.arange(g - length + 1)
-        s = r + length - 1
-        now = c[r, s]
-        for k in range(length - 1):
-            left, right = c[r, r + k], c[r + k + 1, s]
-            low, high = np.minimum(left, right), np.maximum(left, right)  # NaN if either is
-            now = np.where(np.isnan(low), now, np.fmax(np.fmin(now, high), low))
-        c[r, s] = now
+    for k, line in enumerate(clip_lines([np.diagonal(raw, k)[:, None].copy() for k in range(g)])):
+        r = np.arange(g - k)
+        c[r, r + k] = line[:, 0]
     return c
 
 
+def clip_lines(lines: list[np.ndarray]) -> list[np.ndarray]:
+    """`clip_in_turn` of several samples, in place: lines[k][r, b] is the value of [r, r + k] in sample b."""
+    for k in range(1, len(lines)):
+        now = lines[k]
+        low, high = np.empty_like(now), np.empty_like(now)
+        for j in range(k):
+            left, right = lines[j][: len(now)], lines[k - 1 - j][j + 1:]
+            np.minimum(left, right, out=low)  # NaN if either is, as high is: the value stays then
+            np.maximum(left, right, out=high)
+            np.fmin(now, high, out=now)
+            np.fmax(now, low, out=now)
+    return lines
+
+
 def by_definition(x, rows: Rows, functional: Functional, increasing: bool = True, clip: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """All intervals, clipped by increasing length, then max-min (increasing) or min-max.
 
@@ -199,11 +240,58 @@ def _bounded(n: int) -> None:
         raise TooLarge(f"{n} rows of a sample: {MAX_SAMPLE} at most; use keys (by) or sum up")
 
 
+def _together(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """The numbers of all samples, those of like sizes together, at most CELLS intervals (or one sample) at a time."""
+    order = np.argsort(sizes, kind="stable")
+    start = 0
+    for i in range(1, len(order) + 1):
+        if i == len(order) or (i + 1 - start) * int(sizes[order[i]]) ** 2 > CELLS:
+            yield order[start:i]
+            start = i
+
+
+def interval_lines(of: np.ndarray, at: np.ndarray, places: np.ndarray, rows: Rows, functional: Functional) -> list[np.ndarray]:
+    """lines[k][r, b]: the functional of the places [r, r + k] of sample b; what lies beyond a sample's places has no meaning.
+
+    of, at: the sample and place of each row; places: their number in each sample.
+    """
+    if hasattr(functional, "lines"):
+        return functional.lines(of, at, places, rows)
+    lines = [np.full((places.max() - k, len(places)), np.nan) for k in range(places.max())]
+    for b, n in enumerate(places):
+        mine = of == b
+        _, table = interval_table(at[mine], rows[mine], functional)
+        for k in range(n):
+            lines[k][: n - k, b] = np.diagonal(table, k)
+    return lines
+
+
+def clipped_values(of: np.ndarray, x: np.ndarray, rows: Rows, functional: Functional) -> np.ndarray:
+    """The functional of each whole ordered sample, clipped recursively by its parts (the distinct x).
+
+    Rows lie in order of their sample's number `of` (0, 1, ...) and x.
+    """
+    start = np.searchsorted(of, np.arange(of[-1] + 1))
+    new = np.append(True, (of[1:] != of[:-1]) | (x[1:] != x[:-1]))
+    place = np.cumsum(new) - 1
+    at = place - place[start][of]
+    places = np.diff(np.append(place[start], place[-1] + 1))
+    _bounded(int(places.max()))
+    out = np.empty(len(places))
+    number = np.full(len(places), -1)
+    for some in _together(places):
+        number[:] = -1
+        number[some] = np.arange(len(some))
+        mine = number[of] >= 0
+        lines = clip_lines(interval_lines(number[of[mine]], at[mine], places[some], rows[mine], functional))
+        out[some] = [lines[n - 1][0, b] for b, n in enumerate(places[some])]
+    return out
+
+
 def clipped_value(x, rows: Rows, functional: Functional) -> float:
-    """The functional of a whole ordered sample, clipped recursively by its parts (the distinct x)."""
-    _bounded(len(np.unique(x)))
-    _, table = interval_table(x, rows, functional)
-    return float(clip_in_turn(table)[0, -1])
+    """`clipped_values` of one sample, whose rows may lie in any order."""
+    order = np.argsort(x, kind="stable")
+    return float(clipped_values(np.zeros(len(order), int), np.asarray(x)[order], rows[order], functional)[0])
 
 
 @dataclass(frozen=True)

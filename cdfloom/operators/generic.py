@@ -7,19 +7,30 @@ rows.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels import functionals as K
 from .prep import Roles, drop_early_censored, plain, validate
 
+TASK_ROWS = 25_000  # of ordered samples a task, on average: they are small in bytes and long in work, so sizes don't tell how to cut them
+HELD_ROWS = 20_000  # of ordered samples that are worked on together, or one sample
+
 
 def _summed(df: DataFrame, y: str, x: str, observed: str | None, weight: str | None, by: list[str]) -> DataFrame:
     """by..., x0, y, observed, w, ww, k: equal rows added up; rows of weight zero go."""
     rows = plain(df, Roles(y, [x], observed, weight, by))
     validate(rows, 1)
+    return _added_up(rows, by)
+
+
+def _added_up(rows: DataFrame, by: list[str]) -> DataFrame:
     sums = rows.where("w > 0").groupBy(*by, "x0", "y", "observed")
     return sums.agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("ww"), F.count("*").cast("double").alias("k"))
 
@@ -84,15 +95,57 @@ def plain_sidr(df: DataFrame, y: str, x: str, observed: str, weight=None, by=Non
     return _solved(_summed(df, y, x, observed, weight, by), by, solve, "x double, threshold double, cdf double")
 
 
+def _by_samples(rows: DataFrame, n: int, by: list[str], columns: list[str], solve, schema_tail: str) -> DataFrame:
+    """by... and the columns of `solve(of, *columns)` for the ordered samples of all keys; about n rows.
+
+    A task takes samples of many keys at once: of numbers them from 0, and their
+    rows are sorted by x0, y and observed rows first.
+    """
+    order = ["x0", "y", *([F.desc("observed")] if "observed" in columns else [])]
+    if by:
+        # an exchange of the planner's own number would be dropped after one like it, which may be merged by its bytes
+        tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1, math.ceil(n / TASK_ROWS))
+        rows = rows.repartition(tasks, *by)
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1
+    names = [c.split()[0] for c in schema_tail.split(", ")]
+    enough = HELD_ROWS
+
+    def solved(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        starts = table["__first"].to_numpy()
+        found = solve(np.cumsum(starts) - 1, *[table[c].to_numpy() for c in columns])
+        keys = table.select(by).take(np.flatnonzero(starts))
+        yield from pa.table([*keys.columns, *[pa.array(found[c]) for c in names]], [*by, *names]).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("__first").to_numpy(zero_copy_only=False))
+            if len(starts) and size + starts[-1] >= enough:
+                yield from solved([*held, batch.slice(0, starts[-1])])
+                batch = batch.slice(starts[-1])
+                held, size = [], 0
+            held.append(batch)
+            size += batch.num_rows
+        if size:
+            yield from solved(held)
+
+    schema = ", ".join([*[f"`{c}` {t}" for c, t in rows.select(*by).dtypes], schema_tail])
+    return rows.select(*by, *columns, first.alias("__first")).mapInArrow(run, schema)
+
+
 def clipped_sample_value(df: DataFrame, y: str, order_by: str, functional: K.Functional, observed=None, weight=None, by=None) -> DataFrame:
     """by..., value: a functional of each ordered sample, clipped recursively by its parts; samples are small (MAX_SAMPLE).
 
     Rows of one place in the order are one part.
     """
-    def solve(xs, rows):
-        return pd.DataFrame({"value": [K.clipped_value(xs, rows, functional)]})
+    def solve(of, x, y, seen, w, ww, k):
+        return {"value": K.clipped_values(of, x, K.Rows(y, seen, w, ww, k), functional)}
     by = by or []
-    return _solved(_summed(df, y, order_by, observed, weight, by), by, solve, "value double").withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+    rows = plain(df, Roles(y, [order_by], observed, weight, by))
+    n = validate(rows, 1)["n"]
+    out = _by_samples(_added_up(rows, by), n, by, ["x0", "y", "observed", "w", "ww", "k"], solve, "value double")
+    return out.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
 
 
 def sample_variance_of_splits(df: DataFrame, y: str, order_by: str, by: list[str] | None = None) -> DataFrame:
