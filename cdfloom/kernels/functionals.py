@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+from numpy.lib.stride_tricks import as_strided
 
 from ..errors import TooLarge
 from .survival import interval_cdfs, km_at, min_max
@@ -307,42 +308,79 @@ class Selected:
     smallest: int
 
 
-def variance_of_splits(y: np.ndarray) -> Selected:
-    """The variance of an ordered sample as a median over splits, and where it comes from.
+def variances_of_splits(of: np.ndarray, y: np.ndarray) -> list[Selected]:
+    """The variance of each ordered sample as a median over splits, and where it comes from.
 
     By increasing length from 4: the value of an interval is the median of its
     own sample variance and of the values of both parts of every split into
     parts of two rows at least.  Of equal candidates the own variance comes
     first, then left parts, then right parts, each by the place of the split.
+    Rows lie in order of their sample's number `of` (0, 1, ...).
     """
+    start = np.searchsorted(of, np.arange(of[-1] + 1))
+    size = np.diff(np.append(start, len(of)))
+    _bounded(int(size.max()))
+    out = np.empty(len(size), object)
+    for some in _together(size):
+        padded = np.zeros((len(some), size[some].max()))
+        for row, b in zip(padded, some):
+            row[: size[b]] = y[start[b] : start[b] + size[b]]
+        value, s1, s2 = _split_medians(padded)
+        for i, b in enumerate(some):
+            out[b] = _selected(value[i], s1[i], s2[i], int(size[b]))
+    return out.tolist()
+
+
+def variance_of_splits(y: np.ndarray) -> Selected:
+    """`variances_of_splits` of one sample."""
     y = np.asarray(y, float)
-    n = len(y)
-    if n < 2:
-        return Selected(math.nan, 0, max(n - 1, 0), 1, n, n)
-    _bounded(n)
-    s1, s2 = (np.concatenate(([0.0], np.cumsum(v))) for v in (y, y * y))
+    return variances_of_splits(np.zeros(len(y), int), y)[0] if len(y) else Selected(math.nan, 0, 0, 1, 0, 0)
+
+
+def _variance_of(t1, t2, size):
+    """From the sums of the values and of their squares."""
+    return (t2 - t1 * t1 / size) / (size - 1)
+
+
+def _split_medians(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """value[b, r, s] of the rows [r, s] of each sample y[b], and the running sums of its values and of their squares."""
+    b, n = y.shape
+    s1, s2 = (np.concatenate((np.zeros((b, 1)), np.cumsum(v, 1)), 1) for v in (y, y * y))
     size = np.arange(1, n + 1)[None, :] - np.arange(n)[:, None]
-    t1, t2 = s1[None, 1:] - s1[:-1, None], s2[None, 1:] - s2[:-1, None]
+    t1, t2 = (s[:, None, 1:] - s[:, :-1, None] for s in (s1, s2))
     with np.errstate(invalid="ignore", divide="ignore"):
-        value = np.where(size >= 2, (t2 - t1 * t1 / size) / (size - 1), np.nan)
-    # start, end, blocks, largest, smallest of every interval
-    trace = np.stack((np.broadcast_to(np.arange(n)[:, None], (n, n)), np.broadcast_to(np.arange(n)[None, :], (n, n)), np.ones((n, n), int), size, size)).astype(np.int64)
+        value = np.where(size >= 2, _variance_of(t1, t2, size), np.nan)
+    turned = value.transpose(0, 2, 1).copy()  # [b, s, r]: right parts lie side by side as well
+    step = value.strides[0], (n + 1) * value.itemsize, value.itemsize  # sample, next interval of the same length, next split
     for length in range(4, n + 1):
-        r = np.arange(n - length + 1)[:, None]
-        s = r + length - 1
-        k = r + np.arange(1, length - 2)[None, :]  # last rows of the left parts
-        parts = np.concatenate((value[r, s], value[r, k], value[k + 1, s]), 1)
-        half = parts.shape[1] // 2
-        median = np.partition(parts, half, axis=1)[:, half]
-        chosen = (parts == median[:, None]).argmax(1)
-        before = trace[:, r[:, 0], s[:, 0]]
         splits = length - 3
-        left = (chosen > 0) & (chosen <= splits)
-        at = r[:, 0] + 1 + np.where(left, chosen - 1, chosen - 1 - splits)
-        lo, hi = np.where(left, r[:, 0], np.minimum(at + 1, n - 1)), np.where(left, at, s[:, 0])
-        part = trace[:, lo, np.minimum(hi, n - 1)]
-        other = np.where(left, s[:, 0] - at, at - r[:, 0] + 1)
-        made = np.stack((part[0], part[1], part[2] + 1, np.maximum(part[3], other), np.minimum(part[4], other)))
-        trace[:, r[:, 0], s[:, 0]] = np.where(chosen == 0, before, made)
-        value[r[:, 0], s[:, 0]] = median
-    return Selected(float(value[0, n - 1]), *trace[:, 0, n - 1].tolist())
+        shape = b, n - length + 1, splits
+        parts = np.empty((*shape[:2], 2 * splits + 1))
+        own, same = as_strided(value[:, 0, length - 1:], shape[:2], step[:2]), as_strided(turned[:, length - 1], shape[:2], step[:2])
+        parts[..., 0] = own
+        parts[..., 1 : splits + 1] = as_strided(value[:, 0, 1:], shape, step)
+        parts[..., splits + 1:] = as_strided(turned[:, length - 1, 2:], shape, step)
+        parts.partition(splits, axis=-1)
+        own[...] = same[...] = parts[..., splits]
+    return value, s1, s2
+
+
+def _selected(value: np.ndarray, s1: np.ndarray, s2: np.ndarray, n: int) -> Selected:
+    """The way from the whole sample of n rows down to the interval whose own variance is its value."""
+    if n < 2:
+        return Selected(math.nan, 0, 0, 1, n, n)
+    r, s, others = 0, n - 1, []
+    found = value[r, s]
+    while s - r >= 3 and _variance_of(s1[s + 1] - s1[r], s2[s + 1] - s2[r], s - r + 1) != found:
+        at = np.flatnonzero(np.concatenate((value[r, r + 1 : s - 1], value[r + 2 : s, s])) == found)
+        if not len(at):  # NaN
+            break
+        k = r + 1 + int(at[0]) % (s - r - 2)  # last row of the left part
+        if at[0] < s - r - 2:
+            others.append(s - k)
+            s = k
+        else:
+            others.append(k - r + 1)
+            r = k + 1
+    sizes = [s - r + 1, *others]
+    return Selected(float(found), r, s, len(sizes), max(sizes), min(sizes))

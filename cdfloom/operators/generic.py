@@ -155,15 +155,12 @@ def sample_variance_of_splits(df: DataFrame, y: str, order_by: str, by: list[str
     """
     by = by or []
     rows = plain(df, Roles(y, [order_by], None, None, by))
-    validate(rows, 1)
+    n = validate(rows, 1)["n"]
+    names = ["value", "start", "end", "blocks", "largest", "smallest"]
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = K.variance_of_splits(pdf.sort_values(["x0", "y"])["y"].to_numpy())
-        out = pd.DataFrame({k: [v] for k, v in vars(found).items()})
-        for c in by:
-            out[c] = pdf[c].iloc[0]
-        return out[[*by, *vars(found)]]
+    def solve(of, _x, y):
+        found = [[getattr(one, c) for c in names] for one in K.variances_of_splits(of, y)]
+        return {c: np.array(v) for c, v in zip(names, zip(*found))}
 
-    schema = ", ".join([*[f"`{c}` {t}" for c, t in rows.select(*by).dtypes], "value double, start long, end long, blocks long, largest long, smallest long"])
-    grouped = rows.groupBy(*by) if by else rows.groupBy(F.lit(0).alias("__g"))
-    return grouped.applyInPandas(solve, schema).withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+    out = _by_samples(rows, n, by, ["x0", "y"], solve, "value double, start long, end long, blocks long, largest long, smallest long")
+    return out.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))

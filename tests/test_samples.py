@@ -103,7 +103,65 @@ def test_clipped_sample_value_without_keys(spark):
     assert [tuple(r) for r in out.collect()] == [(pytest.approx(clipped_alone(np.array(i), functionals.Rows.of(y, seen), km)),)]
 
 
-@pytest.mark.parametrize("name", ["clipped_km"])
+@pytest.mark.parametrize("name", ["clipped_km", "split_variance"])
 def test_small_tables_of_samples_are_spread_over_tasks(spark, data, name):
     """Few bytes of samples are much work: the planner's least bytes a task don't hold for them."""
     assert QUERIES[name](spark, data).select(F.spark_partition_id()).distinct().count() > 1
+
+
+def split_alone(y):
+    """By recursion, with its trace: value, start, end, blocks, largest, smallest."""
+    def found(r, s):
+        own = (float(np.var(y[r:s], ddof=1)) if s - r > 1 else np.nan, r, s - 1, 1, s - r, s - r)
+        if s - r < 4:
+            return own
+        left = [(found(r, k), s - k) for k in range(r + 2, s - 1)]
+        right = [(found(k, s), k - r) for k in range(r + 2, s - 1)]
+        parts = [own, *[(v[0], v[1], v[2], v[3] + 1, max(v[4], rest), min(v[5], rest)) for v, rest in left + right]]
+        median = sorted(p[0] for p in parts)[len(parts) // 2]
+        return next(p for p in parts if p[0] == median)
+
+    return found(0, len(y))
+
+
+@given(st.lists(st.lists(st.integers(0, 2 ** 20), min_size=1, max_size=9), min_size=1, max_size=5))
+@settings(max_examples=40, deadline=None)
+def test_variances_of_splits_of_many_samples(samples):
+    of = np.repeat(np.arange(len(samples)), [len(s) for s in samples])
+    got = functionals.variances_of_splits(of, np.array([float(v) for s in samples for v in s]))
+    assert len(got) == len(samples)
+    for one, y in zip(got, samples):
+        value, *_ = split_alone(np.array(y, float))
+        assert one.value == pytest.approx(value, rel=1e-6, abs=1e-2, nan_ok=True)
+        assert vars(one) == pytest.approx(vars(functionals.variance_of_splits(np.array(y, float))), nan_ok=True)
+
+
+def test_samples_are_split_together(monkeypatch):
+    r = np.random.default_rng(4)
+    samples = [r.random(n) for n in r.integers(1, 12, 30)]
+    of = np.repeat(np.arange(30), [len(s) for s in samples])
+    calls, medians = [], functionals._split_medians
+    monkeypatch.setattr(functionals, "_split_medians", lambda y: calls.append(len(y)) or medians(y))
+    got = functionals.variances_of_splits(of, np.concatenate(samples))
+    assert calls == [30]
+    for one, y in zip(got, samples):
+        value, *trace = split_alone(y)
+        assert one.value == pytest.approx(value, nan_ok=True) and list(vars(one).values())[1:] == trace
+    monkeypatch.setattr(functionals, "CELLS", 300)
+    again = functionals.variances_of_splits(of, np.concatenate(samples))
+    assert repr(again) == repr(got) and 2 < len(calls) < 31
+    monkeypatch.setattr(functionals, "MAX_SAMPLE", 10)
+    with pytest.raises(TooLarge):
+        functionals.variances_of_splits(of, np.concatenate(samples))
+
+
+def test_sample_variance_of_splits_by_keys(spark, cut):
+    rows = [(k, i, y + i / 64, s) for k, i, y, s in key_rows(7) if i < 12]
+    out = generic.sample_variance_of_splits(spark.createDataFrame(rows, "key string, i long, y double, seen boolean"), "y", "i", by=["key"])
+    assert out.columns == ["key", "value", "start", "end", "blocks", "largest", "smallest"]
+    got = {r["key"]: tuple(r)[1:] for r in out.collect()}
+    assert len(got) == 40 == out.count()
+    for key, (value, *trace) in got.items():
+        want, *other = split_alone(np.array([y for _, y in sorted((i, y) for k, i, y, _ in rows if k == key)]))
+        assert (value is None and np.isnan(want)) or value == pytest.approx(want)
+        assert trace == other
